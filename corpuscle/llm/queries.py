@@ -1,9 +1,11 @@
 """The queries of this subpackage by name, and the same in DuckDB's SQL where SQL can express them."""
 
+from corpuscle.llm.pattern_packing import op7_pattern_packing
 from corpuscle.llm.substring_dedup import op4_substring_dedup
 
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_pattern_packing": op7_pattern_packing,
 }
 
 ORACLES = {
