@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and the same in DuckDB's SQL where SQL can express them."""
 
+from corpuscle.llm.licenses import op10_license_votes
 from corpuscle.llm.pattern_packing import op7_pattern_packing
 from corpuscle.llm.substring_dedup import op4_substring_dedup
 from corpuscle.llm.token_shards import op8_token_shards
@@ -8,6 +9,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_token_shards": op8_token_shards,
+    "op10_license_votes": op10_license_votes,
 }
 
 ORACLES = {
