@@ -2,10 +2,12 @@
 
 from corpuscle.llm.licenses import op10_license_votes
 from corpuscle.llm.pattern_packing import op7_pattern_packing
+from corpuscle.llm.secrets import op2_secret_links
 from corpuscle.llm.substring_dedup import op4_substring_dedup
 from corpuscle.llm.token_shards import op8_token_shards
 
 QUERIES = {
+    "op2_secret_links": op2_secret_links,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_token_shards": op8_token_shards,
