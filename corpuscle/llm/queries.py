@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and the same in DuckDB's SQL where SQL can express them."""
 
 from corpuscle.llm.licenses import op10_license_votes
+from corpuscle.llm.line_dedup import op5_line_dedup
 from corpuscle.llm.pattern_packing import op7_pattern_packing
 from corpuscle.llm.secrets import op2_secret_links
 from corpuscle.llm.substring_dedup import op4_substring_dedup
@@ -9,6 +10,7 @@ from corpuscle.llm.token_shards import op8_token_shards
 QUERIES = {
     "op2_secret_links": op2_secret_links,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_token_shards": op8_token_shards,
     "op10_license_votes": op10_license_votes,
@@ -25,4 +27,13 @@ ORACLES = {
           sha256(coalesce(array_to_string(case when gone is null then words else list_filter(words, lambda x, i: not list_contains(gone, i)) end, ' '), '')) as kept_sha256
         from w left join t using (doc_id)
     """,
+    "op5_line_dedup": r"""
+        with l as (select doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+                   from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from documents)),
+        c as (select k from l where k <> '' group by k having count(distinct doc_id) >= 10),
+        m as (select l.*, c.k is not null as gone from l left join c using (k))
+        select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+          sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+        from m group by doc_id
+    """,
 }
