@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and the same in DuckDB's SQL where SQL can express them."""
 
+from corpuscle.llm.language_id import op1_language_id
 from corpuscle.llm.licenses import op10_license_votes
 from corpuscle.llm.line_dedup import op5_line_dedup
 from corpuscle.llm.pattern_packing import op7_pattern_packing
@@ -8,6 +9,7 @@ from corpuscle.llm.substring_dedup import op4_substring_dedup
 from corpuscle.llm.token_shards import op8_token_shards
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_secret_links": op2_secret_links,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
