@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and the same in DuckDB's SQL where SQL can express them."""
 
+from corpuscle.llm.edit_fingerprint import op3_edit_fingerprint
 from corpuscle.llm.language_id import op1_language_id
 from corpuscle.llm.licenses import op10_license_votes
 from corpuscle.llm.line_dedup import op5_line_dedup
@@ -11,6 +12,7 @@ from corpuscle.llm.token_shards import op8_token_shards
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_links": op2_secret_links,
+    "op3_edit_fingerprint": op3_edit_fingerprint,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op7_pattern_packing": op7_pattern_packing,
