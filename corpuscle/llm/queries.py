@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and the same in DuckDB's SQL where SQL can express them."""
 
 from corpuscle.llm.edit_fingerprint import op3_edit_fingerprint
+from corpuscle.llm.jaccard_join import op9_jaccard_join
 from corpuscle.llm.language_id import op1_language_id
 from corpuscle.llm.licenses import op10_license_votes
 from corpuscle.llm.line_dedup import op5_line_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_token_shards": op8_token_shards,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_license_votes": op10_license_votes,
 }
 
