@@ -147,9 +147,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return model
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
     """The columns ``keep`` of docs, and lang_pred (NO_LANGUAGE for texts without a letter, or if nothing was learned),
-    score (0 to 1: the share of the language's exponentiated cosine), cosine (the largest), rejected.
+    score (0 to 1: the share of the language's exponentiated cosine), cosine (the largest), rejected; with keep_text the
+    text too.
 
     Only the text decides. Defined cases: null and empty texts have no letter: NO_LANGUAGE, score 0, rejected; equal
     texts get equal results; ties go to the language first in order; an empty table gives an empty table.
@@ -157,6 +158,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     kept = [docs.schema[c] for c in keep]
     schema = T.StructType([*kept, *T._parse_datatype_string("lang_pred string, score double, cosine double, rejected boolean").fields])
     kinds = [to_arrow_type(f.dataType) for f in kept]
+    if keep_text:
+        schema = T.StructType([*schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, "_text", 1 << 20, 128):
@@ -171,7 +174,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
                 best, top, score, has = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
             names = [model.languages[b] if h else NO_LANGUAGE for b, h in zip(best, has, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i + 1).cast(k) for i, k in enumerate(kinds)), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, top, 0.0)), pa.array(~has | (top < model.least))],
+                [*(batch.column(i + 1).cast(k) for i, k in enumerate(kinds)), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, top, 0.0)), pa.array(~has | (top < model.least)), *[batch.column(0).cast(pa.string())] * keep_text],
                 names=schema.names,
             )
 

@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and the same in DuckDB's SQL where SQL can express them."""
 
+import corpus_pipeline
 from corpuscle.llm.decontaminate import op6_simhash_windows
 from corpuscle.llm.edit_fingerprint import op3_edit_fingerprint
 from corpuscle.llm.jaccard_join import op9_jaccard_join
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_token_shards": op8_token_shards,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_votes": op10_license_votes,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
