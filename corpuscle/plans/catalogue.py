@@ -1,4 +1,555 @@
-"""The registered queries over the driver's tables, and the same in DuckDB's SQL."""
+"""The registered queries over the driver's tables, each an application of this package's operators, and the same in
+DuckDB's SQL where SQL can say it. Every query runs over its whole tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpuscle.functions import greek, hebrew, markup, morphology, references
+from corpuscle.operators import alignment, matching, postings, quality, ranges, sanitize, search, vocabulary
+from corpuscle.session import attach
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def rows(self, rows: list, schema: str) -> DataFrame:
+        return self.spark.createDataFrame(rows, schema)
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its name, with its SQL."""
+
+    def register(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(attach(spark), sf_dir))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return run
+
+    return register
+
+
+TOKENS = "regexp_extract_all(lower(text), '[a-z]+')"
+
+
+# ---- text
+
+
+@query("select doc_id, len(w)::bigint as n_words, len(t)::bigint as n_tokens from (select doc_id, list_filter(regexp_split_to_array(text, '[ -]+'), lambda x: x <> '') as w, list_filter(string_split(text, ' '), lambda x: x <> '') as t from documents)")
+def content_words(t):
+    split = F.filter(F.split(F.translate("text", "-", " "), " "), lambda x: x != "")
+    return t.documents.select("doc_id", F.size(split).cast("long").alias("n_words"), F.size(hebrew.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query("select lang, count(distinct w)::bigint as n_folded, count(*)::bigint as n from (select lang, unnest(regexp_split_to_array(strip_accents(lower(text)), '[ \\n]+')) as w from documents) where w <> '' group by lang")
+def fold_base(t):
+    words = t.documents.select("lang", F.explode(F.split(greek.fold(F.col("text")), "[ \n]+")).alias("w")).where("w <> ''")
+    return words.groupBy("lang").agg(F.countDistinct("w").alias("n_folded"), F.count("*").alias("n"))
+
+
+@query("select lang, count(distinct w)::bigint as n_folded, count(distinct o)::bigint as n_words from (select lang, unnest(regexp_split_to_array(text, '[ \\n]+')) as o, strip_accents(o) as w from documents) where o <> '' group by lang")
+def fold_case_sensitive(t):
+    words = t.documents.select("lang", F.explode(F.split("text", "[ \n]+")).alias("o")).where("o <> ''")
+    return words.groupBy("lang").agg(F.countDistinct(greek.plain(F.col("o"))).alias("n_folded"), F.countDistinct("o").alias("n_words"))
+
+
+@query("select p_partkey, regexp_replace(p_name, '[aeiou ]', '', 'g') as skeleton, regexp_replace(regexp_replace(lower(p_name), '[^a-z]', '', 'g'), '[wy]', '', 'g') as bare from part")
+def skeleton(t):
+    return t.part.select("p_partkey", F.regexp_replace("p_name", "[aeiou ]", "").alias("skeleton"), F.translate(F.regexp_replace(F.lower("p_name"), "[^a-z]", ""), "wy", "").alias("bare"))
+
+
+@query(r"""select lead, trail, count(*)::bigint as n, count(distinct word)::bigint as n_words from (
+    select regexp_extract(w, '^([(\[«‹“‘⟦]*)', 1) as lead, regexp_extract(w, '([⟧)\]»›”’.,;·:!?—–-]*)$', 1) as trail,
+      substr(w, length(lead) + 1, greatest(length(w) - length(lead) - length(trail), 0)) as word
+    from (select unnest(string_split(text, ' ')) as w from documents) where w <> '') group by all""")
+def split_printed(t):
+    words = t.documents.select(F.explode(hebrew.tokens(F.col("text"))).alias("w")).select(greek.split_printed(F.col("w")).alias("s"))
+    return words.groupBy("s.lead", "s.trail").agg(F.count("*").alias("n"), F.countDistinct("s.word").alias("n_words"))
+
+
+@query(r"select p_partkey, case when regexp_matches(x, '^[0-9]+( [a-z])?$') then x end as lemma_id from (select p_partkey, regexp_replace(list_last(string_split('c/' || p_size || case when p_partkey % 3 = 0 then ' a' when p_partkey % 3 = 1 then '+' else 'x' end, '/')), '\+$', '') as x from part)")
+def lemma_id(t):
+    code = F.concat(F.lit("c/"), F.col("p_size"), F.when(F.col("p_partkey") % 3 == 0, " a").when(F.col("p_partkey") % 3 == 1, "+").otherwise("x"))
+    return t.part.select("p_partkey", hebrew.lemma_id(code).alias("lemma_id"))
+
+
+@query("""select code, n, case code when 'A' then 'verb' when 'N' then 'noun' when 'R' then 'preposition' else 'other' end as class,
+    case when status = 'F' then 'feminine' when status = 'O' then null end as gender from
+    (select l_returnflag as code, l_linestatus as status, count(*)::bigint as n from lineitem group by all)""")
+def decode_codes(t):
+    counted = t.lineitem.groupBy(F.col("l_returnflag").alias("code"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"))
+    classes = F.coalesce(morphology.lookup({"A": "verb", "N": "noun", "R": "preposition"}, F.col("code")), F.lit("other"))
+    return counted.select("code", "n", classes.alias("class"), morphology.lookup({"F": "feminine", "M": "masculine"}, F.col("status")).alias("gender"))
+
+
+@query("""select code, count(*)::bigint as n, case substr(code, 2, 1) when 'P' then 'present' when 'A' then 'aorist' end || ' · active · indicative · ' || substr(code, 1, 1) || case substr(code, 1, 1) when '1' then 'st' when '2' then 'nd' else 'rd' end || case substr(code, 6, 1) when 'S' then ' singular' else ' plural' end as features
+    from (select (l_linenumber % 3 + 1) || case when l_quantity < 25 then 'P' else 'A' end || 'AI-' || case when l_returnflag = 'N' then 'S' else 'P' end || '--' as code from lineitem) group by code""")
+def decode_greek(t):
+    code = F.concat((F.col("l_linenumber") % 3 + 1).cast("string"), F.when(F.col("l_quantity") < 25, "P").otherwise("A"), F.lit("AI-"), F.when(F.col("l_returnflag") == "N", "S").otherwise("P"), F.lit("--"))
+    counted = t.lineitem.groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+    return counted.select("code", "n", morphology.decode_greek(F.lit("V-"), F.col("code"))["features"].alias("features"))
+
+
+@query("""select code, count(*)::bigint as n, case substr(code, 4, 1) when 'p' then 'Piʿel' else 'Qal' end || ' · ' || case substr(code, 5, 1) when 'p' then 'perfect' else 'imperfect' end || ' · ' || substr(code, 6) as features, 1::bigint as n_prefixes
+    from (select 'C/V' || case when l_tax < 0.04 then 'p' else 'q' end || case when l_discount < 0.05 then 'p' else 'i' end || (l_linenumber % 3 + 1) || 'ms' as code from lineitem) group by code""")
+def decode_hebrew(t):
+    code = F.concat(F.lit("C/V"), F.when(F.col("l_tax") < 0.04, "p").otherwise("q"), F.when(F.col("l_discount") < 0.05, "p").otherwise("i"), (F.col("l_linenumber") % 3 + 1).cast("string"), F.lit("ms"))
+    counted = t.lineitem.groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+    told = morphology.decode_hebrew(F.lit("c/559"), F.concat(F.lit("H"), F.col("code")))
+    return counted.select("code", "n", told["features"].alias("features"), F.size(told["prefixes"]).cast("long").alias("n_prefixes"))
+
+
+@query("""select n, case n // 10 when 0 then '' when 1 then 'י' when 2 then 'כ' when 3 then 'ל' when 4 then 'מ' else 'נ' end as tens, count(*)::bigint as c from (select l_quantity::int as n from lineitem) group by n""")
+def numerals(t):
+    counted = t.lineitem.groupBy(F.col("l_quantity").cast("int").alias("n")).agg(F.count("*").alias("c"))
+    tens = F.when(F.col("n") % 10 == 0, hebrew.numeral(F.col("n"))).when(F.col("n") < 10, "").otherwise(hebrew.numeral(F.col("n") - F.col("n") % 10))
+    return counted.select("n", tens.alias("tens"), "c")
+
+
+@query(r"select l_quantity::int as n, array_to_string([case (n // 10) when 1 then 'ι' when 2 then 'κ' when 3 then 'λ' when 4 then 'μ' when 5 then 'ν' else '' end, substr('-αβγδεϛζηθ', n % 10 + 1, 1), 'ʹ'], '').replace('-', '') as numeral from lineitem group by 1")
+def greek_numerals(t):
+    n = F.col("l_quantity").cast("int")
+    return t.lineitem.select(n.alias("n")).distinct().select("n", greek.numeral(F.col("n")).alias("numeral"))
+
+
+# ---- references
+
+
+@query(r"""with p as (select page_id, regexp_extract(url, '([a-z]+)[^a-z0-9]*([0-9]+)?$', 1) as word, try_cast(regexp_extract(url, '([0-9]+)[^0-9]*$', 1) as int) as num from pages)
+    select page_id, case when num between 1 and 100 then 'Site' end as book, case when num between 1 and 100 then num end as ch from p""")
+def parse_ref(t):
+    canon = t.rows([("Site", "he", "Site", "All", [9] * 100, 0)], "id string, lang string, en string, section string, verses array<int>, idx int")
+    aliases = t.rows([("page", "Site")], "alias string, id string")
+    pages = t.pages.select("page_id", F.concat(F.lit("page "), F.regexp_extract("url", "([0-9]+)[^0-9]*$", 1)).alias("ref"))
+    pages = pages.withColumn("ref", F.when(F.col("ref") != "page ", F.col("ref")))
+    return references.parse_refs(pages, "ref", canon, aliases).select("page_id", "book", "ch")
+
+
+@query("""select o_orderkey, case when o_orderkey % 7 = 0 then 'X' else 'Order' || ' ' || (o_orderkey % 5 + 1) || case when o_orderkey % 2 = 0 then ':' || (o_orderkey % 9 + 1) else '' end end as label, (o_orderkey % 7 <> 0 and o_orderkey % 5 + 1 <= 4)::boolean as valid from orders""")
+def ref_label(t):
+    key = F.col("o_orderkey")
+    en, ch, v = F.when(key % 7 != 0, "Order"), key % 5 + 1, F.when(key % 2 == 0, key % 9 + 1)
+    verses = F.when(key % 7 != 0, F.array(*[F.lit(9)] * 4))
+    return t.orders.select("o_orderkey", references.ref_label(en, F.lit("X"), ch, v).alias("label"), references.valid_ref(verses, ch).alias("valid"))
+
+
+@query("select o_orderkey, lag(o_orderkey) over w as prev, lead(o_orderkey) over w as next from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
+def adjacent(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t.orders.select("o_orderkey", F.lag("o_orderkey").over(w).alias("prev"), F.lead("o_orderkey").over(w).alias("next"))
+
+
+@query("""with c as (select n_nationkey, n_regionkey, unnest(range(1, n_nationkey % 4 + 2)) as ch from nation)
+    select n_nationkey::int as book, ch::int as ch, (lead(n_nationkey * 100 + ch) over w)::int as next_ref, (lag(n_nationkey * 100 + ch) over w)::int as prev_ref from c window w as (partition by n_regionkey order by n_nationkey, ch)""")
+def chapter_neighbours(t):
+    canon = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("lang"), F.col("n_nationkey").alias("idx"), F.array_repeat(F.lit(9), F.col("n_nationkey") % 4 + 1).alias("verses"))
+    ref = lambda c: F.col(f"{c}.book") * 100 + F.col(f"{c}.ch")
+    return references.chapters(canon).select("book", "ch", ref("next").alias("next_ref"), ref("prev").alias("prev_ref"))
+
+
+# ---- index and aggregation
+
+
+@query(f"""with w as (select doc_id, unnest({TOKENS}) as token, unnest(range(len({TOKENS}))) as i from documents)
+    select token, count(*)::bigint as n, min(doc_id) as first_doc, arg_min(i, struct_pack(d := doc_id, i := i))::bigint as first_i, max(doc_id) as last_doc from w group by token""")
+def concordance(t):
+    rows = postings.occurrences(t.documents, "doc_id", postings.ascii_tokens(F.col("text")))
+    out = postings.first_and_last(rows, "token", ["doc_id", "i"])
+    return out.select("token", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.i").cast("long").alias("first_i"), F.col("last.doc_id").alias("last_doc"))
+
+
+@query("select o_custkey, arg_min(o_orderkey, o_orderkey) as o_orderkey, arg_min(o_totalprice, o_orderkey) as o_totalprice from orders group by o_custkey")
+def first_wins(t):
+    return matching.first_wins(t.orders.select("o_custkey", "o_orderkey", "o_totalprice", F.col("o_orderkey").alias("ordinal")), "o_custkey", "ordinal").drop("ordinal")
+
+
+@query("""select user_id, event_type, n from (select user_id, event_type, count(*)::bigint as n, min(struct_pack(t := ts, e := event_id)) as f from events group by all)
+    qualify row_number() over (partition by user_id order by n desc, f) = 1""")
+def argmax_tie(t):
+    ordinal = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)") * 1_000_000_000 + F.col("event_id")
+    return matching.arg_max(t.events.withColumn("ordinal", ordinal), "user_id", "event_type", "ordinal")
+
+
+@query("""select prev, event_type, count(*)::bigint as n from (select event_type, lag(event_type) over (partition by user_id order by ts, event_id) as prev from events) where prev is not null group by all""")
+def pair_counts(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return postings.pair_counts(t.events.withColumn("prev", F.lag("event_type").over(w)).where("prev is not null"), "prev", "event_type")
+
+
+@query("""select lang, source, grouping(lang)::bigint * 2 + grouping(source) as level, count(*)::bigint as words, count(l.doc_id)::bigint as own, round(count(l.doc_id) / count(*), 3)::double as coverage
+    from documents d left join labels l using (doc_id) group by rollup(lang, source)""")
+def coverage_rollup(t):
+    rows = t.documents.join(t.labels.select("doc_id", F.lit(1).alias("own")), "doc_id", "left")
+    total = rows.rollup("lang", "source").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("words"), F.count("own").alias("own"))
+    return total.withColumn("coverage", F.round(F.col("own") / F.col("words"), 3))
+
+
+@query("""select count(*)::bigint as words, count(l.doc_id)::bigint as own, (floor(count(l.doc_id) * 10000 / count(*) + 0.5) / 100)::double as percent from documents d left join labels l using (doc_id)""")
+def coverage_total(t):
+    rows = t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(1).alias("own")), "doc_id", "left")
+    return rows.agg(F.count("*").alias("words"), F.count("own").alias("own")).withColumn("percent", postings.percent(F.col("own"), F.col("words")))
+
+
+@query(f"""with w as (select unnest({TOKENS}) as token from documents), d as (select distinct token from w), l as (select substr(token, 1, 1) as letter, count(*) as n from d group by 1),
+    s as (select token, case when l.n > 320 then substr(token, 1, 2) else letter end as shard from d join l on letter = substr(token, 1, 1))
+    select shard, count(*)::bigint as n from s group by shard""")
+def letter_split(t):
+    words = t.documents.select(F.explode(postings.ascii_tokens(F.col("text"))).alias("token")).distinct()
+    letter = F.substring("token", 1, 1)
+    split = F.broadcast(postings.frequent(words.select(letter.alias("letter")), "letter", 320))  # at most 26 letters
+    sharded = words.join(split, letter == F.col("letter"), "left").select(F.when(F.col("letter").isNotNull(), F.substring("token", 1, 2)).otherwise(letter).alias("shard"))
+    return sharded.groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query("select (o_orderkey // 300)::bigint as shard, count(*)::bigint as n from orders group by 1")
+def int_shard(t):
+    return t.orders.groupBy(postings.number_shard(F.col("o_orderkey")).alias("shard")).agg(F.count("*").alias("n"))
+
+
+@query("select distinct 'he' as lang, (o_orderkey // 3000)::bigint as shard from orders")
+def shard_manifest(t):
+    return postings.manifest(t.orders.select(F.struct(F.lit("he").alias("lang"), postings.number_shard(F.col("o_orderkey"), 3000).alias("shard")).alias("s")), "s").select("s.*")
+
+
+@query("""select k || '/he-' || s as path from (select distinct o_orderkey // 3000 as s from orders), (select unnest(['lex', 'conc']) as k) union all select 'gr/' || n_name from nation union all select unnest(['index.json', 'canon.json'])""")
+def data_files(t):
+    shards = t.orders.select(F.lit("he").alias("lang"), postings.number_shard(F.col("o_orderkey"), 3000).alias("shard")).distinct()
+    return postings.data_files(shards, t.nation.select(F.lit("gr").alias("lang"), F.col("n_name").alias("book")), ["index.json", "canon.json"])
+
+
+@query("""with f as (select p_type, p_brand, min(p_partkey) as o from part group by all), r as (select *, row_number() over (partition by p_type order by o) as n from f)
+    select p_type, string_agg(p_brand, ', ' order by o) as gloss from r where n <= 3 group by p_type""")
+def distinct_gloss(t):
+    firsts = t.part.groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("o"))
+    listed = firsts.groupBy("p_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "p_brand"))), lambda x: x["p_brand"]).alias("g"))
+    return listed.select("p_type", postings.distinct_in_order(F.col("g")).alias("gloss"))
+
+
+@query("""with d as (select unnest(['new', 'recognized', 'familiar', 'known', 'automatic']) as status), e as (select case event_type when 'click' then 'recognized' when 'view' then 'new' when 'purchase' then 'known' else 'other' end as status from events)
+    select d.status, count(e.status)::bigint as n from d left join e using (status) group by d.status""")
+def status_zero_filled(t):
+    status = F.coalesce(morphology.lookup({"click": "recognized", "view": "new", "purchase": "known"}, F.col("event_type")), F.lit("other"))
+    return vocabulary.status_counts(t.events.select(status.alias("status"))).select("status", F.col("n").cast("long").alias("n"))
+
+
+# ---- ranges
+
+
+@query("""with r as (select * from (values ('F', 1, 100, 1000, 1), ('F', 50, 500, 2000, 2), ('O', 1, 1000, 5000, 3)) v(s, lo, hi, dest, rule_no)),
+    h as (select o_orderkey, r.*, row_number() over (partition by o_orderkey order by rule_no) as n from orders join r on o_orderstatus = s and o_orderkey between lo and hi)
+    select o.o_orderkey, coalesce(h.dest + o.o_orderkey - h.lo, o.o_orderkey)::bigint as place, h.rule_no::int as rule_no from orders o left join h on h.o_orderkey = o.o_orderkey and h.n = 1""")
+def range_rules(t):
+    rules = t.rows([("F", 1, 100, 1000, 1), ("F", 50, 500, 2000, 2), ("O", 1, 1000, 5000, 3)], "o_orderstatus string, lo long, hi long, dest long, rule_no int")
+    found = ranges.first_rule(t.orders.select("o_orderkey", "o_orderstatus", F.col("o_orderkey").alias("p")), rules, ["o_orderstatus"], "p", "o_orderkey")
+    return found.select("o_orderkey", ranges.shifted(F.col("p"), F.col("lo"), F.col("dest")).alias("place"), "rule_no")
+
+
+@query("""with s as (select user_id, event_id, ts as a, ts + to_seconds(value::int) as b from events),
+    f as (select *, case when a <= max(b) over (partition by user_id order by a, b, event_id rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from s),
+    i as (select *, sum(n) over (partition by user_id order by a, b, event_id rows unbounded preceding) as island from f)
+    select user_id, island::bigint as island, count(*)::bigint as n, min(event_id) as first_event from i group by all""")
+def interval_clusters(t):
+    spans = t.events.select("user_id", "event_id", F.col("ts").alias("a"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.round("value").cast("int"))).alias("b"))
+    return ranges.islands(spans, ["user_id"], "a", "b", ["a", "b", "event_id"]).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("""with t as (select conv_id, turn, text, role, coalesce(sum((role = 'assistant')::int) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as segment from conversations),
+    c as (select conv_id, segment, min(turn) as lo, max(turn) as hi from t group by all)
+    select c.conv_id, c.segment::bigint as segment, count(w)::bigint as n_words from c join conversations x on x.conv_id = c.conv_id and x.turn between c.lo and c.hi, lateral (select unnest(regexp_extract_all(lower(x.text), '[a-z]+')) as w) group by all""")
+def range_scan_words(t):
+    cut = ranges.segments_after(t.conversations, ["conv_id"], ["turn"], F.col("role") == "assistant")
+    spans = cut.groupBy("conv_id", "segment").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"))
+    inside = spans.join(t.conversations, "conv_id").where("turn between lo and hi")
+    words = inside.select("conv_id", "segment", F.explode(postings.ascii_tokens(F.col("text"))).alias("w"))
+    return words.groupBy("conv_id", "segment").agg(F.count("*").alias("n_words"))
+
+
+@query(f"""with i as (select distinct unnest({TOKENS}) as w from benchmark), d as (select doc_id, {TOKENS} as ws from documents),
+    m as (select doc_id, len(ws) as n, (select count(*) from (select unnest(ws) as x) join i on x = w) as k from d)
+    select doc_id, n::bigint as n, k::bigint as matched, (n >= 4 and k < 0.4 * n and not (k >= 0.8 * 900))::boolean as rejected from m""")
+def accept_filter(t):
+    items = t.benchmark.select(F.explode(postings.ascii_tokens(F.col("text"))).alias("token")).distinct().withColumn("hit", F.lit(1))
+    rows = t.documents.select("doc_id", F.explode_outer(postings.ascii_tokens(F.col("text"))).alias("token")).join(items, "token", "left")
+    counted = rows.groupBy("doc_id").agg(F.count("token").alias("n"), F.count("hit").alias("matched"))
+    return counted.withColumn("rejected", (F.col("n") >= 4) & (F.col("matched") < 0.4 * F.col("n")) & ~(F.col("matched") >= 0.8 * 900))
+
+
+@query("select conv_id, turn, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as user_text from conversations")
+def forward_fill(t):
+    return ranges.forward_fill(t.conversations, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("text")), "user_text").select("conv_id", "turn", "user_text")
+
+
+@query("select conv_id, turn, coalesce(sum((role = 'assistant')::int) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as segment from conversations")
+def segments(t):
+    return ranges.segments_after(t.conversations, ["conv_id"], ["turn"], F.col("role") == "assistant").select("conv_id", "turn", "segment")
+
+
+@query("select conv_id, turn, coalesce(sum(len(regexp_extract_all(lower(text), '[a-z]+'))) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\" from conversations")
+def running_offsets(t):
+    return ranges.running_offset(t.conversations, ["conv_id"], ["turn"], F.size(postings.ascii_tokens(F.col("text")))).select("conv_id", "turn", F.col("offset").cast("long").alias("offset"))
+
+
+@query("""with recursive n as (select o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as nx, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as r from orders),
+    w as (select o_orderkey as start, o_orderkey as node, 0 as step from n where r = 1 union all select w.start, n.nx, w.step + 1 from w join n on n.o_orderkey = w.node where n.nx is not null)
+    select start, max(step)::int as steps, max(node) as greatest from w group by start""")
+def chain_walk(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    links = t.orders.select("o_orderkey", F.lead("o_orderkey").over(w).alias("next"), F.row_number().over(w).alias("r"))
+    return ranges.walk_chain(links, links.where("r = 1"), "o_orderkey", "next").groupBy("start").agg(F.max("step").alias("steps"), F.max("node").alias("greatest"))
+
+
+# ---- matching
+
+
+@query("""with c as (select p_partkey, l_orderkey * 10 + l_linenumber as o, l_returnflag, l_quantity from part join lineitem on l_partkey = p_partkey)
+    select p_partkey, o as pick, l_returnflag as flag from (select *, row_number() over (partition by p_partkey order by (l_returnflag <> 'R')::int, (l_quantity < 25)::int, o) as n from c) where n = 1
+    union all select p_partkey, null, null from part where p_partkey not in (select l_partkey from lineitem)""")
+def top1_pick(t):
+    pool = t.lineitem.select(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pick"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("q"))
+    wanted = t.part.select(F.col("p_partkey").alias("_w"), "p_partkey")
+    found = matching.pick(wanted, pool, by=[("p_partkey", "k")], prefer=[F.col("flag") == "R", F.col("q") >= 25], ordinal="pick", out=["pick", "flag"])
+    return found.select("p_partkey", "pick", "flag")
+
+
+@query(f"""with bt as (select distinct item_id, unnest({TOKENS}) as w from benchmark), dt as (select distinct doc_id, unnest({TOKENS}) as w from documents),
+    s as (select item_id, doc_id, count(*) as shared from bt join dt using (w) group by all),
+    f as (select item_id, doc_id, 4 * (shared >= 20)::int + 2 * (lang = 'en')::int + (n_chars <= 1000)::int + shared as score from s join documents using (doc_id))
+    select item_id, doc_id, score::bigint as score, (score >= 30)::boolean as accepted from f qualify row_number() over (partition by item_id order by score desc, doc_id) = 1""")
+def scored_match(t):
+    words = lambda df, key: df.select(key, F.explode(F.array_distinct(postings.ascii_tokens(F.col("text")))).alias("w"))
+    items = words(t.benchmark, "item_id")
+    shared = words(t.documents, "doc_id").join(items, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    facts = shared.join(t.documents.select("doc_id", "lang", "n_chars"), "doc_id")
+    score = 4 * (F.col("shared") >= 20).cast("int") + 2 * (F.col("lang") == "en").cast("int") + (F.col("n_chars") <= 1000).cast("int") + F.col("shared")
+    best = facts.groupBy("item_id").agg(F.max_by(F.struct("doc_id", score.cast("long").alias("score")), F.struct(score, -F.col("doc_id"))).alias("b"))
+    return best.select("item_id", "b.doc_id", "b.score").withColumn("accepted", F.col("score") >= 30)
+
+
+@query("""with d as (select p_type as k, min(p_partkey) as v from part group by 1),
+    f as (select p_partkey, unnest([p_name, p_type, regexp_replace(p_type, ' .*$', '')]) as k, unnest([0, 1, 2]) as at from part),
+    m as (select p_partkey, v, at, row_number() over (partition by p_partkey order by at) as n from f join d using (k))
+    select p.p_partkey, m.v as match, m.at::int as at, case m.at when 0 then 'exact' when 1 then 'alias' when 2 then 'folded' else '' end as source from part p left join m on m.p_partkey = p.p_partkey and n = 1""")
+def cascade_match(t):
+    dictionary = t.part.groupBy(F.col("p_type").alias("k")).agg(F.min("p_partkey").alias("match"))
+    wanted = t.part.select(F.col("p_partkey").alias("_w"), "p_partkey", "p_name", "p_type")
+    found = matching.cascade(wanted, F.array("p_name", "p_type", F.regexp_replace("p_type", " .*$", "")), dictionary, "k", "match")
+    return found.select("p_partkey", "match", "at", F.coalesce(F.get(F.array(F.lit("exact"), F.lit("alias"), F.lit("folded")), F.col("at")), F.lit("")).alias("source"))
+
+
+@query("""select n_nationkey, case when p_name <> '' and n_nationkey % 3 = 0 then p_name when n_nationkey % 3 = 1 and p_brand <> '' then p_brand else '' end as gloss,
+    case when n_nationkey % 3 = 0 then 'curated' when n_nationkey % 3 = 1 then 'index' else '' end as source from nation join part on p_partkey = n_nationkey + 1""")
+def gloss_cascade(t):
+    rows = t.nation.join(t.part, F.col("p_partkey") == F.col("n_nationkey") + 1)
+    k = F.col("n_nationkey") % 3
+    gloss = markup.first_gloss(("curated", F.when(k == 0, F.col("p_name"))), ("index", F.when(k == 1, F.col("p_brand"))))
+    return rows.select("n_nationkey", gloss.alias("g")).select("n_nationkey", "g.gloss", "g.source")
+
+
+@query("""with l as (select distinct c_mktsegment || '' as lemma from customer union select n_name from nation),
+    t as (select n_name as target from nation union select 'BUILDING')
+    select lemma, case when target = 'BUILDING' then null else target end as target from l left join t on target = lemma""")
+def reconcile_block(t):
+    lemmas = t.customer.select(F.col("c_mktsegment").alias("lemma")).unionByName(t.nation.select(F.col("n_name").alias("lemma")))
+    targets = t.nation.select(F.col("n_name").alias("target"), F.col("n_nationkey").alias("ordinal")).unionByName(t.rows([("BUILDING", 99)], "target string, ordinal int"))
+    blocked = t.rows([("BUILDING", "BUILDING")], "lemma string, target string")
+    return matching.reconcile(lemmas, targets, "lemma", "target", "ordinal", greek.candidate_forms, greek.fold_case_sensitive, blocked)
+
+
+@query("""with n as (select distinct p_name as w from part), p as (select a.w as a, b.w as b from n a join n b on substr(a.w, 1, 4) = substr(b.w, 1, 4) and a.w < b.w)
+    select a, b, (levenshtein(a, b) <= case when least(length(a), length(b)) <= 5 then 1 else 3 end)::boolean as same from p where levenshtein(a, b) <= 3""")
+def same_word(t):
+    names = t.part.select("p_name").distinct()
+    start = lambda c: F.substring(c, 1, 4)
+    a, b = names.select(F.col("p_name").alias("a"), start("p_name").alias("s")), names.select(F.col("p_name").alias("b"), start("p_name").alias("s"))
+    return a.join(b, "s").where("a < b").where(F.levenshtein("a", "b", 3) >= 0).select("a", "b", greek.same_word(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("""with a as (select c_custkey, c_nationkey from customer where c_custkey in (select o_custkey from orders)), n as (select c_nationkey, count(*) as n, sum(c_custkey) as s from a group by 1)
+    select c.c_custkey, (coalesce(n.n, 0) - (a.c_custkey is not null)::int)::bigint as n_family, (coalesce(n.s, 0) - coalesce(a.c_custkey, 0))::bigint as family_sum from customer c left join n using (c_nationkey) left join a on a.c_custkey = c.c_custkey""")
+def family(t):
+    """The sizes of root families; the members stay aggregated, for one family may hold a great part of all rows."""
+    alive = t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi").select("c_custkey", "c_nationkey", F.lit(True).alias("alive"))
+    sums = alive.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("s"))
+    joined = t.customer.select("c_custkey", "c_nationkey").join(sums, "c_nationkey", "left").join(alive.select("c_custkey", "alive"), "c_custkey", "left")
+    mine = F.coalesce("alive", F.lit(False))
+    return joined.select("c_custkey", (F.coalesce("n", F.lit(0)) - mine.cast("int")).alias("n_family"), (F.coalesce("s", F.lit(0)) - F.when(mine, F.col("c_custkey")).otherwise(0)).alias("family_sum"))
+
+
+@query("select n_regionkey, n_nationkey, coalesce((select string_agg(m.n_name, ',' order by m.n_nationkey) from nation m where m.n_regionkey = n.n_regionkey and m.n_name <> n.n_name), '') as family from nation n")
+def family_list(t):
+    members = t.nation.select("n_regionkey", "n_name", "n_nationkey")
+    lists = matching.family(members, "n_regionkey", "n_name", "n_nationkey", members)
+    return lists.join(F.broadcast(members.select("n_name", "n_nationkey")), "n_name").select("n_regionkey", "n_nationkey", F.array_join("family", ",").alias("family"))
+
+
+@query("select l_suppkey, count(distinct l_partkey)::bigint as n, min(l_partkey) as first_part, max(l_partkey) as last_part, sum(distinct l_partkey)::bigint as parts from lineitem where l_partkey in (select p_partkey from part) group by l_suppkey")
+def xref_index(t):
+    links = t.lineitem.select("l_suppkey", "l_partkey").distinct().join(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    return links.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.min("l_partkey").alias("first_part"), F.max("l_partkey").alias("last_part"), F.sum("l_partkey").alias("parts"))
+
+
+@query("select p_brand, string_agg(distinct p_type, ',' order by p_type) as types from part group by p_brand")
+def reverse_map(t):
+    return t.part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"))
+
+
+@query("select o_orderkey, coalesce(a.c_name, b.c_name) as name from orders left join customer a on a.c_custkey = o_custkey * 10 left join customer b on b.c_custkey = o_custkey")
+def fallback_lookup(t):
+    names = t.customer.select("c_custkey", F.col("c_name").alias("name"))
+    return matching.fallback_lookup(t.orders.select("o_orderkey", "o_custkey"), names, F.col("o_custkey") * 10, F.col("o_custkey"), "c_custkey", "name").select("o_orderkey", "name")
+
+
+@query("""with w as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w, unnest(range(len(regexp_extract_all(lower(text), '[a-z]+')))) as i from conversations)
+    select case when b.w is null then 'none' when b.w = a.w then 'joint' else 'own' end as kind, count(*)::bigint as n from w a left join w b on a.conv_id = b.conv_id and b.turn = a.turn + 1 and a.i = b.i group by 1""")
+def positional_join(t):
+    words = postings.occurrences(t.conversations.withColumn("at", F.struct("conv_id", "turn")), "at", postings.ascii_tokens(F.col("text"))).select("at.*", "i", "token")
+    after = words.select("conv_id", (F.col("turn") - 1).alias("turn"), "i", F.col("token").alias("context"))
+    joined = words.join(after, ["conv_id", "turn", "i"], "left").withColumn("context", F.when(F.col("context") == F.col("token"), "").otherwise(F.col("context")))
+    return joined.groupBy(postings.context_kind(F.col("context")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _aligned(t) -> DataFrame:
+    """Documents against the benchmark item with which they share the most words, words of both as arrays."""
+    tokens = postings.ascii_tokens(F.col("text"))
+    best = scored_match(t.spark, t.sf_dir).select("item_id", "doc_id")
+    docs = t.documents.join(best, "doc_id").select("item_id", "doc_id", tokens.alias("other"))
+    return t.benchmark.select("item_id", tokens.alias("base")).join(docs, "item_id")
+
+
+@query()
+def align_lcs(t):
+    found = alignment.align_frame(_aligned(t), "base", "other")
+    matched = F.size(F.filter("alignment", lambda j: j >= 0)).cast("long")
+    return found.select("item_id", "doc_id", F.size("base").cast("long").alias("n"), matched.alias("matched"), alignment.rejected(F.col("alignment"), F.size("other")).alias("rejected"))
+
+
+@query("select a.item_id, count(*)::bigint as n_equal from benchmark a join benchmark b on regexp_extract_all(lower(a.text), '[a-z]+') = regexp_extract_all(lower(b.text), '[a-z]+') group by a.item_id")
+def align_exact(t):
+    rows = t.benchmark.select("item_id", postings.ascii_tokens(F.col("text")).alias("base"))
+    counts = rows.groupBy("base").agg(F.count("*").alias("n_equal"))
+    return rows.join(counts, "base").select("item_id", "n_equal")
+
+
+# ---- markup and gates
+
+
+@query(r"""with f as (select doc_id, string_split(text, chr(10))[1] as g from documents)
+    select doc_id, (g <> '' and len(regexp_split_to_array(trim(g), '\s+')) <= 6 and not regexp_matches(g, '(?i)\b(thou|thee|thy|thine|ye|hath|shalt|art|wilt|doth|begat|forgattest|didst|saith|unto|whoso|shew|receiveth|maketh|floodest|longeth|dost|hast|wouldest|shutteth|strengtheneth|hurleth)\b')
+      and not regexp_matches(g, '(?i)\b(compare|see|margin|i\.e|e\.g|cf)\b') and not regexp_matches(g, '(?i)^and |^the .* (which|that) |[!?]') and not regexp_matches(g, '\.\s*\S') and not regexp_matches(g, '[{}\[\]]')
+      and len(regexp_extract_all(g, '\(')) = len(regexp_extract_all(g, '\)')) and len(regexp_extract_all(g, '"')) % 2 = 0 and not regexp_matches(g, '[,;:(\-–—.]\s*$') and not regexp_matches(g, '^[,;:)\-–—]'))::boolean as usable from f""")
+def usable_filter(t):
+    return t.documents.select("doc_id", markup.usable_gloss(F.get(F.split("text", "\n"), 0)).alias("usable"))
+
+
+@query()
+def sanitize_pages(t):
+    clean = t.pages.select("page_id", sanitize.sanitize("html").alias("html"))
+    return clean.select("page_id", F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("sha256"), markup.is_safe(F.col("html")).alias("safe"))
+
+
+@query(r"select page_id, length(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&thinsp;', ' '), '&amp;', '&'))::bigint as n_chars from pages".replace('\\"', '"'))
+def strip_tags(t):
+    return t.pages.select("page_id", F.length(markup.strip_tags(F.col("html"))).cast("long").alias("n_chars"))
+
+
+@query(r"""select page_id, len(list_filter(g, lambda x: not regexp_matches(x, '(?i)^</?(b|i|em|span|div|p|a|br|table|tr|td|sup|sub)\b'))) > 0 as tag, len(list_filter(g, lambda x: regexp_matches(x, '(?i)\son\w+\s*='))) > 0 as handler,
+    len(list_filter(g, lambda x: regexp_matches(x, '(?i)\sstyle\s*='))) > 0 as style, len(list_filter(g, lambda x: regexp_matches(x, '(?i)\s(href|src)\s*='))) > 0 as link from (select page_id, regexp_extract_all(html, '<[^>]*>') as g from pages)""")
+def unsafe_flags(t):
+    return t.pages.select("page_id", markup.unsafe_flags(F.col("html")).alias("f")).select("page_id", "f.*")
+
+
+def _events(t) -> DataFrame:
+    kinds = {"click": "lookup", "view": "encounter", "purchase": "status", "signup": "known"}
+    return t.events.select(F.col("user_id").cast("string").alias("key"), morphology.lookup(kinds, F.col("event_type")).alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.concat(F.lit("f"), F.col("event_id") % 50).alias("form"), F.concat(F.lit("c"), F.col("event_id") % 7).alias("chapter"), F.lit("known").alias("status"), F.lit("").alias("gloss")).where("kind is not null")
+
+
+@query()
+def vocab_fold(t):
+    states = vocabulary.fold_vocabulary(_events(t))
+    return states.select("key", "status", "lookups", "encounters", F.size("forms").cast("long").alias("n_forms"), F.size("chapters").cast("long").alias("n_chapters"), "promoted")
+
+
+@query("select user_id::varchar as key, count(*) filter (where event_type = 'click')::bigint as lookups, count(*) filter (where event_type = 'view')::bigint as encounters from events where event_type in ('click', 'view', 'purchase', 'signup') group by 1")
+def vocab_counters(t):
+    return vocabulary.counters(_events(t)).select("key", "lookups", "encounters")
+
+
+@query("select user_id::varchar as book, (event_id % 5)::bigint as ch, bool_or(event_type = 'purchase') as done, count(*) filter (where event_type <> 'purchase')::bigint as visits, max(event_id)::bigint as last_at from events group by 1, 2")
+def chapter_progress(t):
+    visits = t.events.select(F.col("user_id").cast("string").alias("book"), (F.col("event_id") % 5).alias("ch"), (F.col("event_type") == "purchase").alias("done"), F.col("event_id").alias("at"))
+    return vocabulary.chapter_progress(visits)
+
+
+@query("select user_id as book, arg_max(event_id % 5, struct_pack(t := ts, e := event_id)) as ch, arg_max(event_id, struct_pack(t := ts, e := event_id)) as v from events group by 1")
+def last_position(t):
+    rows = t.events.select(F.col("user_id").alias("book"), (F.col("event_id") % 5).alias("ch"), F.col("event_id").alias("v"), "ts")
+    return rows.groupBy("book").agg(F.max_by(F.struct("ch", "v"), F.struct("ts", "v")).alias("p")).select("book", "p.*")
+
+
+@query("select doc_id as path, sha256(text) as sha256 from documents")
+def checksums(t):
+    return quality.content_hashes(t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
+
+
+@query("""select sha256(string_agg(sha256(strlen(p) || ':' || p || strlen(text) || ':' || text), '' order by p)) as fingerprint, count(*)::bigint as n_files from (select doc_id::varchar as p, text from documents)""")
+def fingerprint(t):
+    return quality.fingerprint(t.documents.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
+
+
+@query(r"""select 'empty text' as gate, count(*) filter (where text = '')::bigint as n from documents union all select 'unknown language', count(*) filter (where lang not in ('en', 'de', 'fr', 'es')) from documents
+    union all select 'length', count(*) filter (where n_chars <> length(text)) from documents union all select 'symbols', count(*) filter (where regexp_matches(text, '[$%&*#]{3}')) from documents union all select 'markup', count(*) filter (where html not like '%<%') from pages""")
+def violations(t):
+    docs, pages = t.documents, t.pages
+    return quality.violations({
+        "empty text": (docs, F.col("text") == ""), "unknown language": (docs, ~F.col("lang").isin("en", "de", "fr", "es")), "length": (docs, F.col("n_chars") != F.length("text")),
+        "symbols": (docs, F.col("text").rlike("[$%&*#]{3}")), "markup": (pages, ~F.col("html").contains("<")),
+    })
+
+
+@query("select n_name as name, 'new' as kind from nation where n_name not in ('FRANCE', 'GERMANY', 'ATLANTIS') union all select x, 'gone' from (values ('FRANCE'), ('GERMANY'), ('ATLANTIS')) v(x) where x not in (select n_name from nation)")
+def allowlist_exact(t):
+    allowed = t.rows([("FRANCE",), ("GERMANY",), ("ATLANTIS",)], "name string")
+    return matching.allowlist_differences(t.nation.select(F.col("n_name").alias("name")), allowed, "name")
+
+
+@query("""with g as (select conv_id, max(turn) as m from conversations group by 1), a as (select conv_id, unnest(range(1, m + 1)) as turn from g)
+    select a.conv_id, a.turn::bigint as turn, (c.text is null) as missing from a left join (select * from conversations where turn % 3 <> 1) c using (conv_id, turn)""")
+def densified(t):
+    kept = t.conversations.where("turn % 3 <> 1").select("conv_id", F.col("turn").cast("int").alias("turn"), "text")
+    most = t.conversations.groupBy("conv_id").agg(F.max("turn").cast("int").alias("turn")).withColumn("text", F.lit(None).cast("string"))
+    dense = postings.densify(kept.unionByName(most.join(kept, ["conv_id", "turn"], "left_anti")), ["conv_id"], "turn")
+    return dense.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("text").isNull().alias("missing"))
+
+
+# ---- search
+
+
+@query(f"""with w as (select token, count(*)::bigint as "count" from (select unnest({TOKENS}) as token from documents) group by 1)
+    select token as lemma, "count", (case when token = 'the' then 2 else 0 end)::int as score from w where token like 'th%' and (token = 'the' or starts_with(token, 'the')) order by score desc, "count" desc, lemma limit 80""")
+def search_english(t):
+    words = t.documents.select(F.explode(postings.ascii_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("count"))
+    rows = words.select(F.lit("he").alias("lang"), F.col("token").alias("id"), F.col("token").alias("lemma"), F.lit("").alias("transliteration"), F.col("token").alias("gloss"), "count", F.lit("").alias("strong"), F.lit("").alias("source"), F.col("token").alias("ordinal"))
+    return search.search(rows, "the").select("lemma", "count", F.when(F.col("gloss") == "the", 2).otherwise(0).alias("score"))
+
+
+@query("""select p_partkey::varchar as id, "count" from (select p_partkey, p_size as "count" from part where p_size = 12) order by id""")
+def search_number(t):
+    rows = t.part.select(F.lit("he").alias("lang"), F.concat_ws(" ", "p_size", F.substring("p_brand", 7, 1)).alias("id"), F.col("p_name").alias("lemma"), F.lit("").alias("transliteration"), F.col("p_name").alias("gloss"), F.col("p_size").alias("count"), F.lit("").alias("strong"), F.lit("").alias("source"), F.col("p_partkey").alias("ordinal"))
+    return search.search(rows, "H12", limit=1 << 30).select(F.col("ordinal").cast("string").alias("id"), "count")
