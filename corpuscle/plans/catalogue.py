@@ -343,9 +343,9 @@ def scored_match(t):
 
 
 @query("""with d as (select p_type as k, min(p_partkey) as v from part group by 1),
-    f as (select p_partkey, unnest([p_name, p_type, regexp_replace(p_type, ' .*$', '')]) as k, unnest([0, 1, 2]) as at from part),
-    m as (select p_partkey, v, at, row_number() over (partition by p_partkey order by at) as n from f join d using (k))
-    select p.p_partkey, m.v as match, m.at::int as at, case m.at when 0 then 'exact' when 1 then 'alias' when 2 then 'folded' else '' end as source from part p left join m on m.p_partkey = p.p_partkey and n = 1""")
+    f as (select p_partkey, unnest([p_name, p_type, regexp_replace(p_type, ' .*$', '')]) as k, unnest([0, 1, 2]) as a from part),
+    m as (select p_partkey, v, a, row_number() over (partition by p_partkey order by a) as n from f join d using (k))
+    select p.p_partkey, m.v as match, m.a::int as "at", case m.a when 0 then 'exact' when 1 then 'alias' when 2 then 'folded' else '' end as source from part p left join m on m.p_partkey = p.p_partkey and n = 1""")
 def cascade_match(t):
     dictionary = t.part.groupBy(F.col("p_type").alias("k")).agg(F.min("p_partkey").alias("match"))
     wanted = t.part.select(F.col("p_partkey").alias("_w"), "p_partkey", "p_name", "p_type")
