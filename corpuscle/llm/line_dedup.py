@@ -84,7 +84,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = Fa
     """Drop, from every document, the lines whose key is in at least min_docs documents.
 
     A key is the line without blanks at both ends, A-Z lower-cased; empty keys stay. With keep_first, the document with
-    the least row hash among those with the smallest id keeps its lines of a key (all of them). Needs an integer id.
+    the smallest id among those that have a key keeps its lines of that key (all of them). Needs an integer id.
 
     Returns the columns of docs, with text_col replaced, and n_lines (before), n_dropped. Columns of docs with these two
     names are replaced.
@@ -93,33 +93,27 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = Fa
     own; rows with a null id count as documents too; an empty table gives an empty table; other columns are carried.
     """
     spark = docs.sparkSession
-    # equal ids are told apart by all of the row, equal rows by their number among themselves: nothing is counted twice
-    hashed = docs.select(F.col(id_col).cast("long").alias("_id"), key_hashes(F.col(text_col)).alias("_hs"))
-    hashed = C.written(hashed.withColumn("_batch", F.pmod(F.xxhash64("_id"), F.lit(batches)).cast("int")), "line-hashes", ("_batch",))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    hashed = rows.select("id", key_hashes(F.col("text")).alias("hs"))
+    hashed = C.written(hashed.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "line-hashes", ("batch",))
     runs = LineRuns(spark)
     for batch in range(batches):
-        mine = hashed.where(F.col("_batch") == batch)
-        runs.add(mine.select(F.col("_id").alias("first"), F.explode(F.array_compact(F.array_distinct("_hs"))).alias("h")))
+        mine = hashed.where(F.col("batch") == batch)
+        runs.add(mine.select(F.col("id").alias("first"), F.explode(F.array_compact(F.array_distinct("hs"))).alias("h")))
     common = runs.merged().where(F.col("docs") >= min_docs)
-    if keep_first:
-        common = common.select("h", "first")
-    else:
-        common = common.select("h", F.lit(None).cast("long").alias("first"))
-    # distinct (document, key) that go; documents with one id have the same set, as their common keys are told by h alone
-    lines = hashed.select("_id", F.explode(F.array_compact(F.array_distinct("_hs"))).alias("h"))
-    gone = lines.join(common, "h").where(~F.col("_id").eqNullSafe(F.col("first")) | F.col("first").isNull())
-    gone = gone.groupBy("_id").agg(F.collect_set("h").alias("_gone"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*names).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    cut = joined.withColumn("_lines", text_lines(F.col(text_col)))
-    # one pass over the lines: a dropped line becomes null, which array_join leaves out
-    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda line: ~F.coalesce(F.array_contains("_gone", F.when(line_key(line) != "", F.xxhash64(line_key(line)))), F.lit(False)))
-    )
-    cut = cut.withColumn("_kept", kept)
-    text = F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join("_kept", "\n"))
-    n_lines, n_kept = F.size("_lines").cast("long"), F.size("_kept").cast("long")
-    return cut.select(*[text.alias(c) if c == text_col else c for c in names], n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
+    common = common.select("h", F.col("first") if keep_first else F.lit(None).cast("long").alias("first"))
+    # distinct (id, key) that go; documents with one id share them, for a key is common wherever it stands
+    lines = hashed.select("id", F.explode(F.array_compact(F.array_distinct("hs"))).alias("h"))
+    gone = lines.join(common, "h").where(~F.col("id").eqNullSafe(F.col("first")) | F.col("first").isNull())
+    gone = gone.groupBy(F.col("id").alias("of")).agg(F.collect_set("h").alias("gone"))
+    cut = rows.join(gone, F.col("id").eqNullSafe(F.col("of")), "left").select("text", "row", "gone", text_lines(F.col("text")).alias("lines"))
+    dropped = lambda line: F.coalesce(F.array_contains("gone", F.when(line_key(line) != "", F.xxhash64(line_key(line)))), F.lit(False))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~dropped(line)))
+    cut = cut.withColumn("kept", kept)
+    text = F.when(F.col("gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join("kept", "\n"))
+    n_lines, n_kept = F.size("lines").cast("long"), F.size("kept").cast("long")
+    return cut.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in names], n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
