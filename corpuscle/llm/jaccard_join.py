@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm import common as C
@@ -176,7 +176,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     dealt = scanned.where("class is not null").select("row", "class", "keys", "flags").mapInArrow(_deal(n_buckets), "bucket int, keys binary, rows binary, flags binary")
     shared = dealt.repartitionById(n_buckets, F.col("bucket")).mapInArrow(_shared, "key long, row long, flags int")
     shared = C.written(shared, "jaccard-shared")
-    sketched = shared.join(scanned.select("row", "class", "n_shingles", "sketch"), "row").select("key", "class", "flags", "n_shingles", "sketch")
+    # first which classes a key has, by narrow rows; only keys of two classes or more are looked at with sketches
+    kinds = shared.join(scanned.select("row", "class"), "row").repartition(n_buckets, "key")
+    kinds = kinds.groupBy("key", "class").agg(F.bit_or(F.col("flags").bitwiseAND(PROBE)).alias("probe"), F.min(F.col("flags").bitwiseAND(DELETION)).alias("deletion"))
+    several = Window.partitionBy("key")
+    kinds = C.written(kinds.withColumn("_n", F.count("*").over(several)).where("_n > 1").select("key", "class", (F.col("probe") + F.col("deletion")).alias("flags")), "jaccard-kinds")
+    sketches = scanned.join(kinds.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    sketched = kinds.join(sketches, "class").select("key", "class", "flags", "n_shingles", "sketch")
     edges = sketched.repartition(n_buckets, "key").sortWithinPartitions("key", "class").mapInArrow(_star(percent), "a long, b long")
     families = C.written(components(edges).withColumnRenamed("node", "class").withColumnRenamed("component", "family"), "jaccard-families")
 
