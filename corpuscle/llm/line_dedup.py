@@ -21,6 +21,8 @@ from corpuscle.llm import common as C
 BLANK = " \t\n\x0b\x0c\r"
 #: Batches that a whole table is dealt into, and runs of a level that are merged into one.
 BATCHES, FANOUT = 4, 2
+#: Parts that a common key's documents are dealt into, so that no task gets all of them.
+SALTS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -104,8 +106,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = Fa
     common = runs.merged().where(F.col("docs") >= min_docs)
     common = common.select("h", F.col("first") if keep_first else F.lit(None).cast("long").alias("first"))
     # distinct (id, key) that go; documents with one id share them, for a key is common wherever it stands
-    lines = hashed.select("id", F.explode(F.array_compact(F.array_distinct("hs"))).alias("h"))
-    gone = lines.join(common, "h").where(~F.col("id").eqNullSafe(F.col("first")) | F.col("first").isNull())
+    lines = hashed.select("id", F.explode(F.array_compact(F.array_distinct("hs"))).alias("h"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    gone = lines.join(salted, ["h", "salt"]).where(~F.col("id").eqNullSafe(F.col("first")) | F.col("first").isNull())
     gone = gone.groupBy(F.col("id").alias("of")).agg(F.collect_set("h").alias("gone"))
     cut = rows.join(gone, F.col("id").eqNullSafe(F.col("of")), "left").select("text", "row", "gone", text_lines(F.col("text")).alias("lines"))
     dropped = lambda line: F.coalesce(F.array_contains("gone", F.when(line_key(line) != "", F.xxhash64(line_key(line)))), F.lit(False))
