@@ -10,15 +10,19 @@ What each stage decides:
   learned) go.
 * line_dedup: a line whose key is in 10 documents or more stays in the first of them only; a document that had text and
   has no line left goes, for all its lines stand elsewhere. n_chars is the kept text's.
-* near_duplicates: 5-word shingles, similarity 0.8; of each component one document stays: the smallest id (rows
-  that repeat that id stay with it; rows with a null id stay).
+* near_duplicates: 5-word shingles, similarity 0.8; of each component one row stays: that of the smallest id, a null id
+  being the last.
 * decontaminate: documents with a window that is as similar as 0.8 to a benchmark item go.
+
+A document is a row: ids may be null or repeat, so these three tell documents apart by id and text. Rows equal in both
+have one fate in all but near_duplicates, which keeps one of them.
+
 * pack: the pieces of the packed sequences, as op7 returns them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import common as C
@@ -44,15 +48,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs, k=5, percent=80)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    found = jaccard_components(docs, k=5, percent=80, by_row=True).where("size > 1")
+    marked = found.groupBy(F.col("doc_id").alias("_mid"), F.col("of").alias("_mof")).agg(F.first("kept").alias("_kept"), F.count("*").alias("_n"))
+    marked = C.written(marked.where("not _kept or _n > 1"), "pipeline-marked")
+    out = unlike(docs, marked)
+    # rows equal in id and text to the one that stays: one of them, by the other columns
+    twice = marked.where("_kept")
+    if twice.isEmpty():
+        return out
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = docs.join(twice, is_marked(), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    return out.unionByName(one.select("doc_id", "text", "_rest.*"))
+
+
+def is_marked() -> Column:
+    """Whether id and text are those of a row of (_mid, _mof)."""
+    return F.col("doc_id").eqNullSafe(F.col("_mid")) & (F.xxhash64("text") == F.col("_mof"))
+
+
+def unlike(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text are marked."""
+    return docs.join(marked, is_marked(), "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True)
+    return unlike(docs, found.select(F.col("doc_id").alias("_mid"), F.col("of").alias("_mof")).distinct())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,11 +58,12 @@ def _blocks(print_col: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(print_col, b * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("value")) for b in range(BLOCKS)])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", by_text: bool = False) -> DataFrame:
     """Item-sized windows of documents that are as similar to the item as ``similarity`` or more.
 
     Returns one row per document and item: id_col, item_col, start_word, n_words (of the window), distance (of the
-    fingerprints), similarity; the best window, of equal ones the first.
+    fingerprints), similarity; the best window, of equal ones the first. With by_text also of (the text's hash), and
+    texts of one id have rows of their own.
 
     Defined cases: null or empty texts match nothing, nor do items of fewer than 5 words; items or documents that are
     equal each match for themselves, rows with one id and one text are one document; null ids are carried; with an empty
@@ -103,8 +104,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, id_
     sizes = items.select("_ikey", "_item", F.col("_n").alias("_in"))
     judged = shared.join(found, reduce(lambda x, y: x & y, null_safe)).join(sizes, "_ikey")
     judged = judged.withColumn("similarity", F.col("_both") / (F.col("_size") + F.col("_in") - K + 1 - F.col("_both"))).where(F.col("similarity") >= similarity)
-    best = judged.groupBy("_id", "_item").agg(F.max_by(F.struct(F.col("_at").alias("start_word"), F.least("_in", F.col("_size") + K - 1).cast("long").alias("n_words"), "distance", "similarity"), F.struct("similarity", -F.col("_at"))).alias("w"))
-    return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), F.col("w.start_word").cast("long").alias("start_word"), "w.n_words", "w.distance", "w.similarity")
+    best = judged.groupBy("_id", *["_of"] * by_text, "_item").agg(F.max_by(F.struct(F.col("_at").alias("start_word"), F.least("_in", F.col("_size") + K - 1).cast("long").alias("n_words"), "distance", "similarity"), F.struct("similarity", -F.col("_at"))).alias("w"))
+    return best.select(F.col("_id").alias(id_col), *[F.col("_of").alias("of")] * by_text, F.col("_item").alias(item_col), F.col("w.start_word").cast("long").alias("start_word"), "w.n_words", "w.distance", "w.similarity")
 
 
 def op6_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,12 +155,14 @@ def _set_hash(tokens: np.ndarray) -> int:
         return int(C.mixed(np.array([C.mixed(tokens ^ C.GOLDEN).sum(dtype=C.U64) + C.U64(len(tokens))]))[0].astype(np.int64))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """Documents whose sets of k-word shingles are linked: 100 * |intersection| >= percent * |union|.
 
     Returns per row of docs: id_col (as long), n_shingles, class (hash of the set, null if empty), component_id (the
     smallest id reachable by links, itself included). Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer
-    than k words are one shingle.
+    than k words are one shingle. With by_row also of (the text's hash: id and of tell rows apart, but for equal ones),
+    size (the component's rows; null for an empty set) and kept: whether the row has the component's least id (null
+    counts as larger than any), and of these the least hash.
 
     Defined cases: null or empty text, or text without words, has an empty set: linked with nothing, its own component;
     equal rows link; rows with a null id keep a null id and count as larger than any id; texts with one id are
@@ -168,8 +170,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
-    scanned = C.written(docs.mapInArrow(_scan(k, percent), f"row long, {id_col} long, n_shingles long, class long, sketch binary, keys binary, flags binary"), "jaccard-documents", codec="zstd")
-    classes = scanned.where("class is not null").groupBy("class").agg(F.min(id_col).alias("first"), F.count("*").alias("_n"))
+    hashed = docs.select("*", F.xxhash64(text_col).alias("of")) if by_row else docs
+    scanned = C.written(hashed.mapInArrow(_scan(k, percent), f"row long, {id_col} long, n_shingles long, class long, sketch binary, keys binary, flags binary{', of long' * by_row}"), "jaccard-documents", codec="zstd")
+    this = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("of") if by_row else F.lit(None).cast("long").alias("of"))
+    classes = scanned.where("class is not null").groupBy("class").agg(F.min(id_col).alias("first"), F.count("*").alias("_n"), *[F.min(this).alias("_row")] * by_row)
 
     total = scanned.agg(F.sum(F.octet_length("flags"))).first()[0] or 0
     n_buckets = max(C.shuffle_partitions(spark), -(-total // PER_BUCKET))
@@ -200,10 +204,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     laid = laid.select("family", F.explode(pairs).alias("p"), "class", "tokens").select("family", "p.i", "p.j", "class", "tokens")
     links = laid.repartition(n_buckets, "family", "i", "j").sortWithinPartitions("family", "i", "j", "class").mapInArrow(_verify(percent), "a long, b long")
     found = components(C.written(links, "jaccard-links")).select(F.col("node").alias("class"), "component")
-    named = classes.select("class", "first").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = named.join(least, "component").select("class", "component_id")
-    return scanned.select(id_col, "n_shingles", "class").join(by_class, "class", "left").select(id_col, "n_shingles", "class", F.coalesce("component_id", id_col).alias("component_id"))
+    named = classes.select("class", "first", *["_n", "_row"] * by_row).join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), *[F.sum("_n").alias("size"), F.min("_row").alias("_least")] * by_row)
+    by_class = named.join(least, "component").select("class", "component_id", *["size", "_least"] * by_row)
+    rows = scanned.select(id_col, "n_shingles", "class", *["of"] * by_row).join(by_class, "class", "left")
+    more = ["of", "size", F.coalesce(this == F.col("_least"), F.lit(True)).alias("kept")] if by_row else []
+    return rows.select(id_col, "n_shingles", "class", F.coalesce("component_id", id_col).alias("component_id"), *more)
 
 
 def _scan(k: int, percent: int):
@@ -214,8 +220,8 @@ def _scan(k: int, percent: int):
             keys = [set_keys(t, percent) if len(t) else None for t in tokens]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n)), batch.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array([_set_hash(t) if len(t) else None for t in tokens], pa.int64()), pa.array([parity_sketch(t) if len(t) else None for t in tokens], pa.binary()), pa.array([x and x[0].tobytes() for x in keys], pa.binary()), pa.array([x and x[1].tobytes() for x in keys], pa.binary())],
-                names=["row", batch.schema.names[0], "n_shingles", "class", "sketch", "keys", "flags"],
+                [pa.array(np.arange(row, row + n)), batch.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array([_set_hash(t) if len(t) else None for t in tokens], pa.int64()), pa.array([parity_sketch(t) if len(t) else None for t in tokens], pa.binary()), pa.array([x and x[0].tobytes() for x in keys], pa.binary()), pa.array([x and x[1].tobytes() for x in keys], pa.binary()), *batch.columns[2:]],
+                names=["row", batch.schema.names[0], "n_shingles", "class", "sketch", "keys", "flags", *batch.schema.names[2:]],
             )
             row += n
 

@@ -86,31 +86,39 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = Fa
     """Drop, from every document, the lines whose key is in at least min_docs documents.
 
     A key is the line without blanks at both ends, A-Z lower-cased; empty keys stay. With keep_first, the document with
-    the smallest id among those that have a key keeps its lines of that key (all of them). Needs an integer id.
+    the smallest id among those that have a key keeps its lines of that key (all of them); null counts as larger than
+    any id, and of equal ids the text of the smallest hash is the first. Needs an integer id.
 
     Returns the columns of docs, with text_col replaced, and n_lines (before), n_dropped. Columns of docs with these two
     names are replaced.
 
     Defined cases: null or empty text is one empty line, and its kept text is empty; equal rows are documents of their
-    own; rows with a null id count as documents too; an empty table gives an empty table; other columns are carried.
+    own (the first one's equals keep the line as well); rows with a null id count as documents too; an empty table gives an empty table; other columns are carried.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    hashed = rows.select("id", key_hashes(F.col("text")).alias("hs"))
-    hashed = C.written(hashed.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "line-hashes", ("batch",))
+    # where one document keeps a line, texts of one id (or of none) are told apart by a hash
+    of = ["of"] if keep_first else []
+    rows = rows.withColumn("of", F.xxhash64("text")) if keep_first else rows
+    hashed = rows.select("id", *of, key_hashes(F.col("text")).alias("hs"))
+    hashed = C.written(hashed.withColumn("batch", F.pmod(F.xxhash64("id", *of), F.lit(batches)).cast("int")), "line-hashes", ("batch",))
+    this = F.struct(F.col("id").isNull().alias("no_id"), "id", "of") if keep_first else F.col("id")
     runs = LineRuns(spark)
     for batch in range(batches):
         mine = hashed.where(F.col("batch") == batch)
-        runs.add(mine.select(F.col("id").alias("first"), F.explode(F.array_compact(F.array_distinct("hs"))).alias("h")))
+        runs.add(mine.select(this.alias("first"), F.explode(F.array_compact(F.array_distinct("hs"))).alias("h")))
     common = runs.merged().where(F.col("docs") >= min_docs)
-    common = common.select("h", F.col("first") if keep_first else F.lit(None).cast("long").alias("first"))
-    # distinct (id, key) that go; documents with one id share them, for a key is common wherever it stands
-    lines = hashed.select("id", F.explode(F.array_compact(F.array_distinct("hs"))).alias("h"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    common = common.select("h", *["first"] * keep_first)
+    # distinct (id, key) that go; without a first, documents with one id share them, for a key is common wherever it stands
+    lines = hashed.select("id", *of, F.explode(F.array_compact(F.array_distinct("hs"))).alias("h"), F.pmod(F.xxhash64("id", *of), F.lit(SALTS)).alias("salt"))
     salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    gone = lines.join(salted, ["h", "salt"]).where(~F.col("id").eqNullSafe(F.col("first")) | F.col("first").isNull())
-    gone = gone.groupBy(F.col("id").alias("of")).agg(F.collect_set("h").alias("gone"))
-    cut = rows.join(gone, F.col("id").eqNullSafe(F.col("of")), "left").select("text", "row", "gone", text_lines(F.col("text")).alias("lines"))
+    gone = lines.join(salted, ["h", "salt"])
+    gone = gone.where(this != F.col("first")) if keep_first else gone
+    gone = gone.groupBy(F.col("id").alias("gone_id"), *[F.col(c).alias(f"gone_{c}") for c in of]).agg(F.collect_set("h").alias("gone"))
+    same = F.col("id").eqNullSafe(F.col("gone_id"))
+    same = same & (F.col("of") == F.col("gone_of")) if keep_first else same
+    cut = rows.join(gone, same, "left").select("text", "row", "gone", text_lines(F.col("text")).alias("lines"))
     dropped = lambda line: F.coalesce(F.array_contains("gone", F.when(line_key(line) != "", F.xxhash64(line_key(line)))), F.lit(False))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~dropped(line)))
     cut = cut.withColumn("kept", kept)
