@@ -1,14 +1,17 @@
 """Benchmark decontamination by SimHash windows and exact weighted-shingle similarity. DataFrame functions only.
 
 1. Texts become arrays of 5-word shingle hashes; those that some item has (broadcast, if the items' table is as small
-   as ``MOST_BROADCAST``; else a shuffled join) anchor item-sized windows: a shared shingle puts the item's first word
-   at one place in the text. A window without a shared shingle has similarity 0, so only such windows are looked at. A
-   document stays in question for an item only if it holds at least the part ``similarity`` of the item's shingles.
+   as ``MOST_BROADCAST``; else a shuffled join) are hits: a shared shingle puts the item's first word at one place in
+   the text, its anchor. An item-sized window as similar as ``similarity`` holds at least that part of the item's
+   shingles, so the starts looked at are all that have so many hits in their window; of these, those from the least
+   anchor to the greatest, for a window outside is no better than the nearest one inside.
 2. Each window and item gets a 64-bit SimHash of its shingles, weighted by how often they occur. The 64 bits are cut
    into 8 blocks; the items' blocks are indexed with all values within 2 bits. Fingerprints within 23 bits agree within
    2 bits in some block (8 * 3 - 1 = 23), so no pair within the radius is missed. At similarity 0.8 fingerprints differ
    in 9.7 bits in the mean, with a deviation of 2.9, so 23 is 4.6 deviations off.
    At such a radius blocks alone keep a great part of all pairs; so the index is kept by item, which the anchor names.
+   A shingle that occurs often can outvote or tie the rest, and then similar windows may be farther off than that: where
+   window or item has a repeated shingle, the fingerprints don't discard.
 3. Candidates are verified by the weighted Jaccard similarity of their shingles.
 
 Texts aren't shuffled if the documents in question are few enough to broadcast their ids; beyond that, once.
@@ -47,10 +50,10 @@ def with_shingles(df: DataFrame, text_col: str, k: int = K) -> DataFrame:
 
 
 def simhash(rows: DataFrame, by: list[str], h: str, weight: str) -> DataFrame:
-    """by, _print: the SimHash of the weighted hashes h of each group."""
+    """by, _print: the SimHash of the weighted hashes h of each group; _heaviest: the largest weight."""
     votes = [F.sum(F.when(F.getbit(h, F.lit(b)) == 1, F.col(weight)).otherwise(-F.col(weight))).alias(f"_b{b}") for b in range(64)]
     bits = [F.shiftleft(F.when(F.col(f"_b{b}") > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"), b) for b in range(64)]
-    return rows.groupBy(*by).agg(*votes).select(*by, reduce(lambda x, y: x.bitwiseOR(y), bits).alias("_print"))
+    return rows.groupBy(*by).agg(*votes, F.max(weight).alias("_heaviest")).select(*by, reduce(lambda x, y: x.bitwiseOR(y), bits).alias("_print"), "_heaviest")
 
 
 def _blocks(print_col: Column) -> Column:
@@ -58,6 +61,20 @@ def _blocks(print_col: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(print_col, b * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("value")) for b in range(BLOCKS)])
 
 
+def _starts(similarity: float) -> Column:
+    """Of a text and an item with the places _held of hits (sorted) and anchors _lo .. _hi: the starts of windows with enough hits.
+
+    Windows with the hits j .. j + need - 1 begin at held[j + need - 1] - (shingles - 1) .. held[j]; starts up to
+    held[j - 1] have come before.
+    """
+    shingles = F.col("_in") - K + 1
+    need = F.ceil(similarity * shingles).cast("int")
+    low = lambda j: F.greatest(F.get("_held", j + need - 1) - shingles + 1, F.coalesce(F.get("_held", j - 1) + 1, F.lit(0)), F.col("_lo"))
+    high = lambda j: F.least(F.get("_held", j), F.col("_hi"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("_held") - need), lambda j: F.when(low(j) <= high(j), F.sequence(low(j), high(j))).otherwise(F.array().cast("array<int>")))
+    return F.when(F.size("_held") >= need, F.flatten(runs)).otherwise(F.array().cast("array<int>"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", by_text: bool = False) -> DataFrame:
     """Item-sized windows of documents that are as similar to the item as ``similarity`` or more.
 
@@ -79,8 +96,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, id_
 
     hits = with_shingles(docs, "_text").select("_id", "_of", "_n", F.posexplode_outer("_sh").alias("_pos", "_h")).join(places, "_h")
     at = F.least(F.greatest(F.col("_pos") - F.col("_ipos"), F.lit(0)), F.greatest(F.col("_n") - F.col("_in"), F.lit(0)))
-    by_item = hits.groupBy("_id", "_of", "_ikey", "_in").agg(F.countDistinct("_pos").alias("_held"), F.collect_set(at).alias("_at"))
-    windows = C.written(by_item.where(F.col("_held") >= F.ceil(similarity * (F.col("_in") - K + 1))).select("_id", "_of", "_ikey", "_in", F.explode("_at").alias("_at")), "decontaminate-windows")
+    by_item = hits.groupBy("_id", "_of", "_ikey", "_in").agg(F.sort_array(F.collect_set("_pos")).alias("_held"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    windows = C.written(by_item.select("_id", "_of", "_ikey", "_in", F.explode(_starts(similarity)).alias("_at")), "decontaminate-windows")
     ids = windows.select(F.col("_id").alias("_wid"), F.col("_of").alias("_wof")).distinct()
     few = windows.count() <= MOST_BROADCAST
     same = F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_of") == F.col("_wof"))
@@ -92,11 +109,14 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, id_
     item_weights = items.select("_ikey", F.explode("_sh").alias("_h")).groupBy("_ikey", "_h").agg(F.count("*").alias("_iw"))
 
     near = F.array(*[F.lit(m) for m in range(1 << (64 // BLOCKS)) if m.bit_count() <= BLOCK_RADIUS])
-    index = simhash(item_weights, ["_ikey"], "_h", "_iw").select("_ikey", F.col("_print").alias("_iprint"), F.inline(_blocks(F.col("_print"))))
+    item_prints = simhash(item_weights, ["_ikey"], "_h", "_iw").select("_ikey", F.col("_print").alias("_iprint"), F.col("_heaviest").alias("_iheaviest"))
+    index = item_prints.select("_ikey", "_iprint", F.inline(_blocks(F.col("_iprint"))))
     index = index.select("_ikey", "_iprint", "block", F.explode(F.transform(near, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
-    prints = simhash(weights, key, "_h", "_w").select(*key, "_print", F.inline(_blocks(F.col("_print"))))
-    found = prints.join(index, ["_ikey", "block", "value"]).select(*key, F.bit_count(F.col("_print").bitwiseXOR(F.col("_iprint"))).alias("distance"))
-    found = found.where(F.col("distance") <= RADIUS).groupBy(*key).agg(F.first("distance").alias("distance"))
+    prints = C.written(simhash(weights, key, "_h", "_w"), "decontaminate-prints")
+    distance = F.bit_count(F.col("_print").bitwiseXOR(F.col("_iprint"))).alias("distance")
+    found = prints.select(*key, "_print", F.inline(_blocks(F.col("_print")))).join(index, ["_ikey", "block", "value"]).select(*key, distance).where(F.col("distance") <= RADIUS)
+    repeating = prints.join(item_prints, "_ikey").where(F.greatest("_heaviest", "_iheaviest") > 1).select(*key, distance)
+    found = found.unionByName(repeating).groupBy(*key).agg(F.first("distance").alias("distance"))
 
     null_safe = [F.col("_id").eqNullSafe(F.col("_fid")), F.col("_of") == F.col("_fof"), F.col("_ikey") == F.col("_fkey"), F.col("_at") == F.col("_fat")]
     found = found.select(F.col("_id").alias("_fid"), F.col("_of").alias("_fof"), F.col("_ikey").alias("_fkey"), F.col("_at").alias("_fat"), "distance")

@@ -208,6 +208,37 @@ def test_decontaminate_verifies(spark):
     assert all(abs(found[d] - expected[d]) < 1e-9 for d in found)
 
 
+def test_decontaminate_finds_the_best_of_all_windows(spark):
+    rng = random.Random(3)
+    items, rows = {}, []
+
+    def changed(w, ends, inserted):
+        middle = w[ends : len(w) - ends]
+        half = len(middle) // 2
+        return [f"x{rng.random()}" for _ in range(ends)] + middle[:half] + [f"y{rng.random()}" for _ in range(inserted)] + middle[half:] + [f"z{rng.random()}" for _ in range(ends)]
+
+    for i, (n, ends, inserted) in enumerate([(59, 1, 2), (104, 3, 6), (59, 0, 0), (40, 0, 1)]):
+        items[i] = [f"i{i}_{j}" for j in range(n)]
+        rows.append([f"n{rng.random()}" for _ in range(7)] + changed(items[i], ends, inserted) + [f"n{rng.random()}" for _ in range(9)])
+    rows.append(rows[0] + rows[0])  # a passage twice
+    rows.append(changed(items[0], 1, 2))  # no room around it
+    # one word or two over and over: few shingles outvote or tie the rest
+    items[4] = ["p"] * 24 + ["q"] * 24 + ["r"] * 6
+    rows += [["p"] * 22 + ["q"] * 26 + ["r"] * 6, ["p"] * 26 + ["q"] * 22 + ["r"] * 6, ["p"] * 27 + ["q"] * 27]
+
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    expected = {}
+    for d, w in enumerate(rows):
+        for i, item in items.items():
+            of = bag(item)
+            scores = [(sum((x & of).values()) / sum((x | of).values()), a) for a in range(max(1, len(w) - len(item) + 1)) for x in [bag(w[a : a + len(item)])]]
+            if (best := max(s for s, _ in scores)) >= 0.8:
+                expected[d, i] = best
+    found = decontaminate.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()
+    assert {(0, 0), (1, 1), (4, 0)} <= set(expected)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found} == {k: round(v, 9) for k, v in expected.items()}
+
+
 def piece_ids(text):
     return token_ids(text) + [1]
 
