@@ -201,7 +201,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The next document is the one with the next id, equal ids by text; after the last comes the first. Documents are
     dealt by id ranges, compressed; the first document of a range also goes to the range before it, so each range is
-    worked through alone. Range bounds are ids that occur (approximate quantiles).
+    worked through alone. Range bounds are ids that occur (the least at or above approximate quantiles).
 
     Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -214,8 +214,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType
     size, low = keyed.agg(F.sum(F.octet_length("_text")), F.min("_key")).first()
     parts = max(C.shuffle_partitions(spark), -(-(size or 0) // part_bytes))
-    bounds = keyed.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.25 / parts) if size is not None and parts > 1 else []
-    bounds = np.array(sorted({int(b) for b in bounds if int(b) != low}), np.int64)
+    cuts = keyed.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.25 / parts) if size is not None and parts > 1 else []
+    # quantiles are doubles: beyond 2 ** 53 no ids; the least id at or above each of them is exact
+    cuts = np.array(sorted({min(int(c), (1 << 63) - 1) for c in cuts}), np.int64)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.full(len(cuts) + 1, (1 << 63) - 1)
+        some = np.zeros(len(cuts) + 1, bool)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            at = np.searchsorted(cuts, keys, "right")
+            np.minimum.at(found, at, keys)
+            some[at] = True
+        at = np.flatnonzero(some)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at])], names=["at", "_key"])
+
+    bounds = [r[0] for r in keyed.select("_key").mapInArrow(least, "at int, _key long").where("at > 0").groupBy("at").agg(F.min("_key")).select("min(_key)").collect()] if len(cuts) else []
+    bounds = np.array(sorted({b for b in bounds if b != low}), np.int64)
     n_parts = len(bounds) + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

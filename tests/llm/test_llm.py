@@ -367,6 +367,17 @@ def test_an_only_document_is_its_own_next(spark):
     assert (row.edited_sha256, row.near_next) == (hashlib.sha256(b"abcabc").hexdigest(), 1.0)
 
 
+def test_ids_beyond_doubles_keep_all_rows(spark):
+    rng = random.Random(4)
+    ids = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(60)} | {(1 << 62) + i for i in range(60)})
+    df = spark.createDataFrame([(i, f"text {i} " * 9) for i in ids], "doc_id long, text string")
+    got = by_id(edit_fingerprint.edited_fingerprints(df, part_bytes=500))
+    assert sorted(got) == ids
+    texts = [f"text {i} " * 9 for i in ids]
+    for i, t, after in zip(ids, texts, texts[1:] + texts[:1], strict=True):
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+
+
 def test_walks_are_one_walk():
     """Many texts at once, one at a time, and the definition step by step."""
     rng = random.Random(8)
