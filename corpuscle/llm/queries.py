@@ -51,9 +51,9 @@ ORACLES = {
         iw as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark),
         ds as (select doc_id, len(w) as n, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') as s from (select *, unnest(range(0, len(w) - 4)) as p from dw)),
         ish as (select item_id, len(w) as n, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') as s from (select *, unnest(range(0, len(w) - 4)) as p from iw)),
-        hits as (select ds.doc_id, ds.p, ds.n, i.item_id, i.n as m, least(greatest(ds.p - i.p, 0), greatest(ds.n - i.n, 0)) as a from ds join ish i using (s)),
-        cand as (select doc_id, item_id, m from hits group by all having count(distinct p) >= ceil(0.8 * (m - 4))),
-        win as (select distinct h.doc_id, h.item_id, h.m, h.n, h.a from hits h join cand c using (doc_id, item_id)),
+        hits as (select distinct ds.doc_id, ds.p, ds.n, i.item_id, i.n as m from ds join (select distinct item_id, n, s from ish) i using (s)),
+        -- every window that shares a shingle with the item
+        win as (select distinct doc_id, item_id, m, n, unnest(range(greatest(p - (least(n, m) - 5), 0), least(p, greatest(n - m, 0)) + 1)) as a from hits),
         ww as (select w.doc_id, w.item_id, w.m, w.n, w.a, d.s, count(*) as c from win w join ds d on d.doc_id = w.doc_id and d.p between w.a and w.a + w.m - 5 group by all),
         ic as (select item_id, s, count(*) as c from ish group by all),
         j as (select w.doc_id, w.item_id, w.a, w.m, sum(w.c) as z, sum(least(w.c, coalesce(i.c, 0))) as b from ww w left join ic i on i.item_id = w.item_id and i.s = w.s group by all),
