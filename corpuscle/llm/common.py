@@ -19,32 +19,84 @@ MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
+#: Keys that may be broadcast where each has a great part of all rows.
+MOST_HEAVY = 250_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Where neither is set, a session on this machine alone (as in tests) gets one of its own; a cluster doesn't.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found and set_to.isDefined():
+        found = set_to.get()
+    if not found and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
+        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found:
-        set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_to.isDefined():
-            found = set_to.get()
-        else:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jpath, files = _folder(spark, path)
+    files.deleteOnExit(jpath)
+    return path
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    jpath, files = _folder(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(jpath)] if files.exists(jpath) else []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    jpath, files = _folder(spark, path)
+    files.delete(jpath, True)
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
     """df, written once to the shared folder and read again: it cuts the lineage and survives lost executors.
 
-    The folder goes when the session's JVM ends.
+    The folder goes when the session's JVM ends, or with ``unwritten``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     write = df.write.option("compression", codec)
     (write.partitionBy(*partition_by) if partition_by else write).parquet(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def unwritten(df: DataFrame) -> None:
+    """Delete what ``written`` wrote; df can't be read any more."""
+    deleted(df.sparkSession, df._written_to)
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: str, count: str) -> DataFrame:
+    """The inner join of rows with keys, where keys (a written table) has each key once, and ``count`` is at least the
+    number of its rows.
+
+    No key becomes hot: as counts add up, at most MOST_HEAVY keys have a MOST_HEAVY-th of all counted rows or more, and
+    these are broadcast; the others are joined by a shuffle. If there are no more keys than that, all are broadcast.
+    """
+    n, total = keys.agg(F.count("*"), F.sum(count)).first()
+    if n <= MOST_HEAVY:
+        return rows.join(F.broadcast(keys.drop(count)), on)
+    heavy = F.col(count) * F.lit(float(MOST_HEAVY)) >= F.lit(float(total))
+    light = rows.join(keys.where(~heavy).drop(count), on)
+    return rows.join(F.broadcast(keys.where(heavy).drop(count)), on).unionByName(light)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,17 +1,26 @@
 """Line dedup by levelled sorted runs of line hashes. DataFrame functions only.
 
-``LineRuns`` keeps, in the shared folder, runs of (key hash, documents that have it, first document): each added batch
-becomes a run of its own, sorted and range-partitioned by hash; when a level has ``fanout`` runs, they are merged into
-one of the next level, so n batches leave O(fanout * log n) runs and each hash is rewritten O(log n) times. A batch is
-merged against the runs by an anti-join on the sorted hashes.
-
-Texts are read twice (keys, then result) and shuffled once, by document, only for documents that lose a line; counts
-are made from 8-byte hashes, one for each document and key, summed before they are shuffled, so a line that a third
-of all documents have is no hot key. Two keys of n are taken for one with a chance of n * n / 2 ** 65.
+``LineRuns`` keeps runs under one folder: bucketed, sorted Parquet tables of (h, docs, first): a line key's hash, the
+documents of the batch that have it, the first of these. A batch is counted and sorted once, and merge-anti-joined with
+the runs. What no run has becomes the batch's own run, so each key stands in one run only, that of the batch that met it
+first; counts of keys that were met before go to a run of repeats. When a level has ``fanout`` runs, they are merged
+into one of the next level, so n batches leave O(fanout * log n) runs and each key is rewritten O(log n) times. All runs
+are dealt into the same buckets by h and sorted: anti-joins and merges need neither shuffle nor sort. A list of the runs
+is written with each batch, so another session can open the folder and add to it.
+
+Texts are read twice (keys, then result) and shuffled once; counts are made from 8-byte hashes, one for each document
+and key, summed before they are shuffled, so a line that a third of all documents have is no hot key. Such lines are
+few, for all counts add up to the lines: they are broadcast where their documents are looked up (``C.join_counted``).
+Two keys of n are taken for one with a chance of n * n / 2 ** 65.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +30,6 @@ from corpuscle.llm import common as C
 BLANK = " \t\n\x0b\x0c\r"
 #: Batches that a whole table is dealt into, and runs of a level that are merged into one.
 BATCHES, FANOUT = 4, 2
-#: Parts that a common key's documents are dealt into, so that no task gets all of them.
-SALTS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -39,27 +46,71 @@ def key_hashes(text: Column) -> Column:
     return F.transform(text_lines(text), lambda line: F.when(line_key(line) != "", F.xxhash64(line_key(line))))
 
 
-class LineRuns:
-    """Levelled runs (h, docs, first) of all batches so far."""
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Within it, a bucket of one sorted file counts as sorted, so merge joins don't sort it again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, []
 
-    def _run(self, counts: DataFrame, level: int) -> DataFrame:
-        return C.written(counts.repartitionByRange(C.shuffle_partitions(self.spark), "h").sortWithinPartitions("h"), f"line-run-{level}")
+class LineRuns:
+    """Levelled sorted runs of all batches so far, in ``path`` (a folder of its own where that is None).
 
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+    A folder that has runs is opened with all of them; buckets (the shuffle partitions, if none are given) are fixed
+    when it is made. ``levels[kind][level]`` names the runs of kind "new" (keys by the batch that met them first; no key
+    is in two of them) and "again" (counts of later batches).
+    """
 
-    def merged(self, runs: list[DataFrame] | None = None) -> DataFrame:
-        """The runs (all of them) as one, not written."""
-        runs = self.runs() if runs is None else runs
-        if not runs:
-            return self.spark.createDataFrame([], "h long, docs long, first long")
-        union = runs[0]
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.path = path or C.shared_path(spark, "line-runs")
+        self.batches, self.levels, self.schema = 0, {"new": [], "again": []}, None
+        self.buckets = buckets or C.shuffle_partitions(spark)
+        self.tables: dict[str, str] = {}
+        found = [x for x in C.listed(spark, self.path) if x.startswith("batch-")]
+        if found:
+            state = json.loads(spark.read.text(f"{self.path}/{max(found)}").first()[0])
+            self.batches, self.levels, self.buckets, self.schema = (state[k] for k in ("batches", "levels", "buckets", "schema"))
+
+    def _table(self, run: str) -> DataFrame:
+        """A run as a table that knows of its buckets."""
+        if run not in self.tables:
+            self.tables[run] = f"corpuscle_{run.replace('-', '_')}_{uuid.uuid4().hex}"
+            how = f"using parquet clustered by (h) sorted by (h) into {self.buckets} buckets location '{self.path}/{run}'"
+            self.spark.sql(f"create table {self.tables[run]} ({self.schema}) {how}")
+        return self.spark.table(self.tables[run])
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        """Write a run in buckets; rows that come in as many partitions by h aren't shuffled for it."""
+        run = f"{name}-{uuid.uuid4().hex[:12]}"
+        self.schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        self.tables[run] = f"corpuscle_{run.replace('-', '_')}"
+        written = rows.write.format("parquet").option("path", f"{self.path}/{run}").bucketBy(self.buckets, "h").sortBy("h")
+        with _sorted_scans(self.spark):
+            written.saveAsTable(self.tables[run])
+        return run
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"drop table if exists {self.tables.pop(run, run.replace('-', '_'))}")
+        C.deleted(self.spark, f"{self.path}/{run}")
+
+    def runs(self, kind: str = "new") -> list[DataFrame]:
+        return [self._table(run) for level in self.levels[kind] for run in level]
+
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """Sorted runs as one, by merge joins: counts are added, the least first stays."""
+        out = runs[0]
         for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy("h").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
+            other = run.select("h", F.col("docs").alias("_docs"), F.col("first").alias("_first"))
+            docs = F.coalesce("docs", F.lit(0)) + F.coalesce("_docs", F.lit(0))
+            out = out.join(other.hint("merge"), "h", "full").select("h", docs.alias("docs"), F.least("first", "_first").alias("first"))
+        return out
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys (with a column h) that are in no run: a merge-anti-join with each of them."""
@@ -67,22 +118,72 @@ class LineRuns:
             keys = keys.join(run.select("h").hint("merge"), "h", "left_anti")
         return keys
 
-    def add(self, keys: DataFrame) -> None:
-        """Add a batch of (h, first): one row for each document and distinct key; full levels are compacted."""
-        new = keys.groupBy("h").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
-        level = 0
+    def _push(self, kind: str, run: str) -> list[str]:
+        """Take in a run at the lowest level; merge full levels. Returns the runs that are done with."""
+        done, level = [], 0
         while True:
-            if level == len(self.levels):
-                self.levels.append([])
-            if len(self.levels[level]) + 1 < self.fanout:
-                self.levels[level].append(self._run(new, level))
-                return
-            new = self.merged([*self.levels[level], new])
-            self.levels[level] = []
+            if level == len(self.levels[kind]):
+                self.levels[kind].append([])
+            if len(self.levels[kind][level]) + 1 < self.fanout:
+                self.levels[kind][level].append(run)
+                return done
+            full = [*self.levels[kind][level], run]
+            run = self._write(self._merged([self._table(r) for r in full]), f"{kind}-{level + 1}")
+            done += full
+            self.levels[kind][level] = []
             level += 1
 
-
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, keys: DataFrame) -> None:
+        """Add a batch of (h, first): one row for each document and distinct key."""
+        counted = keys.groupBy("h").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
+        if C.shuffle_partitions(self.spark) != self.buckets:
+            counted = counted.repartition(self.buckets, "h")
+        batch, done = self._write(counted, "batch"), []
+        if self.batches:
+            new = self._write(self.unseen(self._table(batch)), "new-0")
+            again = self._table(batch).join(self._table(new).select("h").hint("merge"), "h", "left_anti")
+            done += [batch, *self._push("again", self._write(again, "again-0"))]
+        else:
+            new = batch
+        done += self._push("new", new)
+        self.batches += 1
+        state = {"batches": self.batches, "levels": self.levels, "buckets": self.buckets, "schema": self.schema}
+        one = self.spark.range(1).select(F.lit(json.dumps(state)).alias("value"))
+        one.coalesce(1).write.text(f"{self.path}/batch-{self.batches:08d}")
+        for run in done:  # only once the list without them is written
+            self._drop(run)
+
+    def totals(self) -> DataFrame:
+        """(h, docs, first) of all batches, each key once."""
+        again = self.runs("again")
+        if not again:
+            return self.runs()[0]
+        again = self._merged(again).select("h", F.col("docs").alias("_docs"), F.col("first").alias("_first"))
+        out = None
+        for run in self.runs():
+            both = run.join(again, "h", "left")
+            docs = F.col("docs") + F.coalesce("_docs", F.lit(0))
+            some = both.select("h", docs.alias("docs"), F.least("first", "_first").alias("first"))
+            out = some if out is None else out.unionByName(some)
+        return out
+
+    def close(self, delete: bool = False) -> None:
+        """Forget the tables; with delete, the folder goes too."""
+        for table in self.tables.values():
+            self.spark.sql(f"drop table if exists {table}")
+        self.tables = {}
+        if delete:
+            C.deleted(self.spark, self.path)
+
+
+def drop_common_lines(
+    docs: DataFrame,
+    min_docs: int = 10,
+    keep_first: bool = False,
+    batches: int = BATCHES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """Drop, from every document, the lines whose key is in at least min_docs documents.
 
     A key is the line without blanks at both ends, A-Z lower-cased; empty keys stay. With keep_first, the document with
@@ -93,43 +194,40 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = Fa
     names are replaced.
 
     Defined cases: null or empty text is one empty line, and its kept text is empty; equal rows are documents of their
-    own (the first one's equals keep the line as well); rows with a null id count as documents too; an empty table gives an empty table; other columns are carried.
+    own (the first one's equals keep the line as well); rows with a null id count as documents too; an empty table gives
+    an empty table; other columns are carried.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    # where one document keeps a line, texts of one id (or of none) are told apart by a hash
-    of = ["of"] if keep_first else []
-    rows = rows.withColumn("of", F.xxhash64("text")) if keep_first else rows
-    hashed = rows.select("id", *of, key_hashes(F.col("text")).alias("hs"))
-    hashed = C.written(hashed.withColumn("batch", F.pmod(F.xxhash64("id", *of), F.lit(batches)).cast("int")), "line-hashes", ("batch",))
+    # texts of one id (or of none) are told apart by a hash
+    rows = rows.withColumn("of", F.xxhash64("text"))
+    hashed = rows.select("id", "of", key_hashes(F.col("text")).alias("hs"))
+    hashed = C.written(hashed.withColumn("batch", F.pmod(F.xxhash64("id", "of"), F.lit(batches)).cast("int")), "line-hashes", ("batch",))
     this = F.struct(F.col("id").isNull().alias("no_id"), "id", "of") if keep_first else F.col("id")
     runs = LineRuns(spark)
     for batch in range(batches):
         mine = hashed.where(F.col("batch") == batch)
         runs.add(mine.select(this.alias("first"), F.explode(F.array_compact(F.array_distinct("hs"))).alias("h")))
-    common = runs.merged().where(F.col("docs") >= min_docs)
-    common = common.select("h", *["first"] * keep_first)
-    # distinct (id, key) that go; without a first, documents with one id share them, for a key is common wherever it stands
-    lines = hashed.select("id", *of, F.explode(F.array_compact(F.array_distinct("hs"))).alias("h"), F.pmod(F.xxhash64("id", *of), F.lit(SALTS)).alias("salt"))
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    gone = lines.join(salted, ["h", "salt"])
+    common = C.written(runs.totals().where(F.col("docs") >= min_docs).select("h", "docs", "first"), "line-common")
+    runs.close(delete=True)
+
+    # the places of lines that go, by document
+    lines = hashed.select("id", "of", F.posexplode("hs").alias("pos", "h")).where("h is not null")
+    gone = C.join_counted(lines, common, "h", "docs")
     gone = gone.where(this != F.col("first")) if keep_first else gone
-    gone = gone.groupBy(F.col("id").alias("gone_id"), *[F.col(c).alias(f"gone_{c}") for c in of]).agg(F.collect_set("h").alias("gone"))
-    same = F.col("id").eqNullSafe(F.col("gone_id"))
-    same = same & (F.col("of") == F.col("gone_of")) if keep_first else same
+    gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("of").alias("gone_of")).agg(F.collect_set("pos").alias("gone"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("of") == F.col("gone_of"))
     cut = rows.join(gone, same, "left").select("text", "row", "gone", text_lines(F.col("text")).alias("lines"))
-    dropped = lambda line: F.coalesce(F.array_contains("gone", F.when(line_key(line) != "", F.xxhash64(line_key(line)))), F.lit(False))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~dropped(line)))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line, i: ~F.array_contains("gone", i)))
     cut = cut.withColumn("kept", kept)
     text = F.when(F.col("gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join("kept", "\n"))
     n_lines, n_kept = F.size("lines").cast("long"), F.size("kept").cast("long")
-    return cut.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in names], n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
+    counts = [n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped")]
+    return cut.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in names], *counts)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """drop_common_lines over the whole of documents: keys in at least 10 documents go everywhere."""
     out = drop_common_lines(C.documents(spark, sf_dir).select("doc_id", "text"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
-
-

@@ -113,13 +113,38 @@ def test_line_dedup_keeps_the_first(docs):
 
 def test_line_runs_are_levelled(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
+    path = runs.path
     batch = lambda lo: spark.range(lo, lo + 4).select(F.col("id").alias("h"), F.lit(lo).cast("long").alias("first"))
     for lo in (0, 2, 4, 6, 8):
         new = runs.unseen(batch(lo)).count()
         assert new == (4 if lo == 0 else 2)
         runs.add(batch(lo))
+        if lo == 4:  # another session opens the folder and goes on
+            runs.close()
+            runs = line_dedup.LineRuns(spark.newSession(), path, fanout=2)
+            assert runs.batches == 3
     assert len(runs.runs()) <= 3
-    assert {r.h: r.docs for r in runs.merged().collect()} == {h: 1 if h < 2 or h > 9 else 2 for h in range(12)}
+    assert {r.h: (r.docs, r.first) for r in runs.totals().collect()} == {h: (1 if h < 2 or h > 9 else 2, max(0, h // 2 * 2 - 2)) for h in range(12)}
+    runs.close(delete=True)
+    assert not C.listed(spark, path)
+
+
+def test_line_runs_join_without_shuffle_or_sort(spark):
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    for lo in (0, 2):
+        runs.add(spark.range(lo, lo + 4).select(F.col("id").alias("h"), F.col("id").alias("first")))
+    (only,) = runs.runs()
+    with line_dedup._sorted_scans(spark):
+        plan = runs.unseen(only)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.close(delete=True)
+
+
+def test_join_counted_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST_HEAVY", 2)
+    rows = spark.createDataFrame([(k,) for k in "aaaaaabbcd"], "k string")
+    keys = C.written(rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 'd'"), "test-keys")
+    assert sorted(r.k for r in C.join_counted(rows, keys, "k", "n").collect()) == list("aaaaaabbc")
 
 
 def components_by_hand(rows, k, percent):
