@@ -1,31 +1,91 @@
-"""Connected components of an edge table, by alternating large and small stars; nothing is sent to the driver but counts."""
+"""Connected components of an edge table, and of rows that share keys. Nothing is sent to the driver but counts.
+
+Nodes and keys of any degree: least neighbours are found by aggregates that combine before they shuffle, and reach their
+rows by ``C.join_counted``, which broadcasts the few of great degree.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import common as C
 
 
+def _with_least(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (u, v) with m, the least v of their u; and the table of these, to be deleted later."""
+    least = C.written(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    return C.join_counted(rows, least, "u", "n"), least
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an undirected edge table; component is the smallest node that it reaches.
 
-    Every round writes its edges to the shared folder. Rounds grow with the logarithm of the longest path; a star (all
-    copies tied to one) is done in two.
+    Alternating large and small stars. Every round writes its edges to the shared folder and deletes the last one's.
+    Rounds grow with the logarithm of the longest path; a star (all copies tied to one) is done in two.
+
+    Defined cases: an edge of a node with itself says nothing; repeated edges count once; no edges give no rows.
     """
-    per_node = Window.partitionBy("u")
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = C.written(now, "edges")
     seen = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(per_node))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.where("u <> v").withColumn("m", F.min("v").over(per_node))
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = C.written(small.where("u <> v").distinct(), "edges")
+        both, least = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
+        large = C.written(large.distinct(), "edges")
+        C.unwritten(now)
+        C.unwritten(least)
+        small, least = _with_least(large)
+        turned = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = small.select(F.inline(turned)).where("u <> v").distinct()
+        now = C.written(small, "edges")
+        C.unwritten(large)
+        C.unwritten(least)
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen:
             break
         seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def components_by_key(
+    members: DataFrame,
+    judge: Callable[[DataFrame], DataFrame],
+    may: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """(node, component) of the graph of all pairs that share a key and pass; nodes without a link have no row.
+
+    members: a written table (key, node, flags) in which each key has a node once. judge keeps, of pairs (a, b), those
+    that are linked. may says, from the flags of two members, whether the key lets them pair at all.
+
+    First each member is judged against its key's least node: a pair for each member, whatever the key's size. What that
+    connects needs no further look. Then, in keys whose members are in more than one component, each member outside the
+    key's largest component is paired with all members of others: so every pair that could join two components is
+    judged, and a key of many copies costs its size times its strays.
+    """
+    keys = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    keys = C.written(keys, "keys")
+    star = C.join_counted(members.select("key", "node"), keys, "key", "n").where("node <> lead")
+    star = C.written(star.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
+    edges = C.written(judge(star), "edges")
+    first = C.written(components(edges), "components")
+
+    rows = C.join_counted(members, keys.drop("lead"), "key", "n").join(first, "node", "left")
+    rows = C.written(rows.withColumn("component", F.coalesce("component", "node")), "members")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    mixed = C.written(mixed.where("parts > 1").select("key", "main", "n"), "mixed-keys")
+    rows = C.written(C.join_counted(rows, mixed, "key", "n"), "mixed-members")
+    strays = rows.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("flags").alias("fa"))
+    others = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("flags").alias("fb"), "main")
+    pairs = strays.join(others, "key").where("ca <> cb and (cb = main or a < b)")
+    if may is not None:
+        pairs = pairs.where(may(F.col("fa"), F.col("fb")))
+    pairs = C.written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    out = components(edges.unionByName(judge(pairs)))
+    for table in (star, first, keys, mixed):
+        C.unwritten(table)
+    return out

@@ -11,10 +11,12 @@ probed. Every set is indexed under all its segments, so nothing is lost.
 1. One pass over the texts writes, per document, its set's size, a hash (its class: documents with equal sets), a parity
    sketch, and its segment keys. Texts and sets aren't shuffled.
 2. Keys are dealt to buckets as sorted, delta-coded rows; each bucket keeps those that two documents share.
-3. In each shared key, sketches (differing parity bits never exceed differing elements) discard what can't link; the
-   rest become stars, and their components are families: every link is within one.
-4. Families' sets are read again from the texts, and verified exactly, in tasks of bounded size; a family beyond the
-   bound is verified by pairs of blocks.
+3. Sketches (differing parity bits never exceed differing elements) discard pairs of a shared key that can't link. The
+   components of what is left are families: every link is within one. Each member of a key is held against the key's
+   least one first, then only what that leaves apart against the rest (``components_by_key``).
+4. Families' sets are read again from the texts, and verified exactly, each family in one task if it is of bounded size.
+   In a family beyond the bound, blocks of members are held against the family's least one; only what isn't linked with
+   that is then held against all blocks.
 
 Classes are told apart by 64 bits.
 """
@@ -29,18 +31,18 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import common as C
-from corpuscle.llm.graphs import components
+from corpuscle.llm.graphs import components, components_by_key
 from corpuscle.llm.substring_dedup import _bucket, _packed, _unpacked
 
 #: Flags of a key: the set probes with it; it is a deletion neighbour; the set belongs to the universe's own band.
 PROBE, DELETION, OWN = 1, 2, 4
-#: Keys that a task holds at once; keys for each bucket; members and bytes of sets that are verified in one task; members that are
-#: compared pair by pair within a key; ids that may be broadcast.
-FLUSH, PER_BUCKET, MOST_MEMBERS, MOST_BYTES, ALL_PAIRS, MOST_BROADCAST = 1 << 20, 3_000_000, 3000, 48 << 20, 256, 2_000_000
+#: Keys that a task holds at once; keys for each bucket; members and bytes of sets that are verified in one task; ids (and
+#: families beyond these bounds) that may be broadcast.
+FLUSH, PER_BUCKET, MOST_MEMBERS, MOST_BYTES, MOST_BROADCAST = 1 << 20, 3_000_000, 3000, 48 << 20, 2_000_000
 
 
 @cache
@@ -105,16 +107,19 @@ def parity_sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens >> C.U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1).tobytes()
 
 
+def _rows_folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of one size as rows of 64-bit words, folded to so many."""
+    x = np.frombuffer(b"".join(sketches), C.U64).reshape(len(sketches), -1)
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
 def _folded(sketches: list[bytes]) -> np.ndarray:
     """Sketches as rows of 64-bit words, folded to the shortest."""
-    short = min(map(len, sketches))
-    out = np.empty((len(sketches), short // 8), C.U64)
-    for i, s in enumerate(sketches):
-        x = np.frombuffer(s, C.U64)
-        while len(x) > short // 8:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        out[i] = x
-    return out
+    short = min(map(len, sketches)) // 8
+    return np.concatenate([_rows_folded([s], short) for s in sketches])
 
 
 def _most_apart(n: np.ndarray, k, percent: int) -> np.ndarray:
@@ -180,15 +185,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     dealt = scanned.where("class is not null").select("row", "class", "keys", "flags").mapInArrow(_deal(n_buckets), "bucket int, keys binary, rows binary, flags binary")
     shared = dealt.repartitionById(n_buckets, F.col("bucket")).mapInArrow(_shared, "key long, row long, flags int")
     shared = C.written(shared, "jaccard-shared")
-    # first which classes a key has, by narrow rows; only keys of two classes or more are looked at with sketches
-    kinds = shared.join(scanned.select("row", "class"), "row").repartition(n_buckets, "key")
-    kinds = kinds.groupBy("key", "class").agg(F.bit_or(F.col("flags").bitwiseAND(PROBE)).alias("probe"), F.min(F.col("flags").bitwiseAND(DELETION)).alias("deletion"))
-    several = Window.partitionBy("key")
-    kinds = C.written(kinds.withColumn("_n", F.count("*").over(several)).where("_n > 1").select("key", "class", (F.col("probe") + F.col("deletion")).alias("flags")), "jaccard-kinds")
-    sketches = scanned.join(kinds.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    sketched = kinds.join(sketches, "class").select("key", "class", "flags", "n_shingles", "sketch")
-    edges = sketched.repartition(n_buckets, "key").sortWithinPartitions("key", "class").mapInArrow(_star(percent), "a long, b long")
-    families = C.written(components(edges).withColumnRenamed("node", "class").withColumnRenamed("component", "family"), "jaccard-families")
+    kinds = shared.join(scanned.select("row", F.col("class").alias("node")), "row").groupBy("key", "node")
+    kinds = kinds.agg(F.bit_or(F.col("flags").bitwiseAND(PROBE)).alias("probe"), F.min(F.col("flags").bitwiseAND(DELETION)).alias("deletion"))
+    kinds = C.written(kinds.select("key", "node", (F.col("probe") + F.col("deletion")).alias("flags")), "jaccard-kinds")
+    C.unwritten(shared)
+    sketches = scanned.join(kinds.select(F.col("node").alias("class")).distinct(), "class", "left_semi").groupBy("class")
+    sketches = C.written(sketches.agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "jaccard-sketches")
+    families = components_by_key(kinds, lambda pairs: _may_link(pairs, sketches, percent), _paired)
+    families = C.written(families.withColumnRenamed("node", "class").withColumnRenamed("component", "family"), "jaccard-families")
 
     # one document of each class brings the set; equal ids with different texts are told apart by the class
     members = families.join(classes.select("class", "first"), "class").select("class", "family", "first")
@@ -197,21 +201,95 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     some = docs.join(F.broadcast(ids) if n_members <= MOST_BROADCAST else ids, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
     sets = some.mapInArrow(_sets(k), "class long, n_bytes long, tokens binary").dropDuplicates(["class"])
     sets = C.written(members.select("class", "family").join(sets, "class"), "jaccard-sets", codec="uncompressed")
-    blocks = sets.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / MOST_MEMBERS, F.sum("n_bytes") / MOST_BYTES)).cast("int").alias("n_blocks"))
-    block = F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int")
-    laid = sets.join(blocks, "family").withColumn("block", block)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    laid = laid.select("family", F.explode(pairs).alias("p"), "class", "tokens").select("family", "p.i", "p.j", "class", "tokens")
-    links = laid.repartition(n_buckets, "family", "i", "j").sortWithinPartitions("family", "i", "j", "class").mapInArrow(_verify(percent), "a long, b long")
+    links = _verified(sets, percent, n_buckets)
     found = components(C.written(links, "jaccard-links")).select(F.col("node").alias("class"), "component")
-    named = classes.select("class", "first", *["_n", "_row"] * by_row).join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = classes.select("class", "first", "_n", *["_row"] * by_row).join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"), *[F.sum("_n").alias("size"), F.min("_row").alias("_least")] * by_row)
-    by_class = named.join(least, "component").select("class", "component_id", *["size", "_least"] * by_row)
-    rows = scanned.select(id_col, "n_shingles", "class", *["of"] * by_row).join(by_class, "class", "left")
+    by_class = named.join(least, "component").select("class", "_n", "component_id", *["size", "_least"] * by_row)
+    rows = scanned.select(id_col, "n_shingles", "class", *["of"] * by_row)
+    rows = C.join_counted(rows, C.written(by_class, "jaccard-classes"), "class", "_n").unionByName(rows.where("class is null"), allowMissingColumns=True)
     more = ["of", "size", F.coalesce(this == F.col("_least"), F.lit(True)).alias("kept")] if by_row else []
     return rows.select(id_col, "n_shingles", "class", F.coalesce("component_id", id_col).alias("component_id"), *more)
 
 
+def _paired(a: Column, b: Column) -> Column:
+    """Whether flags let two members of a key pair: one of them probes, and not both are deletion neighbours."""
+    return (a.bitwiseOR(b).bitwiseAND(PROBE) > 0) & (a.bitwiseAND(b).bitwiseAND(DELETION) == 0)
+
+
+def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes those that sketches don't rule out."""
+    one, other = (sketches.toDF(c, f"n_{c}", f"sketch_{c}") for c in "ab")
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            s_a, s_b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            by_size: dict[tuple[int, int], list[int]] = {}
+            for i, (x, y) in enumerate(zip(s_a, s_b, strict=True)):
+                by_size.setdefault((len(x), len(y)), []).append(i)
+            apart = np.empty(len(n_a), np.int64)
+            for (size_a, size_b), some in by_size.items():
+                to = min(size_a, size_b) // 8
+                x, y = (_rows_folded([s[i] for i in some], to) for s in (s_a, s_b))
+                apart[some] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            keep = pa.array(np.flatnonzero(apart <= _most_apart(n_a, n_b, percent)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+    return both.mapInArrow(near, "a long, b long")
+
+
+def _verified(sets: DataFrame, percent: int, n_buckets: int) -> DataFrame:
+    """Verified links (a, b) that connect, within each family, what its exact links connect. sets: class, family, n_bytes, tokens."""
+    sizes = sets.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_bytes").alias("n_bytes"), F.min("class").alias("lead"))
+    n_blocks = F.ceil(F.greatest(F.col("members") / MOST_MEMBERS, F.col("n_bytes") / MOST_BYTES)).cast("int")
+    large = C.written(sizes.select("family", "lead", n_blocks.alias("n_blocks")).where("n_blocks > 1"), "jaccard-large")
+    n_large = large.count()
+    links = sets.select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), "class", F.lit(True).alias("asked"), F.lit(True).alias("held"), "tokens")
+    if not n_large:
+        return _by_blocks(links, percent, n_buckets)
+    some = F.broadcast(large) if n_large <= MOST_BROADCAST else large
+    links = _by_blocks(links.join(some, "family", "left_anti"), percent, n_buckets)
+
+    # blocks against the least member
+    rows = sets.join(some, "family").withColumn("j", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
+    leads = large.join(sets.select(F.col("class").alias("lead"), F.col("tokens").alias("lead_tokens")), "lead")
+    leads = leads.select("family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("j"), "lead_tokens")
+    told = rows.join(leads, ["family", "j"]).select("family", "n_blocks", "j", "class", "lead", "tokens", "lead_tokens")
+    told = C.written(told.mapInArrow(_near_lead(percent), "family long, n_blocks int, j int, class long, lead long, near boolean"), "jaccard-told")
+    links = links.unionByName(told.where("near and class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b")))
+    strays = told.where("not near").groupBy("family").agg(F.ceil(F.count("*") / MOST_MEMBERS).cast("int").alias("stray_blocks"))
+    strays = C.written(strays, "jaccard-strays")
+    n_strays = strays.count()
+    if not n_strays:
+        return links
+    told = told.join(F.broadcast(strays) if n_strays <= MOST_BROADCAST else strays, "family")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    held = told.withColumn("i", F.explode(upto("stray_blocks"))).withColumns({"asked": F.lit(False), "held": F.lit(True)})
+    asked = told.where("not near").withColumn("i", F.pmod(F.xxhash64("class", F.lit(1)), F.col("stray_blocks")).cast("int"))
+    asked = asked.withColumn("j", F.explode(upto("n_blocks"))).withColumns({"asked": F.lit(True), "held": F.lit(False)})
+    columns = ["family", "i", "j", "class", "asked", "held"]
+    laid = held.select(*columns).unionByName(asked.select(*columns)).join(sets.select("class", "tokens"), "class")
+    return links.unionByName(_by_blocks(laid.select(*columns, "tokens"), percent, n_buckets))
+
+
+def _by_blocks(laid: DataFrame, percent: int, n_buckets: int) -> DataFrame:
+    """Links between the asked and the held sets of each (family, i, j)."""
+    placed = laid.repartition(n_buckets, "family", "i", "j").sortWithinPartitions("family", "i", "j", "class")
+    return placed.mapInArrow(_verify(percent), "a long, b long")
+
+
+def _near_lead(percent: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)
+            linked = [_linked(np.frombuffer(x, C.U64), np.frombuffer(y, C.U64), percent) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(linked, pa.bool_())], names=["family", "n_blocks", "j", "class", "lead", "near"])
+
+    return near
+
+
 def _scan(k: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 32
@@ -311,65 +389,6 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tup
         yield held
 
 
-def _star(percent: int):
-    """Edges that tie together, within each key, all classes that sketches let link (and perhaps more)."""
-
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, a, b = Known(), [], []
-        for rows in _groups(batches, 1):
-            merged: dict[int, list] = {}
-            for kind, flag, n, sketch in rows:  # copies dealt by different tasks
-                merged.setdefault(kind, [0, n, sketch])[0] |= flag & PROBE | (0 if flag & DELETION else 8)
-            if len(merged) < 2:
-                continue
-            kinds = [*merged]
-            probes = np.array([x[0] & PROBE for x in merged.values()], bool)
-            exact = np.array([x[0] & 8 for x in merged.values()], bool)
-            n = np.array([x[1] for x in merged.values()])
-            kinds_root = [known.root(x) for x in kinds]
-            if len(set(kinds_root)) == 1:
-                continue
-            s = _folded([x[2] for x in merged.values()])
-            if len(kinds) <= ALL_PAIRS:
-                for i in np.flatnonzero(probes):
-                    apart = np.bitwise_count(s ^ s[i]).sum(1, dtype=np.int64)
-                    for j in np.flatnonzero((apart <= _most_apart(n, n[i], percent)) & (exact | exact[i])):
-                        known.join(kinds[i], kinds[j], a, b)
-                continue
-            # many members: each one is near a leader, and joins every leader within twice the bound
-            leaders: list[int] = []
-            most = int((100 - percent) * 2 * n.max() // (100 + percent))
-            for i in [*np.flatnonzero(probes), *np.flatnonzero(~probes)]:
-                apart = np.bitwise_count(s[leaders] ^ s[i]).sum(1, dtype=np.int64) if leaders else np.zeros(0, int)
-                for j in np.flatnonzero(apart <= 2 * most):
-                    known.join(kinds[i], kinds[leaders[j]], a, b)
-                if probes[i] and not (apart <= most).any():
-                    leaders.append(i)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return star
-
-
-class Known:
-    """Union-find over any values; join() notes an edge only if it tells something new."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up.get(x, x) != x:
-            up[x] = x = up.get(up[x], up[x])
-        return x
-
-    def join(self, x: int, y: int, a: list, b: list) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            a.append(max(x, y)), b.append(min(x, y))
-
-
 def _sets(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text_slices(batches):
@@ -379,30 +398,38 @@ def _sets(k: int):
     return sets
 
 
-def link_sets(tokens: list[np.ndarray], percent: int) -> Forest:
-    """Exact components of sorted sets, by verified links. Sketches order and discard; sets decide."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def link_sets(tokens: list[np.ndarray], percent: int, asked: np.ndarray | None = None, held: np.ndarray | None = None) -> Forest:
+    """Exact components of sorted sets, by verified links between the asked and the held ones (all, if not given).
+    Sketches order and discard; sets decide."""
     forest = Forest(len(tokens))
     n = np.array([len(t) for t in tokens])
     s = _folded([parity_sketch(t) for t in tokens])
-    for i in range(1, len(tokens)):
-        apart = np.bitwise_count(s[:i] ^ s[i]).sum(1, dtype=np.int64)
-        may = np.flatnonzero(apart <= _most_apart(n[:i], n[i], percent))
-        for j in may[np.argsort(apart[may], kind="stable")]:
-            if forest.root(i) == forest.root(j):
-                continue
-            both = np.concatenate([tokens[i], tokens[j]])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= percent * (n[i] + n[j] - shared):
-                forest.join(i, int(j))
+    every = np.arange(len(tokens))
+    held = every if held is None else np.flatnonzero(held)
+    for i in every if asked is None else np.flatnonzero(asked):
+        others = held[:i] if asked is None else held[held != i]
+        apart = np.bitwise_count(s[others] ^ s[i]).sum(1, dtype=np.int64)
+        may = np.flatnonzero(apart <= _most_apart(n[others], n[i], percent))
+        for j in others[may[np.argsort(apart[may], kind="stable")]]:
+            if forest.root(i) != forest.root(j) and _linked(tokens[i], tokens[j], percent):
+                forest.join(int(i), int(j))
     return forest
 
 
 def _verify(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
-            kinds = [x[0] for x in rows]
-            forest = link_sets([np.frombuffer(x[1], C.U64) for x in rows], percent)
+            kinds, tokens = [x[0] for x in rows], [np.frombuffer(x[3], C.U64) for x in rows]
+            asked, held = (np.array([x[k] for x in rows], bool) for k in (1, 2))
+            forest = link_sets(tokens, percent) if asked.all() and held.all() else link_sets(tokens, percent, asked, held)
             roots = [forest.root(i) for i in range(len(rows))]
             tied = [i for i, r in enumerate(roots) if r != i]
             yield pa.RecordBatch.from_arrays([pa.array([kinds[i] for i in tied], pa.int64()), pa.array([kinds[roots[i]] for i in tied], pa.int64())], names=["a", "b"])

@@ -170,7 +170,6 @@ def test_jaccard_components(docs, k, percent):
 
 def test_jaccard_with_blocks_and_leaders(spark, monkeypatch):
     """A large family goes by leaders and by pairs of blocks, and loses nothing."""
-    monkeypatch.setattr(jaccard_join, "ALL_PAIRS", 4)
     monkeypatch.setattr(jaccard_join, "MOST_MEMBERS", 5)
     rng = random.Random(3)
     base = [f"b{i}" for i in range(60)]
