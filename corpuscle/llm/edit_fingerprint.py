@@ -8,6 +8,12 @@ any two texts share their samples, whatever their lengths, at a size that grows
 sample keeps four bits (a hash of the three characters before that place); ``likeness`` weighs samples by the steps
 that they stand for.
 
+Near duplicates are found by bit-sampled banding and verification: a band takes ``WIDTH`` samples, drawn in proportion
+to their weight from all octaves that texts of about one length have, so it agrees with the chance that two
+fingerprints agree to the power of ``WIDTH``, wherever in the texts they differ. Texts that agree in one of ``BANDS``
+bands are verified by ``likeness``. At a likeness of 0.8 samples agree by 0.8125, so a pair is missed with a chance of
+(1 - 0.8125 ** 8) ** 20 = 1.5 %; with likenesses above that, of less.
+
 A walk goes over whole texts. It is run by character, not by step: a table has, for each step (modulo ``PERIOD``) and
 character class, after how many steps the walk goes on.
 """
@@ -21,17 +27,22 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuscle.llm import common as C
+from corpuscle.llm.graphs import components_by_key
 
 #: Steps of the embedding per character; steps after which the bits recur; classes that characters are hashed to.
 STRETCH, PERIOD, CLASSES = 3, 4096, 64
 #: Samples per octave of steps; octaves: texts of up to 2 ** OCTAVES / 3 characters.
 EACH, OCTAVES = 64, 40
+#: Samples of a band, bands, and the factor between the lengths (as weights) of two families of texts.
+WIDTH, BANDS, FAMILY = 8, 20, 1.5
+#: Ranges that documents are dealt into at most: larger tables have larger ranges, and as many bounds.
+MOST_PARTS = 1 << 16
 #: A walk has this many texts at once at least; fewer are walked one by one.
 MANY = 48
 DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -169,31 +180,106 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 16, width: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """Near duplicates by bit-sampled banding and verification: rows (id, leader, likeness), leader the class's smallest id in a band.
+def least_agreement(least: float) -> float:
+    """The weighted part of samples that agree at a likeness."""
+    return least * 15 / 16 + 1 / 16
+
+
+@cache
+def _total_weights() -> np.ndarray:
+    """The weight of the first 0, 1, 2 .. samples."""
+    return np.concatenate([[0.0], np.cumsum(_weights(len(_tables()[2])))])
+
 
-    Each band takes ``width`` samples of the first 8 octaves; texts that agree in a band meet, are verified by
-    ``likeness`` against the band's leader (a star, so a large group of copies makes as many rows as it has members),
-    and equal fingerprints are first folded into one. Band keys are counted on both sides by id only.
+@cache
+def _picks(family: int) -> np.ndarray:
+    """The samples of each band (BANDS x WIDTH) for texts whose live samples weigh less than FAMILY ** (family + 1)."""
+    n = max(1, int(np.searchsorted(_total_weights(), FAMILY ** (family + 1), "right")) - 1)
+    w = _weights(n) / _weights(n).sum()
+    rng = np.random.default_rng([7, family])
+    return np.array([np.sort(rng.choice(n, WIDTH, replace=n < WIDTH, p=w)) for _ in range(BANDS)])
+
+
+def band_keys(prints: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of fingerprints, and whose each is.
+
+    Samples after the shorter of two texts' ends all differ, so texts of a likeness of ``least`` or more have live
+    samples whose weights differ by no more than that; a text has the bands of all families that such a text may be in.
     """
-    rng = np.random.default_rng(7)
-    classes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("leader"))
-    members = prints.join(classes, "fingerprint").where(F.col(id_col) != F.col("leader")).select(F.col(id_col).alias("id"), "leader", F.lit(1.0).alias("likeness"))
-    picks = [sorted(rng.choice(4 * EACH, width, replace=False).tolist()) for _ in range(bands)]
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.concat_ws("", *[F.substring("fingerprint", p + 1, 1) for p in some]).alias("key")) for b, some in enumerate(picks)])
-    octave = F.floor(F.length("fingerprint") / (2 * EACH))  # texts of such different lengths aren't near
-    banded = classes.select("leader", "fingerprint", F.explode(F.array(octave, octave + 1)).alias("octave"), keys.alias("keys")).select("leader", "fingerprint", "octave", F.inline("keys"))
-    led = banded.withColumn("first", F.min(F.struct("leader", "fingerprint")).over(Window.partitionBy("band", "key", "octave"))).where(F.col("first.leader") < F.col("leader"))
-    candidates = led.groupBy("leader", F.col("first.leader").alias("other")).agg(F.first("fingerprint").alias("a"), F.first("first.fingerprint").alias("b"))
+    lens = np.array([len(p.rstrip("-")) for p in prints], np.int64)
+    weight = _total_weights()[lens]
+    with np.errstate(divide="ignore"):
+        lo = np.floor(np.log(weight) / np.log(FAMILY))
+        hi = np.floor(np.log(weight / least_agreement(least)) / np.log(FAMILY))
+    keys, owners = [np.zeros(0, C.U64)], [np.zeros(0, np.int64)]
+    live = lens > 0
+    for family in range(int(lo[live].min()), int(hi[live].max()) + 1) if live.any() else ():
+        some = np.flatnonzero(live & (lo <= family) & (family <= hi))
+        if not len(some):
+            continue
+        picks = _picks(family)
+        n = int(picks.max()) + 1
+        samples = np.frombuffer("".join(prints[i][:n].ljust(n, "-") for i in some).encode(), np.uint8).reshape(len(some), n)
+        bands = np.ascontiguousarray(samples[:, picks]).view(C.U64).reshape(len(some), BANDS)
+        with np.errstate(over="ignore"):
+            salts = C.mixed((np.arange(BANDS, dtype=C.U64) + C.U64((family + 64) * BANDS)) * C.GOLDEN)
+            keys.append(C.mixed(bands ^ salts).ravel())
+        owners.append(np.repeat(some, BANDS))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _banded(classes: DataFrame, least: float) -> DataFrame:
+    """(key, node) of all bands of (class, fingerprint)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, "fingerprint", 1 << 20):
+            keys, owners = band_keys(batch.column(1).to_pylist(), least)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(owners))], names=["key", "node"])
 
-    @F.pandas_udf("double")
-    def like(a, b):
-        import pandas as pd
+    return classes.select("class", "fingerprint").mapInArrow(run, "key long, node long")
 
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
 
-    verified = candidates.withColumn("likeness", like("a", "b")).where(F.col("likeness") >= least)
-    return verified.select(F.col("leader").alias("id"), F.col("other").alias("leader"), "likeness").unionByName(members)
+def _verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of classes those that are as like as ``least``."""
+    both = pairs.join(prints.toDF("a", "print_a"), "a").join(prints.toDF("b", "print_b"), "b").select("a", "b", "print_a", "print_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = [likeness(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = pa.array(np.flatnonzero(like))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """Near duplicates by banding and verification, of rows (id_col, fingerprint).
+
+    Returns (class, near_class, n) for classes of equal fingerprints that have several rows or a link: class is
+    ``xxhash64(fingerprint)``, near_class the least id that verified links reach, n the rows of the class.
+
+    Every pair that meets in a band and isn't connected otherwise is verified, not only pairs with a band's leader
+    (``components_by_key``); copies are folded into their class first.
+
+    Defined cases: rows without a sample (empty texts) are one class and linked with no other; null ids count as larger
+    than any, and near_class is null where there is no other; an empty table gives an empty table.
+    """
+    prints = prints.select(F.col(id_col).alias("id"), "fingerprint", F.xxhash64("fingerprint").alias("class"))
+    classes = C.written(prints.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("n")), "edit-classes")
+    banded = _banded(prints, least)
+    keys = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    keys = C.written(keys.select("key", "n"), "edit-keys")
+    members = C.join_counted(banded, keys, "key", "n").distinct().withColumn("flags", F.lit(0))
+    members = C.written(members, "edit-members")
+    met = members.select(F.col("node").alias("class")).distinct()
+    asked = prints.join(met, "class", "left_semi").groupBy("class").agg(F.first("fingerprint").alias("fingerprint"))
+    asked = C.written(asked, "edit-asked")
+    linked = components_by_key(members, lambda pairs: _verified(pairs, asked, least))
+    linked = C.written(linked.withColumnRenamed("node", "class"), "edit-components")
+    named = classes.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = C.written(named.where("n > 1").unionByName(linked.join(classes, "class").where("n = 1")), "edit-named")
+    firsts = named.groupBy("component").agg(F.min("first").alias("near_class"))
+    return named.join(firsts, "component").select("class", "near_class", "n")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
@@ -205,6 +291,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
+    Ids are integers (what is next is told by their order; others fail).
+
     Defined cases: null text is empty; an only document is its own next; null ids come first and count as the least
     long; an empty table gives an empty table; other columns aren't read.
     """
@@ -213,7 +301,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), least_id).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     id_type = docs.schema[id_col].dataType
     size, low = keyed.agg(F.sum(F.octet_length("_text")), F.min("_key")).first()
-    parts = max(C.shuffle_partitions(spark), -(-(size or 0) // part_bytes))
+    parts = min(max(C.shuffle_partitions(spark), -(-(size or 0) // part_bytes)), MOST_PARTS)
     cuts = keyed.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.25 / parts) if size is not None and parts > 1 else []
     # quantiles are doubles: beyond 2 ** 53 no ids; the least id at or above each of them is exact
     cuts = np.array(sorted({min(int(c), (1 << 63) - 1) for c in cuts}), np.int64)
@@ -302,5 +390,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """edited_fingerprints over the whole of documents."""
-    return edited_fingerprints(C.documents(spark, sf_dir))
+    """edited_fingerprints over the whole of documents, and near_class: the least doc_id among near duplicates."""
+    docs = C.documents(spark, sf_dir)
+    prints = C.written(fingerprint_documents(docs).select("doc_id", "fingerprint"), "edit-prints", codec="zstd")
+    near = C.written(near_classes(prints).select(F.col("class").alias("_class"), "near_class"), "edit-near")
+    near = F.broadcast(near) if near.count() <= C.MOST_HEAVY else near
+    rows = edited_fingerprints(docs).join(near, F.xxhash64("fingerprint") == F.col("_class"), "left")
+    return rows.withColumn("near_class", F.coalesce("near_class", "doc_id")).drop("_class")

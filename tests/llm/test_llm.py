@@ -417,10 +417,81 @@ def test_likeness_falls_with_edits():
     assert like[0] == 1 and like == sorted(like, reverse=True) and like[1] > 0.9
 
 
-def test_near_pairs(docs):
-    prints = edit_fingerprint.fingerprint_documents(docs)
-    pairs = {(r.id, r.leader) for r in edit_fingerprint.near_pairs(prints, 0.8).collect()}
-    assert (14, 11) in pairs and any({a, b} == {9, 10} for a, b in pairs)
+def walked_by_hand(text):
+    """The fingerprint by the definition: at each step the walk shows a character, then stays or goes on, by a bit."""
+    E = edit_fingerprint
+    go, _, sampled = E._tables()
+    codes = np.array([ord(c) for c in text], "<u4")
+    kinds, nibbles = E._classes(codes), E._nibbles(codes)
+    shown, at = [], 0
+    while at < len(text):
+        shown.append(at)
+        at += go[kinds[shown[-1]], (len(shown) - 1) % E.PERIOD] == 1
+    arrived = shown.index(len(text) - 1) if text else 0
+    out = ""
+    for step in sampled[sampled < E.STRETCH * len(text)]:
+        out += "-" if step > arrived + 4 * E.STRETCH else "%x" % nibbles[shown[step] if step < len(shown) else len(text) - 1]
+    return out
+
+
+def test_a_walk_is_its_definition():
+    rng = random.Random(8)
+    some = ["", "a", "ab", "é漢", *("".join(rng.choice("abcdef \n") for _ in range(n)) for n in (7, 64, 300, 2500))]
+    assert edit_fingerprint.fingerprints(some) == [walked_by_hand(t) for t in some]
+
+
+def near_by_hand(prints, least):
+    """Components of all pairs of fingerprints as like as least, and the pairs."""
+    label, pairs = list(range(len(prints))), []
+    for i in range(len(prints)):
+        for j in range(i):
+            if prints[i].strip("-") and edit_fingerprint.likeness(prints[i], prints[j]) >= least:
+                pairs.append((i, j))
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label, pairs
+
+
+def test_near_classes_find_what_all_pairs_have(spark):
+    """Edits in the beginning, the end, or all over; in pairs, in groups, and in chains whose ends aren't near."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnop  "
+    make = lambda n: [rng.choice(letters) for _ in range(n)]
+    rows = []
+    for n in (60, 300, 900, 2000, 5000, 12000):
+        for _ in range(10):
+            base = make(n)
+            rows.append(base)
+            rows.append(make(min(400, n // 10)) + base[min(400, n // 10) :])
+            rows.append(base[: n - n // 12] + make(n // 12))
+            rows.append([rng.choice(letters) if rng.random() < 0.01 else c for c in base])
+            rows.append(base[: n // 2] + make(n // 20) + base[n // 2 :])
+        chain = make(n)
+        for _ in range(8):
+            at = rng.randrange(n - n // 12)
+            chain = chain[:at] + make(n // 12) + chain[at + n // 12 :]
+            rows.append(chain)
+    rows = ["".join(r) for r in rows]
+    prints = edit_fingerprint.fingerprints(rows)
+    label, pairs = near_by_hand(prints, 0.8)
+    df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    near = {r["class"]: r.near_class for r in edit_fingerprint.near_classes(df, 0.8).collect()}
+    of = [near.get(r["class"], r.doc_id) for r in df.select("doc_id", F.xxhash64("fingerprint").alias("class")).orderBy("doc_id").collect()]
+    met = sum(of[i] == of[j] for i, j in pairs)
+    opening = [(i, j) for i, j in pairs if rows[i][-200:] == rows[j][-200:] and rows[i][:6] != rows[j][:6]]
+    assert len(pairs) > 200 and met / len(pairs) >= 0.95
+    assert len(opening) > 20 and sum(of[i] == of[j] for i, j in opening) / len(opening) >= 0.95
+    assert all(label[i] == label[j] for i in range(len(rows)) for j in range(i) if of[i] == of[j])  # nothing else
+
+
+def test_near_classes_of_copies_nulls_and_empty_texts(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(5, text), (3, text + "."), (None, text), (9, ""), (8, None), (7, "alone in the world"), (5, text), (None, "x y z")]
+    prints = edit_fingerprint.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    near = {r["class"]: (r.near_class, r.n) for r in edit_fingerprint.near_classes(prints).collect()}
+    got = sorted((str(r.doc_id), near.get(r.c, ())) for r in prints.select("doc_id", F.xxhash64("fingerprint").alias("c")).collect())
+    assert got == sorted([("5", (3, 3)), ("3", (3, 1)), ("None", (3, 3)), ("9", (8, 2)), ("8", (8, 2)), ("7", ()), ("5", (3, 3)), ("None", ())])
+    assert edit_fingerprint.near_classes(prints.limit(0)).count() == 0
 
 
 def test_language_id(spark):
