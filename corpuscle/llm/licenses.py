@@ -94,10 +94,8 @@ def license_votes(docs: DataFrame, phrases: dict[str, str] | None = None, templa
             row += n
 
     scanned = C.written(docs.select(id_col, text_col).mapInArrow(scan, schema), "license-hits")
-    if len(rows) > MOST_POSITIONS:
-        raise ValueError(f"the templates have {len(rows)} positions; at most {MOST_POSITIONS} are broadcast")
     positions = spark.createDataFrame(rows, "gram long, template int, label string, exact boolean, t long, n long")
-    votes = scanned.select("row", F.inline("hits")).join(F.broadcast(positions), "gram").withColumn("diagonal", F.col("pos") - F.col("t"))
+    votes = scanned.select("row", F.inline("hits")).join(F.broadcast(positions) if len(rows) <= MOST_POSITIONS else positions, "gram").withColumn("diagonal", F.col("pos") - F.col("t"))
     places = (
         votes.where("exact").groupBy("row", "template", "label", "n", "diagonal").agg(F.countDistinct("t").alias("votes")).where("votes = n")
         .groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("diagonal").alias("start"), "label"))).alias("places"))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuscle.llm import common as C
-from corpuscle.llm.tokens import default_path, word_tokens
+from corpuscle.llm.tokens import word_tokens
 
 #: Bins of the least squares, and ids that end a document.
 BINS, END = 128, 1
@@ -135,7 +135,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, l
     return done + [x for xs in room.values() for x in xs]
 
 
-def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (id, piece, start, length, ids_crc32) of at most capacity tokens: a text's ids, then END."""
     id_type = docs.schema[id_col].dataType
     arrow_id = to_arrow_type(id_type)
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, id
     through; an empty table gives an empty table; other columns aren't read.
     """
     spark = docs.sparkSession
-    pieces = C.written(token_pieces(docs, capacity, tokenizer or default_path(), id_col, text_col), "packing-pieces")
+    pieces = C.written(token_pieces(docs, capacity, tokenizer, id_col, text_col), "packing-pieces")
     salts = max(64, C.shuffle_partitions(spark))
     pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
     per_group = pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n"))

@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and the same in DuckDB's SQL where SQL can express them."""
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
+
 from corpuscle.llm.decontaminate import op6_simhash_windows
 from corpuscle.llm.edit_fingerprint import op3_edit_fingerprint
 from corpuscle.llm.jaccard_join import op9_jaccard_join
@@ -12,6 +13,14 @@ from corpuscle.llm.secrets import op2_secret_links
 from corpuscle.llm.substring_dedup import op4_substring_dedup
 from corpuscle.llm.token_shards import op8_token_shards
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, a script beside the package: it isn't part of what ``--py-files`` ships."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_links": op2_secret_links,
@@ -23,7 +32,7 @@ QUERIES = {
     "op8_token_shards": op8_token_shards,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_votes": op10_license_votes,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 ORACLES = {

@@ -30,9 +30,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: Weak candidates. Identifiers by assignment; opaque tokens have digits and both cases; endpoints are URLs and hosts with ports.
+#: None of them starts inside a run of its own characters, so each takes time in proportion to the text.
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:name|_?id)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,})", re.I | re.A)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|(?<![\w.])(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}:[0-9]{2,5}(?![0-9])", re.A)
+ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|(?<![\w.-])(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}:[0-9]{2,5}(?![0-9])", re.A)
 
 
 def parts(text: str) -> list[tuple[int, int, str, str]]:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuscle.llm import common as C
-from corpuscle.llm.tokens import default_path, word_tokens
+from corpuscle.llm.tokens import word_tokens
 
 #: The id that ends a document, the id that fills a row, and the tokens that a task holds at once.
 END, FILL, BUFFER = 1, 0, 4 << 20
@@ -92,10 +92,9 @@ def pack_tokens(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = N
     segment = T.StructType([T.StructField("id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType())])
     schema = T.StructType([*T._parse_datatype_string("shard long, row int, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>").fields, T.StructField("segments", T.ArrayType(segment))])
     arrow_segments = pa.list_(pa.struct([("id", arrow_id), ("piece", pa.int32()), ("start", pa.int64())]))
-    path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_tokens(path).encode, np.array([END], "<u4").tobytes()
+        encode, end = word_tokens(tokenizer).encode, np.array([END], "<u4").tobytes()
         shard, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in C.slices(batches, text_col, 1 << 20):
             for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):

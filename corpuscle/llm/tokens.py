@@ -89,9 +89,9 @@ class WordTokens:
 
 
 @cache
-def word_tokens(path: str) -> WordTokens:
-    """One for each path and worker."""
-    return WordTokens(path)
+def word_tokens(path: str | None = None) -> WordTokens:
+    """One for each path and worker; None is the default tokenizer, wherever this machine has it."""
+    return WordTokens(path or default_path())
 
 
 def default_path() -> str:
