@@ -21,6 +21,8 @@ GOLDEN = U64(0x9E3779B97F4A7C15)
 
 #: Keys that may be broadcast where each has a great part of all rows.
 MOST_HEAVY = 250_000
+#: Rows of a part of a table of narrow rows, and the least parts, where its size is known before it is written.
+PART_ROWS, LEAST_PARTS = 500_000, 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,12 +67,15 @@ def deleted(spark: SparkSession, path: str) -> None:
     files.delete(jpath, True)
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "snappy", rows: int | None = None) -> DataFrame:
     """df, written once to the shared folder and read again: it cuts the lineage and survives lost executors.
 
+    rows: a bound of its rows, if they are narrow; a small table then isn't written in as many parts as a large one.
     The folder goes when the session's JVM ends, or with ``unwritten``.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_PARTS, -(-rows // PART_ROWS)))
     path = shared_path(spark, name)
     write = df.write.option("compression", codec)
     (write.partitionBy(*partition_by) if partition_by else write).parquet(path)
@@ -84,13 +89,16 @@ def unwritten(df: DataFrame) -> None:
     deleted(df.sparkSession, df._written_to)
 
 
-def join_counted(rows: DataFrame, keys: DataFrame, on: str, count: str) -> DataFrame:
+def join_counted(rows: DataFrame, keys: DataFrame, on: str, count: str, at_most: int | None = None) -> DataFrame:
     """The inner join of rows with keys, where keys (a written table) has each key once, and ``count`` is at least the
     number of its rows.
 
     No key becomes hot: as counts add up, at most MOST_HEAVY keys have a MOST_HEAVY-th of all counted rows or more, and
-    these are broadcast; the others are joined by a shuffle. If there are no more keys than that, all are broadcast.
+    these are broadcast; the others are joined by a shuffle. If there are no more keys than that (at_most, a bound that
+    is known, may say so), all are broadcast.
     """
+    if at_most is not None and at_most <= MOST_HEAVY:
+        return rows.join(F.broadcast(keys.drop(count)), on)
     n, total = keys.agg(F.count("*"), F.sum(count)).first()
     if n <= MOST_HEAVY:
         return rows.join(F.broadcast(keys.drop(count)), on)

@@ -12,7 +12,7 @@ Near duplicates are found by bit-sampled banding and verification: a band takes
 to their weight from all octaves that texts of about one length have, so it agrees with the chance that two
 fingerprints agree to the power of ``WIDTH``, wherever in the texts they differ. Texts that agree in one of ``BANDS``
 bands are verified by ``likeness``. At a likeness of 0.8 samples agree by 0.8125, so a pair is missed with a chance of
-(1 - 0.8125 ** 8) ** 20 = 1.5 %; with likenesses above that, of less.
+(1 - 0.8125 ** 10) ** 24 = 4 %; with likenesses above that, of less (0.85: 0.3 %).
 
 A walk goes over whole texts. It is run by character, not by step: a table has, for each step (modulo ``PERIOD``) and
 character class, after how many steps the walk goes on.
@@ -39,13 +39,16 @@ from corpuscle.llm.graphs import components_by_key
 STRETCH, PERIOD, CLASSES = 3, 4096, 64
 #: Samples per octave of steps; octaves: texts of up to 2 ** OCTAVES / 3 characters.
 EACH, OCTAVES = 64, 40
+DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: Samples of a band, bands, and the factor between the lengths (as weights) of two families of texts.
-WIDTH, BANDS, FAMILY = 8, 20, 1.5
+WIDTH, BANDS, FAMILY = 10, 24, 1.5
+#: What a sample may be, as numbers of five bits: a hexadecimal digit, or a dash. So WIDTH is at most 12.
+SYMBOLS = np.full(256, 16, np.uint64)
+SYMBOLS[DIGITS] = np.arange(16)
 #: Ranges that documents are dealt into at most: larger tables have larger ranges, and as many bounds.
 MOST_PARTS = 1 << 16
 #: A walk has this many texts at once at least; fewer are walked one by one.
 MANY = 48
-DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
 @cache
@@ -220,7 +223,7 @@ def band_keys(prints: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
         picks = _picks(family)
         n = int(picks.max()) + 1
         samples = np.frombuffer("".join(prints[i][:n].ljust(n, "-") for i in some).encode(), np.uint8).reshape(len(some), n)
-        bands = np.ascontiguousarray(samples[:, picks]).view(C.U64).reshape(len(some), BANDS)
+        bands = SYMBOLS[samples[:, picks]] @ (C.U64(1) << (C.U64(5) * np.arange(WIDTH, dtype=C.U64)))
         with np.errstate(over="ignore"):
             salts = C.mixed((np.arange(BANDS, dtype=C.U64) + C.U64((family + 64) * BANDS)) * C.GOLDEN)
             keys.append(C.mixed(bands ^ salts).ravel())
@@ -252,6 +255,24 @@ def _verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _compared(least: float):
+    """Which members (flags, fingerprint) of a key are as like as ``least``: ``likeness``, of one with many."""
+
+    def compare(rows: list[tuple]):
+        n = max(len(r[1]) for r in rows)
+        samples = np.frombuffer("".join(r[1].ljust(n, "-") for r in rows).encode(), np.uint8).reshape(len(rows), n)
+        live, weights = samples != ord("-"), _weights(n)
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            same = (samples[others] == samples[i]) & live[i]
+            total = (live[others] | live[i]) @ weights
+            return same @ weights >= (least_agreement(least) - 1e-12) * np.maximum(total, 1e-12)
+
+        return near
+
+    return compare
+
+
 def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """Near duplicates by banding and verification, of rows (id_col, fingerprint).
 
@@ -265,19 +286,21 @@ def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id")
     than any, and near_class is null where there is no other; an empty table gives an empty table.
     """
     prints = prints.select(F.col(id_col).alias("id"), "fingerprint", F.xxhash64("fingerprint").alias("class"))
-    classes = C.written(prints.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("n")), "edit-classes")
+    n = prints.count()
+    classes = prints.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    classes = C.written(classes, "edit-classes", rows=n)
     banded = _banded(prints, least)
     keys = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    keys = C.written(keys.select("key", "n"), "edit-keys")
+    keys = C.written(keys.select("key", "n"), "edit-keys", rows=2 * BANDS * n)
     members = C.join_counted(banded, keys, "key", "n").distinct().withColumn("flags", F.lit(0))
-    members = C.written(members, "edit-members")
+    members = C.written(members, "edit-members", rows=2 * BANDS * n)
     met = members.select(F.col("node").alias("class")).distinct()
     asked = prints.join(met, "class", "left_semi").groupBy("class").agg(F.first("fingerprint").alias("fingerprint"))
-    asked = C.written(asked, "edit-asked")
-    linked = components_by_key(members, lambda pairs: _verified(pairs, asked, least))
-    linked = C.written(linked.withColumnRenamed("node", "class"), "edit-components")
+    asked = C.written(asked, "edit-asked", rows=8 * n)
+    linked = components_by_key(members, asked.withColumnRenamed("class", "node"), lambda pairs: _verified(pairs, asked, least), _compared(least))
+    linked = C.written(linked.withColumnRenamed("node", "class"), "edit-components", rows=n)
     named = classes.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = C.written(named.where("n > 1").unionByName(linked.join(classes, "class").where("n = 1")), "edit-named")
+    named = C.written(named.where("n > 1").unionByName(linked.join(classes, "class").where("n = 1")), "edit-named", rows=n)
     firsts = named.groupBy("component").agg(F.min("first").alias("near_class"))
     return named.join(firsts, "component").select("class", "near_class", "n")
 

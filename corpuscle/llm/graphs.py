@@ -6,18 +6,26 @@ rows by ``C.join_counted``, which broadcasts the few of great degree.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import common as C
 
+#: Strays, and members, of a key that are compared in one task.
+BLOCK = 512
 
-def _with_least(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (u, v) with m, the least v of their u; and the table of these, to be deleted later."""
-    least = C.written(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    return C.join_counted(rows, least, "u", "n"), least
+
+def _with_least(rows: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (u, v), at most n, with m, the least v of their u; and what was written for it, to be deleted later."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if n <= C.MOST_HEAVY:
+        return C.join_counted(rows, least, "u", "n", at_most=n), []
+    least = C.written(least, "least", rows=n)
+    return C.join_counted(rows, least, "u", "n"), [least]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,62 +38,128 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = C.written(now, "edges")
-    seen = None
-    while True:
-        both, least = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    n, seen = now.count(), None
+    while n:
+        both, least = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n)
         large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
-        large = C.written(large.distinct(), "edges")
-        C.unwritten(now)
-        C.unwritten(least)
-        small, least = _with_least(large)
+        large = C.written(large.distinct(), "edges", rows=n)
+        for table in (now, *least):
+            C.unwritten(table)
+        small, least = _with_least(large, n)
         turned = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         small = small.select(F.inline(turned)).where("u <> v").distinct()
-        now = C.written(small, "edges")
-        C.unwritten(large)
-        C.unwritten(least)
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == seen:
+        now = C.written(small, "edges", rows=2 * n)
+        for table in (large, *least):
+            C.unwritten(table)
+        n, mixed = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if (n, mixed) == seen:
             break
-        seen = state
+        seen = (n, mixed)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def components_by_key(
-    members: DataFrame,
-    judge: Callable[[DataFrame], DataFrame],
-    may: Callable[[Column, Column], Column] | None = None,
-) -> DataFrame:
-    """(node, component) of the graph of all pairs that share a key and pass; nodes without a link have no row.
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
+    """Rows that come in order of their first n_keys columns, without these, by these."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n_keys] != now:
+                if held:
+                    yield held
+                now, held = row[:n_keys], []
+            held.append(row[n_keys:])
+    if held:
+        yield held
+
+
+class Forest:
+    """Union-find over any values that have an order; the root is the least."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        up = self.up
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    def join(self, x, y) -> bool:
+        """Whether that tied together what wasn't."""
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
 
-    members: a written table (key, node, flags) in which each key has a node once. judge keeps, of pairs (a, b), those
-    that are linked. may says, from the flags of two members, whether the key lets them pair at all.
+
+#: Given the rows (flags, payload ...) of some members: which of others are linked with the member i.
+Compare = Callable[[list[tuple]], Callable[[int, np.ndarray], np.ndarray]]
+
+
+def components_by_key(members: DataFrame, payloads: DataFrame, judge: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
+    """(node, component) of the graph of all pairs that share a key and are linked; nodes without a link have no row.
+
+    members: a written table (key, node, flags) in which each key has a node once. payloads: a written table (node, ...)
+    of what tells whether two are linked. judge keeps, of pairs (a, b) whatever their flags, those that are linked;
+    compare says the same of members held in memory, and may let flags forbid a pair in its key.
 
     First each member is judged against its key's least node: a pair for each member, whatever the key's size. What that
     connects needs no further look. Then, in keys whose members are in more than one component, each member outside the
-    key's largest component is paired with all members of others: so every pair that could join two components is
-    judged, and a key of many copies costs its size times its strays.
+    key's largest component is compared with all members of others: so every pair that could join two components is
+    looked at, and a key of many copies costs its size times its strays. That is done in memory, a block of strays with
+    a block of members at a time, so no pairs are made and a key of any size is spread.
+
+    Defined cases: keys of one member say nothing; with no members, or no linked pair, there are no rows.
     """
+    n = members.count()
     keys = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    keys = C.written(keys, "keys")
-    star = C.join_counted(members.select("key", "node"), keys, "key", "n").where("node <> lead")
-    star = C.written(star.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    edges = C.written(judge(star), "edges")
-    first = C.written(components(edges), "components")
-
-    rows = C.join_counted(members, keys.drop("lead"), "key", "n").join(first, "node", "left")
-    rows = C.written(rows.withColumn("component", F.coalesce("component", "node")), "members")
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
-    mixed = C.written(mixed.where("parts > 1").select("key", "main", "n"), "mixed-keys")
-    rows = C.written(C.join_counted(rows, mixed, "key", "n"), "mixed-members")
-    strays = rows.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("flags").alias("fa"))
-    others = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("flags").alias("fb"), "main")
-    pairs = strays.join(others, "key").where("ca <> cb and (cb = main or a < b)")
-    if may is not None:
-        pairs = pairs.where(may(F.col("fa"), F.col("fb")))
-    pairs = C.written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    out = components(edges.unionByName(judge(pairs)))
-    for table in (star, first, keys, mixed):
+    keys = C.written(keys, "keys", rows=n)
+    star = C.join_counted(members.select("key", "node"), keys, "key", "n", at_most=n).where("node <> lead")
+    star = C.written(star.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs", rows=n)
+    first = C.written(components(judge(star)), "components", rows=n)
+
+    # keys whose members aren't all connected by now
+    rows = C.join_counted(members, keys.drop("lead"), "key", "n", at_most=n).join(first, "node", "left")
+    rows = C.written(rows.withColumn("component", F.coalesce("component", "node")), "members", rows=n)
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = parts.agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    mixed = mixed.where("parts > 1").select("key", "main", "n", blocks(F.col("n")).alias("n_blocks"), blocks(F.col("n") - F.col("largest")).alias("stray_blocks"))
+    mixed = C.written(mixed, "mixed-keys", rows=n)
+    rows = C.join_counted(rows, mixed, "key", "n", at_most=n).withColumn("stray", F.col("component") != F.col("main"))
+    place = lambda salt, c: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(c)).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    held = rows.withColumn("i", upto("stray_blocks")).withColumns({"j": place(1, "n_blocks"), "asked": F.lit(False)})
+    asked = rows.where("stray").withColumn("j", upto("n_blocks")).withColumns({"i": place(2, "stray_blocks"), "asked": F.lit(True)})
+    laid = held.unionByName(asked).join(payloads, "node")
+    laid = laid.select("key", "i", "j", "asked", "component", "flags", *[c for c in payloads.columns if c != "node"])
+    laid = laid.repartition(C.shuffle_partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        a, b = [], []
+        for some in groups(batches, 3):
+            is_asked = np.array([r[0] for r in some])
+            if not is_asked.any() or is_asked.all():
+                continue
+            near = compare([r[2:] for r in some])
+            others = np.flatnonzero(~is_asked)
+            for i in np.flatnonzero(is_asked):
+                apart = np.array([forest.root(some[j][1]) != forest.root(some[i][1]) for j in others], bool)
+                for j in others[apart][near(i, others[apart])] if apart.any() else ():
+                    if forest.join(some[i][1], some[j][1]):
+                        a.append(some[i][1])
+                        b.append(some[j][1])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    linked = C.written(laid.mapInArrow(run, "a long, b long").distinct(), "edges")
+    for table in (star, keys, mixed):
         C.unwritten(table)
-    return out
+    if linked.isEmpty():
+        return first
+    # components of components; a component's name is its least node
+    again = C.written(components(linked), "components", rows=2 * linked.count())
+    joined = first.join(again.toDF("component", "_to"), "component", "left")
+    joined = joined.select("node", F.coalesce("_to", "component").alias("component"))
+    return joined.unionByName(again.join(first.select("node"), "node", "left_anti"))

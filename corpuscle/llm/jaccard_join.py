@@ -31,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import common as C
-from corpuscle.llm.graphs import components, components_by_key
+from corpuscle.llm.graphs import Forest, components, components_by_key, groups
 from corpuscle.llm.substring_dedup import _bucket, _packed, _unpacked
 
 #: Flags of a key: the set probes with it; it is a deletion neighbour; the set belongs to the universe's own band.
@@ -128,22 +128,6 @@ def _most_apart(n: np.ndarray, k, percent: int) -> np.ndarray:
     return np.where(100 * np.minimum(n, k) >= percent * np.maximum(n, k), h, -1)
 
 
-class Forest:
-    """Union-find over 0 .. n - 1; the root is the smallest."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-
 def _tokens(batch_text: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; of fewer than k words the whole sequence is the one shingle."""
     data, offsets = C.utf8(batch_text)
@@ -191,7 +175,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     C.unwritten(shared)
     sketches = scanned.join(kinds.select(F.col("node").alias("class")).distinct(), "class", "left_semi").groupBy("class")
     sketches = C.written(sketches.agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "jaccard-sketches")
-    families = components_by_key(kinds, lambda pairs: _may_link(pairs, sketches, percent), _paired)
+    families = components_by_key(kinds, sketches.withColumnRenamed("class", "node"), lambda pairs: _may_link(pairs, sketches, percent), _compared(percent))
     families = C.written(families.withColumnRenamed("node", "class").withColumnRenamed("component", "family"), "jaccard-families")
 
     # one document of each class brings the set; equal ids with different texts are told apart by the class
@@ -212,9 +196,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     return rows.select(id_col, "n_shingles", "class", F.coalesce("component_id", id_col).alias("component_id"), *more)
 
 
-def _paired(a: Column, b: Column) -> Column:
-    """Whether flags let two members of a key pair: one of them probes, and not both are deletion neighbours."""
-    return (a.bitwiseOR(b).bitwiseAND(PROBE) > 0) & (a.bitwiseAND(b).bitwiseAND(DELETION) == 0)
+def _compared(percent: int):
+    """Which members (flags, n, sketch) of a key sketches don't rule out: one of two probes, and not both are deletion neighbours."""
+
+    def compare(rows: list[tuple]):
+        flags, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        sketches = _folded([r[2] for r in rows])
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            may = ((flags[i] | flags[others]) & PROBE > 0) & (flags[i] & flags[others] & DELETION == 0)
+            apart = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1, dtype=np.int64)
+            return may & (apart <= _most_apart(n[others], n[i], percent))
+
+        return near
+
+    return compare
 
 
 def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -375,20 +371,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(row[s]), pa.array(flag[s])], names=["key", "row", "flags"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
-    """Rows, in order of their first n_keys columns, by these."""
-    now, held = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:n_keys] != now:
-                if held:
-                    yield held
-                now, held = row[:n_keys], []
-            held.append(row[n_keys:])
-    if held:
-        yield held
-
-
 def _sets(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text_slices(batches):
@@ -409,7 +391,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def link_sets(tokens: list[np.ndarray], percent: int, asked: np.ndarray | None = None, held: np.ndarray | None = None) -> Forest:
     """Exact components of sorted sets, by verified links between the asked and the held ones (all, if not given).
     Sketches order and discard; sets decide."""
-    forest = Forest(len(tokens))
+    forest = Forest()
     n = np.array([len(t) for t in tokens])
     s = _folded([parity_sketch(t) for t in tokens])
     every = np.arange(len(tokens))
@@ -426,7 +408,7 @@ def link_sets(tokens: list[np.ndarray], percent: int, asked: np.ndarray | None =
 
 def _verify(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, 3):
+        for rows in groups(batches, 3):
             kinds, tokens = [x[0] for x in rows], [np.frombuffer(x[3], C.U64) for x in rows]
             asked, held = (np.array([x[k] for x in rows], bool) for k in (1, 2))
             forest = link_sets(tokens, percent) if asked.all() and held.all() else link_sets(tokens, percent, asked, held)
