@@ -86,3 +86,24 @@ def family(members: DataFrame, group: str, member: str, order: str, occurring: D
 def allowlist_differences(found: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """key, kind: what is found and not allowed, and what is allowed and not found any more."""
     return found.join(allowed, key, "left_anti").select(key, F.lit("new").alias("kind")).unionByName(allowed.join(found, key, "left_anti").select(key, F.lit("gone").alias("kind")))
+
+
+def family_sizes(members: DataFrame, group: str, member: str, occurring: DataFrame) -> DataFrame:
+    """group, member, n_family, least, greatest: of the group's other members that occur, how many and between what.
+
+    Nothing is listed, so a group may hold a great part of all rows: only the two least and greatest of each go round.
+    """
+    alive = members.join(occurring.select(member).distinct(), member, "left_semi").select(group, member)
+    two = alive.groupBy(group).agg(F.count("*").alias("_n"), F.min(member).alias("_lo"), F.max(member).alias("_hi"))
+    inner = alive.join(two.select(group, "_lo", "_hi"), group)
+    second = inner.groupBy(group).agg(F.min(F.when(F.col(member) > F.col("_lo"), F.col(member))).alias("_lo2"), F.max(F.when(F.col(member) < F.col("_hi"), F.col(member))).alias("_hi2"))
+    told = members.select(group, member).join(alive.select(F.col(member).alias("_alive")), F.col(member) == F.col("_alive"), "left").join(two.join(second, group), group, "left")
+    own = F.col("_alive").isNotNull().cast("int")
+    other = lambda end, next_one: F.when(F.col(end) == F.col(member), F.col(next_one)).otherwise(F.col(end))
+    return told.select(group, member, (F.coalesce("_n", F.lit(0)) - own).alias("n_family"), other("_lo", "_lo2").alias("least"), other("_hi", "_hi2").alias("greatest"))
+
+
+def overrides_not_applied(found: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:
+    """key, wanted, value: curated values that the result doesn't have; null is a value like any other."""
+    wanted = overrides.select(key, F.col(value).alias("wanted"))
+    return wanted.join(found.select(key, value), key, "left").where(~F.col("wanted").eqNullSafe(F.col(value)))

@@ -89,3 +89,33 @@ def densify(verses: DataFrame, by: list[str], verse: str) -> DataFrame:
 def context_kind(context: Column) -> Column:
     """own, joint (rendered with another word: empty) or none (null): three things that must not be mixed up."""
     return F.when(context.isNull(), F.lit("none")).when(context == "", F.lit("joint")).otherwise(F.lit("own"))
+
+
+def labelled(rows: DataFrame, canon: DataFrame, book: str, ch: str, v: str, here: Column) -> DataFrame:
+    """A concordance's positions with label ('Name 3:4') and here: whether it is where the reader is."""
+    from corpuscle.functions.references import ref_label
+
+    names = F.broadcast(canon.select(F.col("id").alias("_id"), F.col("en").alias("_en")))
+    joined = rows.join(names, F.col(book) == F.col("_id"), "left")
+    return joined.withColumns({"label": ref_label(F.col("_en"), F.col(book), F.col(ch), F.col(v)), "here": F.coalesce(here, F.lit(False))}).drop("_id", "_en")
+
+
+def most_frequent_without(counts: DataFrame, found: DataFrame, key: str, n: str = "n", most: int = 20) -> DataFrame:
+    """A report: the most frequent keys that found doesn't have; ties by key."""
+    return counts.join(found.select(key).distinct(), key, "left_anti").orderBy(F.desc(n), key).limit(most)
+
+
+def match_statistics(rows: DataFrame, exact: Column, fuzzy: Column, lemma: str) -> DataFrame:
+    """One row: n, exact, fuzzy, unmatched, and how many different lemmas are unmatched."""
+    neither = ~exact & ~fuzzy
+    return rows.agg(F.count("*").alias("n"), F.count_if(exact).alias("exact"), F.count_if(fuzzy & ~exact).alias("fuzzy"), F.count_if(neither).alias("unmatched"), F.countDistinct(F.when(neither, F.col(lemma))).alias("unmatched_lemmas"))
+
+
+def verse_counts(verses: DataFrame, book: str, ch: str, v: str) -> DataFrame:
+    """book, ch, n: different verses of each chapter."""
+    return verses.groupBy(book, ch).agg(F.countDistinct(v).alias("n"))
+
+
+def reverse_map(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """value, keys: all keys that have it, distinct and in order."""
+    return pairs.where(F.col(value).isNotNull()).groupBy(value).agg(F.array_sort(F.collect_set(key)).alias("keys"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.session import kept
+
 
 def first_rule(rows: DataFrame, rules: DataFrame, equal: list[str], place: str, key: str) -> DataFrame:
     """rows with the columns of the first rule that matches, null where none does.
@@ -57,22 +59,38 @@ def running_offset(df: DataFrame, by: list[str], order: list[str], size: Column,
     return df.withColumn(out, F.coalesce(F.sum(size).over(w), F.lit(0)))
 
 
-def walk_chain(links: DataFrame, starts: DataFrame, node: str, next_node: str, stop: DataFrame | None = None, most: int = 1000) -> DataFrame:
-    """start, node, step: who comes after whom from each start, until a stop, a link that leads nowhere, or most steps.
+def walk_chain(links: DataFrame, starts: DataFrame, node: str, next_node: str, stop: DataFrame | None = None) -> DataFrame:
+    """start, node, step: who comes after whom from each start, until a stop, a link that leads nowhere, or a seen node.
 
-    One join per step over all starts at once. A node that a walk has seen ends it.
+    By doubling: round k knows every walk's first 2 ** k nodes and where each node is 2 ** k steps on, so a chain of any
+    length takes as many rounds as its length has bits. Each round's tables are written. Of several links of one node
+    the least counts. No nodes or no starts give no rows.
     """
-    spark = links.sparkSession
-    edge = links.select(F.col(node).alias("_a"), F.col(next_node).alias("_b")).where("_b is not null")
-    edge = edge.join(links.select(F.col(node).alias("_b")).distinct(), "_b", "left_semi")
+    jump = links.where(F.col(next_node).isNotNull()).groupBy(F.col(node).alias("_a")).agg(F.min(next_node).alias("_b"))
+    jump = jump.join(links.select(F.col(node).alias("_b")).distinct(), "_b", "left_semi").select("_a", "_b")
     if stop is not None:
-        edge = edge.join(stop.select(F.col(node).alias("_b")), "_b", "left_anti")
-    edge.createOrReplaceTempView("_chain_edge")
-    starts.select(F.col(node).alias("start")).distinct().createOrReplaceTempView("_chain_start")
-    return spark.sql(f"""
-        with recursive walk(start, node, step, seen) max recursion level {most} as (
-          select start, start, 0, array(start) from _chain_start
-          union all
-          select w.start, e._b, w.step + 1, array_append(w.seen, e._b) from walk w join _chain_edge e on e._a = w.node
-          where not array_contains(w.seen, e._b))
-        select start, node, step from walk""")
+        jump = jump.join(stop.select(F.col(node).alias("_b")), "_b", "left_anti").select("_a", "_b")
+    jump = kept(jump, "chain-jumps")
+    known = starts.select(F.col(node).alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("step"))
+    known = kept(known, "chain-walks")
+    size, further, n = 1, True, known.count()
+    while further:
+        ahead = known.join(jump, F.col("node") == F.col("_a")).select("start", F.col("_b").alias("node"), (F.col("step") + size).alias("step"))
+        # a walk that comes round again meets nodes that it has: their first step stays
+        known = kept(known.unionByName(ahead).groupBy("start", "node").agg(F.min("step").alias("step")), "chain-walks")
+        on = jump.select(F.col("_a").alias("_b"), F.col("_b").alias("_c"))
+        jump = kept(jump.join(on, "_b").select("_a", F.col("_c").alias("_b")), "chain-jumps")
+        before, n = n, known.count()
+        further, size = n > before, 2 * size
+    return known
+
+
+def range_scan(spans: DataFrame, rows: DataFrame, by: list[str], lo: str, hi: str, place: str, width: int = 16) -> DataFrame:
+    """Each span (by, lo, hi, and others) with the rows of its group (by, place, and others) whose place lies in it.
+
+    Spans are cut at multiples of width and joined with rows of their stretch, so a group of many spans and rows doesn't
+    pair them all: a span meets at most width rows for each stretch beside those that it holds.
+    """
+    cut = spans.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    met = cut.join(rows.withColumn("_stretch", F.floor(F.col(place) / width)), [*by, "_stretch"])
+    return met.where(F.col(place).between(F.col(lo), F.col(hi))).drop("_stretch")

@@ -56,7 +56,11 @@ def search(rows: DataFrame, query: str, scope: str = "all", limit: int = LIMIT,
         found, order = _by_gloss(rows, s.lower(), opening_ranks)
     if scope != "all":
         found = found.where(F.col("lang") == scope)
-    return found.orderBy(*order, F.desc("count"), "ordinal").limit(limit).select(*rows.columns)
+    best = found.orderBy(*order, F.desc("count"), "ordinal").limit(limit)
+    if "_try" in best.columns:  # the first form that finds anything: its rows come first, so they are among the best
+        first = F.min("_try").over(Window.partitionBy(F.lit(0)))  # over at most limit rows
+        best = best.withColumn("_first", first).where("_try = _first").orderBy(*order, F.desc("count"), "ordinal")
+    return best.select(*rows.columns)
 
 
 def _by_number(rows: DataFrame, letter: str, digits: str):
@@ -66,7 +70,7 @@ def _by_number(rows: DataFrame, letter: str, digits: str):
 
 
 def _by_hebrew(rows: DataFrame, query: str):
-    """All tries at once: each row gets the first form that it contains; the rows of the least such try are kept."""
+    """All tries at once: each row gets the first form that it contains, and rows are in order of these."""
     bare = re.sub(f"{hebrew.POINTS}|[{hebrew.SOF_PASUQ}{hebrew.PASEQ}{hebrew.MAQAF} ]", "", query)
     forms = [bare]
     while len(forms) < TRIES and forms[-1] and forms[-1][0] in hebrew.PROCLITICS and len(forms[-1]) > 2:
@@ -74,9 +78,8 @@ def _by_hebrew(rows: DataFrame, query: str):
     lemma = hebrew.skeleton(F.col("lemma"))
     tries = F.coalesce(*[F.when(lemma.contains(f), F.lit(i)) for i, f in enumerate(forms) if len(f) >= 2], F.lit(None).cast("int"))
     hits = rows.where(F.col("lang") == "he").withColumn("_try", tries).where("_try is not null")
-    hits = hits.withColumn("_least", F.min("_try").over(Window.partitionBy(F.lit(0)))).where("_try = _least")
     wanted = F.get(F.array(*[F.lit(f) for f in forms]), F.col("_try"))
-    return hits, [F.desc(hebrew.skeleton(F.col("lemma")) == wanted)]
+    return hits, [F.asc("_try"), F.desc(hebrew.skeleton(F.col("lemma")) == wanted)]
 
 
 def _by_gloss(rows: DataFrame, word: str, opening_ranks: bool):

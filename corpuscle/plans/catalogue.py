@@ -3,59 +3,20 @@ DuckDB's SQL where SQL can say it. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import greek, hebrew, markup, morphology, references
-from corpuscle.operators import alignment, matching, postings, quality, ranges, sanitize, search, vocabulary
-from corpuscle.session import attach
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    """The tables of a folder, by name."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-    def rows(self, rows: list, schema: str) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
-
-
-def query(sql: str | None = None):
-    """Register a function of Tables under its name, with its SQL."""
-
-    def register(f):
-        @wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Tables(attach(spark), sf_dir))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return run
-
-    return register
-
-
-TOKENS = "regexp_extract_all(lower(text), '[a-z]+')"
-
+from corpuscle.operators import alignment, lexicon, matching, postings, quality, ranges, sanitize, search, vocabulary
+from corpuscle.plans.registry import ORACLES, QUERIES, TOKENS, query  # noqa: F401
 
 # ---- text
 
 
 @query("select doc_id, len(w)::bigint as n_words, len(t)::bigint as n_tokens from (select doc_id, list_filter(regexp_split_to_array(text, '[ -]+'), lambda x: x <> '') as w, list_filter(string_split(text, ' '), lambda x: x <> '') as t from documents)")
 def content_words(t):
-    split = F.filter(F.split(F.translate("text", "-", " "), " "), lambda x: x != "")
-    return t.documents.select("doc_id", F.size(split).cast("long").alias("n_words"), F.size(hebrew.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    words = hebrew.content_words(F.translate("text", "-", hebrew.MAQAF))
+    return t.documents.select("doc_id", F.size(words).cast("long").alias("n_words"), F.size(hebrew.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query("select lang, count(distinct w)::bigint as n_folded, count(*)::bigint as n from (select lang, unnest(regexp_split_to_array(strip_accents(lower(text)), '[ \\n]+')) as w from documents) where w <> '' group by lang")
@@ -67,12 +28,7 @@ def fold_base(t):
 @query("select lang, count(distinct w)::bigint as n_folded, count(distinct o)::bigint as n_words from (select lang, unnest(regexp_split_to_array(text, '[ \\n]+')) as o, strip_accents(o) as w from documents) where o <> '' group by lang")
 def fold_case_sensitive(t):
     words = t.documents.select("lang", F.explode(F.split("text", "[ \n]+")).alias("o")).where("o <> ''")
-    return words.groupBy("lang").agg(F.countDistinct(greek.plain(F.col("o"))).alias("n_folded"), F.countDistinct("o").alias("n_words"))
-
-
-@query("select p_partkey, regexp_replace(p_name, '[aeiou ]', '', 'g') as skeleton, regexp_replace(regexp_replace(lower(p_name), '[^a-z]', '', 'g'), '[wy]', '', 'g') as bare from part")
-def skeleton(t):
-    return t.part.select("p_partkey", F.regexp_replace("p_name", "[aeiou ]", "").alias("skeleton"), F.translate(F.regexp_replace(F.lower("p_name"), "[^a-z]", ""), "wy", "").alias("bare"))
+    return words.groupBy("lang").agg(F.countDistinct(greek.fold_case_sensitive(F.col("o"))).alias("n_folded"), F.countDistinct("o").alias("n_words"))
 
 
 @query(r"""select lead, trail, count(*)::bigint as n, count(distinct word)::bigint as n_words from (
@@ -90,15 +46,6 @@ def lemma_id(t):
     return t.part.select("p_partkey", hebrew.lemma_id(code).alias("lemma_id"))
 
 
-@query("""select code, n, case code when 'A' then 'verb' when 'N' then 'noun' when 'R' then 'preposition' else 'other' end as class,
-    case when status = 'F' then 'feminine' when status = 'O' then null end as gender from
-    (select l_returnflag as code, l_linestatus as status, count(*)::bigint as n from lineitem group by all)""")
-def decode_codes(t):
-    counted = t.lineitem.groupBy(F.col("l_returnflag").alias("code"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"))
-    classes = F.coalesce(morphology.lookup({"A": "verb", "N": "noun", "R": "preposition"}, F.col("code")), F.lit("other"))
-    return counted.select("code", "n", classes.alias("class"), morphology.lookup({"F": "feminine", "M": "masculine"}, F.col("status")).alias("gender"))
-
-
 @query("""select code, count(*)::bigint as n, case substr(code, 2, 1) when 'P' then 'present' when 'A' then 'aorist' end || ' · active · indicative · ' || substr(code, 1, 1) || case substr(code, 1, 1) when '1' then 'st' when '2' then 'nd' else 'rd' end || case substr(code, 6, 1) when 'S' then ' singular' else ' plural' end as features
     from (select (l_linenumber % 3 + 1) || case when l_quantity < 25 then 'P' else 'A' end || 'AI-' || case when l_returnflag = 'N' then 'S' else 'P' end || '--' as code from lineitem) group by code""")
 def decode_greek(t):
@@ -116,19 +63,6 @@ def decode_hebrew(t):
     return counted.select("code", "n", told["features"].alias("features"), F.size(told["prefixes"]).cast("long").alias("n_prefixes"))
 
 
-@query("""select n, case n // 10 when 0 then '' when 1 then 'י' when 2 then 'כ' when 3 then 'ל' when 4 then 'מ' else 'נ' end as tens, count(*)::bigint as c from (select l_quantity::int as n from lineitem) group by n""")
-def numerals(t):
-    counted = t.lineitem.groupBy(F.col("l_quantity").cast("int").alias("n")).agg(F.count("*").alias("c"))
-    tens = F.when(F.col("n") % 10 == 0, hebrew.numeral(F.col("n"))).when(F.col("n") < 10, "").otherwise(hebrew.numeral(F.col("n") - F.col("n") % 10))
-    return counted.select("n", tens.alias("tens"), "c")
-
-
-@query(r"select l_quantity::int as n, array_to_string([case (n // 10) when 1 then 'ι' when 2 then 'κ' when 3 then 'λ' when 4 then 'μ' when 5 then 'ν' else '' end, substr('-αβγδεϛζηθ', n % 10 + 1, 1), 'ʹ'], '').replace('-', '') as numeral from lineitem group by 1")
-def greek_numerals(t):
-    n = F.col("l_quantity").cast("int")
-    return t.lineitem.select(n.alias("n")).distinct().select("n", greek.numeral(F.col("n")).alias("numeral"))
-
-
 # ---- references
 
 
@@ -193,12 +127,11 @@ def pair_counts(t):
     return postings.pair_counts(t.events.withColumn("prev", F.lag("event_type").over(w)).where("prev is not null"), "prev", "event_type")
 
 
-@query("""select lang, source, grouping(lang)::bigint * 2 + grouping(source) as level, count(*)::bigint as words, count(l.doc_id)::bigint as own, round(count(l.doc_id) / count(*), 3)::double as coverage
-    from documents d left join labels l using (doc_id) group by rollup(lang, source)""")
+@query("""select lang, source, count(*)::bigint as words, count(l.doc_id)::bigint as own, (count(*) filter (where l.doc_id is null and d.doc_id % 2 = 0))::bigint as joint, (count(*) filter (where l.doc_id is null and d.doc_id % 2 = 1))::bigint as none,
+    round(count(*) filter (where l.doc_id is not null or d.doc_id % 2 = 0) / count(*), 3)::double as coverage from documents d left join labels l using (doc_id) group by rollup(lang, source)""")
 def coverage_rollup(t):
-    rows = t.documents.join(t.labels.select("doc_id", F.lit(1).alias("own")), "doc_id", "left")
-    total = rows.rollup("lang", "source").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("words"), F.count("own").alias("own"))
-    return total.withColumn("coverage", F.round(F.col("own") / F.col("words"), 3))
+    rows = t.documents.join(t.labels.select("doc_id", F.lit(1).alias("own")), "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return postings.coverage(rows, ["lang", "source"], F.lit(1), F.col("own"), ((F.col("own") == 0) & (F.col("doc_id") % 2 == 0)).cast("int"))
 
 
 @query("""select count(*)::bigint as words, count(l.doc_id)::bigint as own, (floor(count(l.doc_id) * 10000 / count(*) + 0.5) / 100)::double as percent from documents d left join labels l using (doc_id)""")
@@ -207,15 +140,15 @@ def coverage_total(t):
     return rows.agg(F.count("*").alias("words"), F.count("own").alias("own")).withColumn("percent", postings.percent(F.col("own"), F.col("words")))
 
 
-@query(f"""with w as (select unnest({TOKENS}) as token from documents), d as (select distinct token from w), l as (select substr(token, 1, 1) as letter, count(*) as n from d group by 1),
+@query(f"""with w as (select unnest({TOKENS}) as token from documents), d as (select distinct translate(token, 'abcdefghijklmnopqrstuvwxyz', 'αβχδεφγηιξκλμνοπψρστυωζθυσ') as token from w), l as (select substr(token, 1, 1) as letter, count(*) as n from d group by 1),
     s as (select token, case when l.n > 320 then substr(token, 1, 2) else letter end as shard from d join l on letter = substr(token, 1, 1))
     select shard, count(*)::bigint as n from s group by shard""")
 def letter_split(t):
-    words = t.documents.select(F.explode(postings.ascii_tokens(F.col("text"))).alias("token")).distinct()
-    letter = F.substring("token", 1, 1)
-    split = F.broadcast(postings.frequent(words.select(letter.alias("letter")), "letter", 320))  # at most 26 letters
-    sharded = words.join(split, letter == F.col("letter"), "left").select(F.when(F.col("letter").isNotNull(), F.substring("token", 1, 2)).otherwise(letter).alias("shard"))
-    return sharded.groupBy("shard").agg(F.count("*").alias("n"))
+    """Q-H: shards by the first letter, by two where more than 320 begin with it."""
+    words = t.documents.select(F.explode(postings.ascii_tokens(F.col("text"))).alias("w")).distinct()
+    words = words.select(greek.fold_letters(F.translate("w", "abcdefghijklmnopqrstuvwxyz", "άβχδέφγηίξκλμνόπψρστύωζθυς")).alias("token")).distinct()
+    split = [r[0] for r in postings.frequent(words.select(F.substring("token", 1, 1).alias("letter")), "letter", 320).collect()]  # an alphabet at most
+    return words.groupBy(greek.first_letters(F.col("token"), split).alias("shard")).agg(F.count("*").alias("n"))
 
 
 @query("select (o_orderkey // 300)::bigint as shard, count(*)::bigint as n from orders group by 1")
@@ -276,21 +209,11 @@ def interval_clusters(t):
 def range_scan_words(t):
     cut = ranges.segments_after(t.conversations, ["conv_id"], ["turn"], F.col("role") == "assistant")
     spans = cut.groupBy("conv_id", "segment").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"))
-    inside = spans.join(t.conversations, "conv_id").where("turn between lo and hi")
+    inside = ranges.range_scan(spans, t.conversations.select("conv_id", "turn", "text"), ["conv_id"], "lo", "hi", "turn")
     words = inside.select("conv_id", "segment", F.explode(postings.ascii_tokens(F.col("text"))).alias("w"))
     return words.groupBy("conv_id", "segment").agg(F.count("*").alias("n_words"))
 
 
-@query(f"""with i as (select distinct unnest({TOKENS}) as w from benchmark), d as (select doc_id, {TOKENS} as ws from documents),
-    m as (select doc_id, len(ws) as n, (select count(*) from (select unnest(ws) as x) join i on x = w) as k from d)
-    select doc_id, n::bigint as n, k::bigint as matched, (n >= 4 and k < 0.4 * n and not (k >= 0.8 * 900))::boolean as rejected from m""")
-def accept_filter(t):
-    items = t.benchmark.select(F.explode(postings.ascii_tokens(F.col("text"))).alias("token")).distinct().withColumn("hit", F.lit(1))
-    rows = t.documents.select("doc_id", F.explode_outer(postings.ascii_tokens(F.col("text"))).alias("token")).join(items, "token", "left")
-    counted = rows.groupBy("doc_id").agg(F.count("token").alias("n"), F.count("hit").alias("matched"))
-    return counted.withColumn("rejected", (F.col("n") >= 4) & (F.col("matched") < 0.4 * F.col("n")) & ~(F.col("matched") >= 0.8 * 900))
-
-
 @query("select conv_id, turn, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as user_text from conversations")
 def forward_fill(t):
     return ranges.forward_fill(t.conversations, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("text")), "user_text").select("conv_id", "turn", "user_text")
@@ -312,7 +235,7 @@ def running_offsets(t):
 def chain_walk(t):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     links = t.orders.select("o_orderkey", F.lead("o_orderkey").over(w).alias("next"), F.row_number().over(w).alias("r"))
-    return ranges.walk_chain(links, links.where("r = 1"), "o_orderkey", "next").groupBy("start").agg(F.max("step").alias("steps"), F.max("node").alias("greatest"))
+    return ranges.walk_chain(links, links.where("r = 1"), "o_orderkey", "next").groupBy("start").agg(F.max("step").cast("int").alias("steps"), F.max("node").alias("greatest"))
 
 
 # ---- matching
@@ -338,8 +261,8 @@ def scored_match(t):
     shared = words(t.documents, "doc_id").join(items, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     facts = shared.join(t.documents.select("doc_id", "lang", "n_chars"), "doc_id")
     score = 4 * (F.col("shared") >= 20).cast("int") + 2 * (F.col("lang") == "en").cast("int") + (F.col("n_chars") <= 1000).cast("int") + F.col("shared")
-    best = facts.groupBy("item_id").agg(F.max_by(F.struct("doc_id", score.cast("long").alias("score")), F.struct(score, -F.col("doc_id"))).alias("b"))
-    return best.select("item_id", "b.doc_id", "b.score").withColumn("accepted", F.col("score") >= 30)
+    best = matching.scored(facts, "item_id", score.cast("long"), "doc_id")
+    return best.select("item_id", "doc_id", "score").withColumn("accepted", F.col("score") >= 30)
 
 
 @query("""with d as (select p_type as k, min(p_partkey) as v from part group by 1),
@@ -372,24 +295,14 @@ def reconcile_block(t):
     return matching.reconcile(lemmas, targets, "lemma", "target", "ordinal", greek.candidate_forms, greek.fold_case_sensitive, blocked)
 
 
-@query("""with n as (select distinct p_name as w from part), p as (select a.w as a, b.w as b from n a join n b on substr(a.w, 1, 4) = substr(b.w, 1, 4) and a.w < b.w)
+@query("""with n as (select distinct p_name as w from part), p as (select a.w as a, b.w as b from n a join n b on substr(a.w, 1, 1) = substr(b.w, 1, 1) and a.w < b.w)
     select a, b, (levenshtein(a, b) <= case when least(length(a), length(b)) <= 5 then 1 else 3 end)::boolean as same from p where levenshtein(a, b) <= 3""")
 def same_word(t):
-    names = t.part.select("p_name").distinct()
-    start = lambda c: F.substring(c, 1, 4)
-    a, b = names.select(F.col("p_name").alias("a"), start("p_name").alias("s")), names.select(F.col("p_name").alias("b"), start("p_name").alias("s"))
-    return a.join(b, "s").where("a < b").where(F.levenshtein("a", "b", 3) >= 0).select("a", "b", greek.same_word(F.col("a"), F.col("b")).alias("same"))
-
-
-@query("""with a as (select c_custkey, c_nationkey from customer where c_custkey in (select o_custkey from orders)), n as (select c_nationkey, count(*) as n, sum(c_custkey) as s from a group by 1)
-    select c.c_custkey, (coalesce(n.n, 0) - (a.c_custkey is not null)::int)::bigint as n_family, (coalesce(n.s, 0) - coalesce(a.c_custkey, 0))::bigint as family_sum from customer c left join n using (c_nationkey) left join a on a.c_custkey = c.c_custkey""")
-def family(t):
-    """The sizes of root families; the members stay aggregated, for one family may hold a great part of all rows."""
-    alive = t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi").select("c_custkey", "c_nationkey", F.lit(True).alias("alive"))
-    sums = alive.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("s"))
-    joined = t.customer.select("c_custkey", "c_nationkey").join(sums, "c_nationkey", "left").join(alive.select("c_custkey", "alive"), "c_custkey", "left")
-    mine = F.coalesce("alive", F.lit(False))
-    return joined.select("c_custkey", (F.coalesce("n", F.lit(0)) - mine.cast("int")).alias("n_family"), (F.coalesce("s", F.lit(0)) - F.when(mine, F.col("c_custkey")).otherwise(0)).alias("family_sum"))
+    """Pairs with one initial whose lengths differ by no more than the distance."""
+    names = t.part.select(F.col("p_name").alias("a")).distinct().withColumns({"s": F.substring("a", 1, 1), "n": F.length("a")})
+    near = names.select(F.col("a").alias("b"), "s", F.explode(F.sequence(F.col("n") - 3, F.col("n") + 3)).alias("n"))
+    pairs = names.join(near, ["s", "n"]).where("a < b").where(F.levenshtein("a", "b", 3) >= 0)
+    return pairs.select("a", "b", greek.same_word(F.col("a"), F.col("b")).alias("same"))
 
 
 @query("select n_regionkey, n_nationkey, coalesce((select string_agg(m.n_name, ',' order by m.n_nationkey) from nation m where m.n_regionkey = n.n_regionkey and m.n_name <> n.n_name), '') as family from nation n")
@@ -401,13 +314,17 @@ def family_list(t):
 
 @query("select l_suppkey, count(distinct l_partkey)::bigint as n, min(l_partkey) as first_part, max(l_partkey) as last_part, sum(distinct l_partkey)::bigint as parts from lineitem where l_partkey in (select p_partkey from part) group by l_suppkey")
 def xref_index(t):
-    links = t.lineitem.select("l_suppkey", "l_partkey").distinct().join(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-    return links.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.min("l_partkey").alias("first_part"), F.max("l_partkey").alias("last_part"), F.sum("l_partkey").alias("parts"))
+    links = t.lineitem.select("l_suppkey", "l_partkey").distinct().join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
+    lemmas = links.select(F.col("l_partkey").alias("id"), F.col("p_name").alias("lemma"), F.col("p_brand").alias("gloss"), F.col("l_partkey").alias("ordinal"), F.col("l_suppkey").alias("bdb"))
+    ids = F.transform("options", lambda x: x["id"])
+    found = lexicon.cross_references(lemmas).select(F.col("bdb").alias("l_suppkey"), ids.alias("ids"))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select("l_suppkey", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_part"), F.element_at("ids", -1).alias("last_part"), total.alias("parts"))
 
 
 @query("select p_brand, string_agg(distinct p_type, ',' order by p_type) as types from part group by p_brand")
 def reverse_map(t):
-    return t.part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"))
+    return postings.reverse_map(t.part, "p_type", "p_brand").select("p_brand", F.array_join("keys", ",").alias("types"))
 
 
 @query("select o_orderkey, coalesce(a.c_name, b.c_name) as name from orders left join customer a on a.c_custkey = o_custkey * 10 left join customer b on b.c_custkey = o_custkey")
@@ -425,37 +342,26 @@ def positional_join(t):
     return joined.groupBy(postings.context_kind(F.col("context")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-def _aligned(t) -> DataFrame:
-    """Documents against the benchmark item with which they share the most words, words of both as arrays."""
-    tokens = postings.ascii_tokens(F.col("text"))
-    best = scored_match(t.spark, t.sf_dir).select("item_id", "doc_id")
-    docs = t.documents.join(best, "doc_id").select("item_id", "doc_id", tokens.alias("other"))
-    return t.benchmark.select("item_id", tokens.alias("base")).join(docs, "item_id")
-
-
-@query()
-def align_lcs(t):
-    found = alignment.align_frame(_aligned(t), "base", "other")
-    matched = F.size(F.filter("alignment", lambda j: j >= 0)).cast("long")
-    return found.select("item_id", "doc_id", F.size("base").cast("long").alias("n"), matched.alias("matched"), alignment.rejected(F.col("alignment"), F.size("other")).alias("rejected"))
-
-
-@query("select a.item_id, count(*)::bigint as n_equal from benchmark a join benchmark b on regexp_extract_all(lower(a.text), '[a-z]+') = regexp_extract_all(lower(b.text), '[a-z]+') group by a.item_id")
+@query(f"select item_id, len({TOKENS})::bigint as n, (len({TOKENS}) * (len({TOKENS}) - 1) // 2)::bigint as checksum from benchmark")
 def align_exact(t):
+    """Equal texts are aligned without Python."""
     rows = t.benchmark.select("item_id", postings.ascii_tokens(F.col("text")).alias("base"))
-    counts = rows.groupBy("base").agg(F.count("*").alias("n_equal"))
-    return rows.join(counts, "base").select("item_id", "n_equal")
+    found = alignment.align_frame(rows.withColumn("other", F.col("base")), "base", "other")
+    return found.select("item_id", F.size("alignment").cast("long").alias("n"), F.aggregate("alignment", F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
 
 
 # ---- markup and gates
 
 
-@query(r"""with f as (select doc_id, string_split(text, chr(10))[1] as g from documents)
-    select doc_id, (g <> '' and len(regexp_split_to_array(trim(g), '\s+')) <= 6 and not regexp_matches(g, '(?i)\b(thou|thee|thy|thine|ye|hath|shalt|art|wilt|doth|begat|forgattest|didst|saith|unto|whoso|shew|receiveth|maketh|floodest|longeth|dost|hast|wouldest|shutteth|strengtheneth|hurleth)\b')
-      and not regexp_matches(g, '(?i)\b(compare|see|margin|i\.e|e\.g|cf)\b') and not regexp_matches(g, '(?i)^and |^the .* (which|that) |[!?]') and not regexp_matches(g, '\.\s*\S') and not regexp_matches(g, '[{}\[\]]')
-      and len(regexp_extract_all(g, '\(')) = len(regexp_extract_all(g, '\)')) and len(regexp_extract_all(g, '"')) % 2 = 0 and not regexp_matches(g, '[,;:(\-–—.]\s*$') and not regexp_matches(g, '^[,;:)\-–—]'))::boolean as usable from f""")
+@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as g from documents), c as (select doc_id, g, lower(g) as w, rtrim(g, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as r from l),
+    u as (select doc_id, g <> '' and len(regexp_split_to_array(trim(g), '\\s+')) <= 6 and not list_has_any(regexp_split_to_array(w, '[^a-z0-9_]'), {markup.ARCHAIC + markup.CROSS_REFERENCE})
+      and left(w, 4) <> 'and ' and not (left(w, 4) = 'the ' and (contains(substr(w, 5), ' which ') or contains(substr(w, 5), ' that '))) and len(list_filter(string_split(g, ''), lambda x: contains('!?{{}}[].', x))) = 0
+      and len(string_split(g, '(')) = len(string_split(g, ')')) and len(string_split(g, '"')) % 2 = 1 and not contains(',;:)-–—', left(g, 1)) and not contains(',;:(-–—.', right(r, 1)) as ok from c)
+    select doc_id, count(*)::bigint as n_lines, count(*) filter (where ok)::bigint as n_usable from u group by doc_id""")
 def usable_filter(t):
-    return t.documents.select("doc_id", markup.usable_gloss(F.get(F.split("text", "\n"), 0)).alias("usable"))
+    """G13, of every line."""
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("g"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(markup.usable_gloss(F.col("g"))).alias("n_usable"))
 
 
 @query()
@@ -480,8 +386,15 @@ def _events(t) -> DataFrame:
     return t.events.select(F.col("user_id").cast("string").alias("key"), morphology.lookup(kinds, F.col("event_type")).alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.concat(F.lit("f"), F.col("event_id") % 50).alias("form"), F.concat(F.lit("c"), F.col("event_id") % 7).alias("chapter"), F.lit("known").alias("status"), F.lit("").alias("gloss")).where("kind is not null")
 
 
-@query()
+@query("""with e as (select user_id::varchar as key, case event_type when 'click' then 'lookup' when 'view' then 'encounter' when 'purchase' then 'status' when 'signup' then 'known' end as kind, ts, event_id from events),
+    l as (select key, list(struct_pack(k := kind, st := null::varchar, l := 0, e := 0, p := 0) order by ts, event_id) as es, count(distinct case when kind = 'lookup' then event_id % 50 end) as forms, count(distinct case when kind = 'lookup' then event_id % 7 end) as chapters from e where kind is not null group by key),
+    f as (select key, forms, chapters, list_reduce(list_prepend(struct_pack(k := 'start', st := null::varchar, l := 0, e := 0, p := 0), es), lambda a, x: struct_pack(k := x.k,
+      st := case x.k when 'lookup' then case when a.st is null or a.st in ('new', 'automatic') then 'recognized' else a.st end when 'encounter' then case when a.st is null then 'new' when a.st = 'new' and a.l = 0 and a.e >= 3 then 'automatic' else a.st end
+        when 'status' then case when a.st is not null then 'known' end else case when a.st is null or a.st = 'new' and a.l = 0 then 'automatic' else a.st end end,
+      l := a.l + (x.k = 'lookup')::int, e := a.e + (x.k = 'encounter' or x.k = 'known' and a.st is null)::int, p := a.p + (x.k = 'encounter' and coalesce(a.st, '') = 'new' and a.l = 0 and a.e >= 3)::int)) as s from l)
+    select key, s.st as status, s.l::bigint as lookups, s.e::bigint as encounters, least(forms, 40)::bigint as n_forms, chapters::bigint as n_chapters, s.p::bigint as promoted from f where s.st is not null""")
 def vocab_fold(t):
+    """V1, V2, V3, V6: the state machine against a fold over each word's events in order."""
     states = vocabulary.fold_vocabulary(_events(t))
     return states.select("key", "status", "lookups", "encounters", F.size("forms").cast("long").alias("n_forms"), F.size("chapters").cast("long").alias("n_chapters"), "promoted")
 
@@ -497,10 +410,10 @@ def chapter_progress(t):
     return vocabulary.chapter_progress(visits)
 
 
-@query("select user_id as book, arg_max(event_id % 5, struct_pack(t := ts, e := event_id)) as ch, arg_max(event_id, struct_pack(t := ts, e := event_id)) as v from events group by 1")
+@query("select user_id as book, arg_max(event_id % 5, struct_pack(t := ts, c := event_id % 5, e := event_id)) as ch, arg_max(event_id, struct_pack(t := ts, c := event_id % 5, e := event_id)) as v from events group by 1")
 def last_position(t):
-    rows = t.events.select(F.col("user_id").alias("book"), (F.col("event_id") % 5).alias("ch"), F.col("event_id").alias("v"), "ts")
-    return rows.groupBy("book").agg(F.max_by(F.struct("ch", "v"), F.struct("ts", "v")).alias("p")).select("book", "p.*")
+    rows = t.events.select(F.col("user_id").alias("book"), (F.col("event_id") % 5).alias("ch"), F.col("event_id").alias("v"), F.col("ts").alias("at"))
+    return vocabulary.last_positions(rows).select("book", "ch", "v")
 
 
 @query("select doc_id as path, sha256(text) as sha256 from documents")

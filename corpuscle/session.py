@@ -1,10 +1,12 @@
-"""What a session needs before queries run: Python workers must find this package."""
+"""What a session needs before queries run: Python workers must find this package, and tables a shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def attach(spark: SparkSession) -> SparkSession:
@@ -13,3 +15,26 @@ def attach(spark: SparkSession) -> SparkSession:
     if root not in found.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{found}".rstrip(":")
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir. A session on this machine alone may go without that setting."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
+        found = context._jsc.sc().getCheckpointDir().get()
+    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jpath = context._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jpath)
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage is cut, and lost executors cost their own tasks."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import greek, hebrew
@@ -14,6 +14,8 @@ NUMBERS_JSON = "map<string,struct<lemma:string,xlit:string,translit:string,pron:
 CRAWL_JSON = "ref string, hw string, html string, next string, prev string"
 WORDS_JSON = "words array<struct<lemma:string>>"
 GLOSS_TSV = "strong string, c1 string, c2 string, brief string, long string"
+#: Rows of a sheet that are filled together.
+BLOCK_ROWS = 65536
 INTERLINEAR = "row_no int, heb_sort double, greek_sort double, language string, word string, verse_id string, gloss string"
 
 
@@ -99,9 +101,13 @@ def tei_lexicon(spark: SparkSession, path: str) -> DataFrame:
 def dictionary_crawl(spark: SparkSession, path: str) -> DataFrame:
     """ref, hw, html, next, prev, cons, bare, aramaic from one JSON per entry; the folder's name tells the language; entries without text go."""
     raw = spark.read.schema(CRAWL_JSON).option("recursiveFileLookup", True).option("pathGlobFilter", "[!_]*.json").json(path, multiLine=True)
-    rows = raw.select("*", F.input_file_name().rlike("Aramaic").alias("aramaic")).where(F.coalesce("html", F.lit("")) != "")
+    return crawl_rows(raw.select("*", F.input_file_name().rlike("Aramaic").alias("aramaic")))
+
+
+def crawl_rows(raw: DataFrame) -> DataFrame:
+    """Entries with text, their headwords without homograph digits, as consonants and without vowel letters."""
     head = hebrew.strip_homograph(F.col("hw"))
-    return rows.withColumns({"hw": head, "cons": hebrew.consonants(head), "bare": hebrew.bare(head)})
+    return raw.where(F.coalesce("html", F.lit("")) != "").withColumns({"hw": head, "cons": hebrew.consonants(head), "bare": hebrew.bare(head)})
 
 
 def interlinear(rows: DataFrame, sort: str = "heb_sort") -> DataFrame:
@@ -112,8 +118,14 @@ def interlinear(rows: DataFrame, sort: str = "heb_sort") -> DataFrame:
     """
     from corpuscle.operators.ranges import forward_fill
 
-    pieces = rows.withColumn("_all", F.lit(0))
-    filled = forward_fill(pieces, ["_all"], ["row_no"], F.nullif(F.trim("verse_id"), F.lit("")), "verse")
+    told = F.nullif(F.trim("verse_id"), F.lit(""))
+    blocks = rows.withColumn("_block", F.floor(F.col("row_no") / BLOCK_ROWS))
+    filled = forward_fill(blocks, ["_block"], ["row_no"], told, "verse")
+    # what the blocks before leave to a block: one row for each, so that window is small
+    last = blocks.groupBy("_block").agg(F.max_by(told, F.when(told.isNotNull(), F.col("row_no"))).alias("_last"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_block", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    filled = filled.join(F.broadcast(carried), "_block").withColumn("verse", F.coalesce("verse", "_carried"))
     return filled.where(f"verse is not null and coalesce(word, '') <> '' and {sort} is not null").select(F.col("verse").alias("verse_id"), F.col(sort).alias("sort"), "word", "gloss")
 
 
@@ -151,3 +163,38 @@ def with_context(words: DataFrame, context: DataFrame | None) -> DataFrame:
     if context is None:
         return words.withColumn("context", F.lit(None).cast("string"))
     return words.join(context, ["book", "ch", "v", "i"], "left")
+
+
+def senses_crawl(spark: SparkSession, path: str) -> DataFrame:
+    """rid, hw (without homograph digits), cons, content (the entry's JSON) from one JSON per entry; senses nest to any depth,
+    so they stay JSON for the renderer. Files that begin with an underscore and entries without senses go."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!_]*.json").text(path, wholetext=True)
+    told = raw.select("value", F.from_json("value", "rid string, headword string, content struct<senses:array<string>>").alias("e"))
+    head = hebrew.strip_homograph(F.col("e.headword"))
+    rows = told.where(F.size("e.content.senses") > 0)
+    return rows.select(F.col("e.rid").alias("rid"), head.alias("hw"), hebrew.consonants(head).alias("cons"), F.get_json_object("value", "$.content").alias("content"))
+
+
+def both_crawls(words: DataFrame, entries: DataFrame) -> DataFrame:
+    """Two crawls as one table (ref, hw, source, ordinal): the first one's entries come before the other's."""
+    rows = lambda df, name: df.select("ref", "hw", F.lit(name).alias("source"))
+    return rows(words, "words").unionByName(rows(entries, "text"))
+
+
+def greek_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """key, strong, why of curated numbers; a null number says that a lemma has none."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<strong:string,why:string>>")).alias("key", "e"))
+    return whole.where(~F.col("key").startswith("_")).select("key", "e.strong", "e.why")
+
+
+def aliases(spark: SparkSession, path: str, setting: str = "_alias") -> DataFrame:
+    """lemma, alias: the aliases that a file of curated values holds under one of its settings."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    return whole.where(F.col("key") == setting).select(F.explode(F.from_json("value", "map<string,string>")).alias("lemma", "alias"))
+
+
+def blocked_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """lemma, target of a list whose keys are 'lemma|target'."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("key"))
+    parts = F.split("key", "\\|")
+    return whole.where(F.size(parts) == 2).select(parts[0].alias("lemma"), parts[1].alias("target"))

@@ -54,3 +54,9 @@ def canon(verses: DataFrame, books: DataFrame) -> DataFrame:
 def checksum_manifest(files: DataFrame) -> DataFrame:
     """path, sha256, in order of paths."""
     return quality.content_hashes(files).orderBy("path")
+
+
+def write_diagnostics(tables: dict[str, DataFrame], path: str) -> None:
+    """Side tables of a run (statistics, rejected clusters, conflicts), each in a folder of its name."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")

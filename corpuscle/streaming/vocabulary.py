@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuscle.operators.vocabulary import STATE, Settings, _frame, fold_event
@@ -41,3 +42,16 @@ def stream_progress(visits: DataFrame) -> DataFrame:
 def once_per_visit(events: DataFrame, keys: list[str], at: str, late: str = "1 hour") -> DataFrame:
     """The first event of each key, forgotten after the watermark."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
+def write_then_notify(stream: DataFrame, write: Callable[[DataFrame], None], notify: Callable[[int], None], checkpoint: str) -> StreamingQuery:
+    """Write each micro-batch, and only once that has succeeded say so: notify gets the batch's number.
+
+    A batch that is run again after a failure is written and told again, so both must bear that.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        write(rows)
+        notify(number)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("update").start()

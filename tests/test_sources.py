@@ -83,3 +83,36 @@ def test_export_and_checksums(spark, tmp_path):
     (row,) = writers.checksum_manifest(readers.files(spark, str(tmp_path))).collect()
     assert row.sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     assert readers.with_context(spark.createDataFrame([(1,)], "i int"), None).select(F.col("context")).first()[0] is None
+
+
+def test_curated_files_and_crawls(spark, tmp_path):
+    """Settings of curated files, blocked pairs, a crawl with nested senses, and side tables of a run."""
+    put = lambda name, text: (tmp_path / name).write_text(text)
+    put("greek.json", '{"_note": {"why": "x"}, "\u03c0\u1fe6\u03c1": {"strong": "G400", "why": "spelling"}, "none": {"why": "a name"}}')
+    assert sorted(tuple(r) for r in readers.greek_overrides(spark, str(tmp_path / "greek.json")).collect()) == [("none", None, "a name"), ("πῦρ", "G400", "spelling")]
+    put("aliases.json", '{"_alias": {"a": "b"}, "c": "d"}')
+    assert [tuple(r) for r in readers.aliases(spark, str(tmp_path / "aliases.json")).collect()] == [("a", "b")]
+    put("blocked.json", '{"x|y": "no", "_note": "n"}')
+    assert [tuple(r) for r in readers.blocked_pairs(spark, str(tmp_path / "blocked.json")).collect()] == [("x", "y")]
+    (tmp_path / "crawl").mkdir()
+    put("crawl/one.json", '{"rid": "r1", "headword": "חוֹל²", "content": {"senses": [{"definition": "sand", "senses": [{"definition": "fine"}]}]}}')
+    put("crawl/two.json", '{"rid": "r2", "headword": "גל", "content": {"senses": []}}')
+    put("crawl/_three.json", '{"rid": "r3", "headword": "גל", "content": {"senses": [{"definition": "x"}]}}')
+    (row,) = readers.senses_crawl(spark, str(tmp_path / "crawl")).collect()
+    assert (row.rid, row.hw, row.cons) == ("r1", "חוֹל", "חול") and "fine" in row.content
+    writers.write_diagnostics({"stats": spark.range(3), "conflicts": spark.range(2)}, str(tmp_path / "side"))
+    assert spark.read.parquet(str(tmp_path / "side" / "stats")).count() == 3 and spark.read.parquet(str(tmp_path / "side" / "conflicts")).count() == 2
+
+
+def test_lemma_words(spark, tmp_path):
+    (tmp_path / "b1.json").write_text('[{"words": [{"lemma": "x"}, {"lemma": null}]}, {"words": []}, {"words": [{"lemma": "y"}]}]')
+    assert sorted((r.book, r.i, r.lemma) for r in readers.lemma_words(spark, str(tmp_path / "b1.json")).collect()) == sorted([("b1", 0, "x"), ("b1", 1, None), ("b1", 0, "y")], key=str)
+
+
+def test_sheet_blocks_carry_on(spark, monkeypatch):
+    """A verse runs on over blocks of the sheet, also over one that names none."""
+    monkeypatch.setattr(readers, "BLOCK_ROWS", 4)
+    rows = [(i, float(i), "7" if i == 2 else "9" if i == 13 else None, f"w{i}", "g") for i in range(16)]
+    sheet = spark.createDataFrame(rows, "row_no int, heb_sort double, verse_id string, word string, gloss string")
+    got = {r.word: r.verse_id for r in readers.interlinear(sheet).collect()}
+    assert got == {f"w{i}": "7" if i < 13 else "9" for i in range(2, 16)}
