@@ -602,3 +602,21 @@ def test_simhash_blocks_lose_nothing_within_the_radius(spark):
         far += int((((one > 0) != (other > 0)).sum(1) > decontaminate.RADIUS).sum())
         total += 4000
     assert far / total < 0.001
+
+
+def test_windows_and_shards_of_repeated_rows_and_null_ids(spark):
+    """Rows with one id and one text are one document to op6 and two to op8; null ids are carried by both."""
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, f"before {item} after"), (1, f"before {item} after"), (None, item), (None, "something else"), (2, f"{item} x"), (1, item.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, item), (None, "a b c d"), (9, None)], "item_id long, text string")
+    found = sorted((str(r.doc_id), r.item_id, r.start_word, r.similarity) for r in decontaminate.contaminated(df, items).collect())
+    assert found == sorted((d, i, s, 1.0) for d, s in (("1", 0), ("None", 0), ("2", 0)) for i in (7, 8))
+    by_text = Counter(str(r.doc_id) for r in decontaminate.contaminated(df, items, by_text=True).collect())
+    assert by_text == {"1": 4, "None": 2, "2": 2}
+
+    packed = token_shards.pack_tokens(df, capacity=64)
+    pieces = Counter(str(s.id) for r in packed.collect() for s in r.segments if s.piece == 0)
+    assert pieces == Counter(str(d) for d, _ in rows)
+    assert token_shards.unpack(packed).count() == sum(len(r.segments) for r in packed.collect())
+
