@@ -35,15 +35,19 @@ def content_hashes(files: DataFrame, path: str = "path", content: str = "content
     return files.select(path, F.sha2(content, 256).alias("sha256"))
 
 
-def fingerprint(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def fingerprint(files: DataFrame, path: str = "path", content: str = "content", digits: int = 2) -> DataFrame:
     """One digest of a tree: of each file's digest of path and content, both framed by their lengths, in order of paths.
 
-    Contents are digested where they lie; only digests meet. It's a different value from one digest of all bytes.
+    Contents are digested where they lie; only digests meet. They do so in blocks, by the first hexadecimal digits of
+    the path's digest, and then the blocks' digests in order: no row holds more than a 16 ** digits-th of the files. It's
+    a different value from one digest of all bytes, and from that with another number of digits.
     """
     text = lambda c: F.col(c).cast("binary")
     framed = F.sha2(F.concat(F.octet_length(text(path)).cast("string").cast("binary"), F.lit(":").cast("binary"), text(path), F.octet_length(text(content)).cast("string").cast("binary"), F.lit(":").cast("binary"), text(content)), 256)
-    one = files.select(F.col(path).alias("_p"), framed.alias("_d"))
-    return one.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"]), ""), 256).alias("fingerprint"), F.count("*").alias("n_files"))
+    joined = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""), 256)
+    one = files.select(F.substring(F.sha2(text(path), 256), 1, digits).alias("_b"), F.col(path).alias("_p"), framed.alias("_d"))
+    blocks = one.groupBy("_b").agg(joined("_p", "_d").alias("_d"), F.count("*").alias("_n"))
+    return blocks.agg(joined("_b", "_d").alias("fingerprint"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_files"))
 
 
 def expired(buckets: DataFrame, name: str, prefix: str, current: str, legacy: list[str]) -> DataFrame:

@@ -453,15 +453,24 @@ def search_greek(t):
 # ---- storage: written and read again
 
 
-def _documents_of(t, entries: Column, root: str, name: str) -> str:
-    """XML documents of parts' entries below one root, a document a file; the folder's pattern."""
-    bodies = t.part.groupBy((F.col("p_partkey") % 8).alias("file")).agg(F.array_join(F.collect_list(entries), "").alias("body"))
+def _as_files(rows: DataFrame, file: Column, order: str, text: Column) -> DataFrame:
+    """file, body: the texts of each file's rows in order, with commas between; nothing is written yet."""
+    listed = rows.groupBy(file.alias("file")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))).alias("l"))
+    return listed.select("file", F.array_join(F.transform("l", lambda x: x["t"]), ",").alias("body"))
+
+
+def _written_files(t, files: DataFrame, whole: Column, name: str) -> str:
     path = shared_folder(t.spark, name)
-    whole = bodies.select("file", F.concat(F.lit(f"<{root}>"), "body", F.lit(f"</{root}>")).alias("value"))
-    whole.repartition("file").write.partitionBy("file").text(path)
+    files.select("file", whole.alias("value")).repartition("file").write.partitionBy("file").text(path)
     return f"{path}/*/*"
 
 
+def _documents_of(t, entries: Column, root: str, name: str) -> str:
+    """XML documents of parts' entries below one root, a document a file; the folder's pattern."""
+    files = _as_files(t.part, F.col("p_partkey") % 8, "p_partkey", entries)
+    return _written_files(t, files, F.concat(F.lit(f"<{root}>"), "body", F.lit(f"</{root}>")), name)
+
+
 @query("select conv_id::int as ch, turn + 1 as v, text from conversations where conv_id % 5 = 1")
 def book_round_trip(t):
     """K1, A12, S15."""
@@ -583,6 +592,68 @@ def read_overrides(t):
     return readers.overrides(t.spark, f"{path}/*/*").select(F.col("key").cast("long").alias("key"), "g", "pos")
 
 
+@query(f"""with c as (select conv_id, dense_rank() over (partition by conv_id % 8 order by conv_id) as ch, row_number() over (partition by conv_id order by turn) as v, {he_sql("replace(replace(text, chr(10), ' '), chr(34), '')")} as h from conversations)
+    select conv_id % 8 as file, ch::int as ch, v::int as v, trim(regexp_replace(h || ' ' || h, ' +', ' ', 'g')) as text, regexp_matches(h, '^[' || chr(1425) || '-' || chr(1535) || ' ]*$') as clean from c""")
+def read_books(t):
+    """A JSON for each book, verses with markup."""
+    h = he(F.translate("text", "\n\"", " "))
+    html = F.concat(F.lit("<b>"), h, F.lit('</b><sup class=\'x\'>1</sup><i class=\'footnote\'>note</i>&nbsp;<br><big>'), h, F.lit("</big>"))
+    html = F.replace(html, F.lit("'"), F.lit('"'))
+    verses = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", html.alias("h")))), lambda x: x["h"]).alias("verses"))
+    files = _as_files(verses, F.col("conv_id") % 8, "conv_id", F.to_json("verses"))
+    whole = F.concat(F.lit('{"versions":[{"versionTitle":"An Edition","text":['), "body", F.lit("]}]}"))
+    raw = readers.hebrew_text(t.spark, _written_files(t, files, whole, "books"), "Edition")
+    file = F.regexp_extract(F.input_file_name(), "file=([0-9]+)", 1).cast("long")
+    parsed = readers.parsed_verses(raw.withColumn("book", file))
+    return parsed.select(F.col("book").alias("file"), "ch", "v", "text", "clean")
+
+
+@query("""select conv_id, turn as verse_no, i::bigint as i, w as lemma from (select conv_id, turn, unnest(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' ')) as w, unnest(range(len(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' ')))) as i from conversations)""")
+def read_lemma_words(t):
+    """A JSON array of verses with words for each book; each verse's first word names it here."""
+    words = F.split(F.regexp_replace("text", "[^a-zA-Z ]", ""), " ")
+    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    verse = F.to_json(F.struct(F.transform(F.concat(F.array(name), words), lambda w: F.struct(w.alias("lemma"))).alias("words")))
+    rows = t.conversations.withColumn("o", F.struct("conv_id", "turn"))
+    files = _as_files(rows, F.col("conv_id") % 8, "o", verse)
+    got = readers.lemma_words(t.spark, _written_files(t, files, F.concat(F.lit("["), "body", F.lit("]")), "lemmas"))
+    names = got.where("i = 0").select("book", "verse", F.split("lemma", ":").alias("n"))
+    rest = got.where("i > 0").join(names, ["book", "verse"])
+    return rest.select(F.col("n")[0].cast("long").alias("conv_id"), F.col("n")[1].cast("long").alias("verse_no"), (F.col("i") - 1).cast("long").alias("i"), "lemma")
+
+
+@query("""select p_name as lemma, 'G' || min(p_partkey) as g, min(p_partkey)::int as nt, arg_min(p_type, p_partkey) as gloss, min(p_partkey)::int as num from part group by p_name""")
+def read_greek_lexicon(t):
+    """Of the entries of a lemma the first one counts."""
+    k = F.col("p_partkey").cast("string")
+    xml = F.concat(F.lit('<entry n="'), "p_name", F.lit("|G"), k, F.lit('"><note type="occurrencesNT">'), k, F.lit('</note><gloss>'), "p_type", F.lit('</gloss><ref target="H'), k, F.lit('" x="y">w</ref></entry>'))
+    files = _as_files(t.part, F.pmod(F.crc32(F.col("p_name").cast("binary")), F.lit(8)), "p_partkey", xml)
+    got = readers.tei_lexicon(t.spark, _written_files(t, files, F.col("body"), "tei"))
+    return got.select("lemma", "g", "nt", F.get("glosses", 0).alias("gloss"), F.get("hebrew", 0)["num"].alias("num"))
+
+
+@query("select p_partkey % 8 as file, sum(length(p_name) + length(p_partkey::varchar)) + count(*) + (count(*) - 1) + 1 as length from part group by 1")
+def read_files(t):
+    """Files below a folder, with their sizes."""
+    files = _as_files(t.part, F.col("p_partkey") % 8, "p_partkey", F.concat_ws("=", F.col("p_partkey").cast("string"), F.col("p_name")))
+    path = _written_files(t, files, F.col("body"), "files").removesuffix("/*/*")
+    found = readers.files(t.spark, path).where(F.col("path").contains("/file="))
+    return found.where("length > 0").select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), F.col("length"))
+
+
+@query("select p_partkey as id, case p_partkey % 3 when 0 then 'n' || p_partkey when 1 then 'l' || p_partkey end as ref from part where p_partkey >= 100")
+def full_entries(t):
+    """By number, by letters, and one whose opening speaks against it."""
+    k = F.col("p_partkey")
+    letters = F.translate(k.cast("string"), "0123456789", "אבגדהזחטכל")
+    parts = t.part.where("p_partkey >= 100")
+    numbers = F.when(k % 3 == 0, F.array(k)).otherwise(F.array().cast("array<bigint>"))
+    opening = F.when(k % 3 == 2, "vb. move").otherwise("n.m. stone")
+    entries = parts.select(F.concat(F.when(k % 3 == 0, "n").otherwise("l"), k.cast("string")).alias("ref"), k.alias("ordinal"), numbers.alias("strongs"), letters.alias("cons"), F.lit(False).alias("aramaic"), opening.alias("html"), F.lit("words").alias("source"))
+    lemmas = parts.select(k.alias("id"), k.alias("num"), letters.alias("lemma"), F.lit(False).alias("aramaic"), F.lit("noun").alias("pos"), F.lit("").alias("hint"))
+    return lexicon.full_entries(lemmas, entries)
+
+
 @query("select l_suppkey as id, max(l_linenumber)::int as n_chapters, sum(q)::bigint as n_verses from (select l_suppkey, l_linenumber, max(l_quantity)::int as q from lineitem group by all) group by 1")
 def canon_table(t):
     """K8."""

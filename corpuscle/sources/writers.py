@@ -35,9 +35,9 @@ def descriptors(spark, sources: list[dict[str, str]]) -> DataFrame:
     return spark.createDataFrame([(s["name"], s.get("licence"), s.get("url"), s.get("revision")) for s in sources], "name string, licence string, url string, revision string")
 
 
-def vocabulary_export(states: DataFrame, lookups: DataFrame, exported_at: str) -> DataFrame:
-    """One JSON document per block of keys, so no task gathers all: {exportedAt, lexemes, lookups}."""
-    block = F.pmod(F.xxhash64("key"), F.lit(64)).alias("block")
+def vocabulary_export(states: DataFrame, lookups: DataFrame, exported_at: str, n_blocks: int = 64) -> DataFrame:
+    """One JSON document per block of keys, so no task gathers all: {exportedAt, lexemes, lookups}. Large histories take more blocks."""
+    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block")
     lexemes = states.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(*states.columns))).alias("lexemes"))
     events = lookups.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(*lookups.columns))).alias("lookups"))
     both = lexemes.join(events, "block", "full")
