@@ -27,6 +27,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -308,75 +309,59 @@ def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id")
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
     """Each whole text and its edited text, whose last floor(n / 2) code points give way to the next document's first.
 
-    The next document is the one with the next id, equal ids by text; after the last comes the first. Documents are
-    dealt by id ranges, compressed; the first document of a range also goes to the range before it, so each range is
-    worked through alone. Range bounds are ids that occur (the least at or above approximate quantiles).
+    The next document is the one with the next id, equal ids by a hash of the text; after the last comes the first.
+    Documents are dealt by ranges of (id, hash), compressed, so many rows of one id (or of none) are spread as well. Each
+    range is worked through alone, all but its last document, which waits for the first of the next range: the first and
+    last documents of ranges, two for each, are put together in a second step.
 
     Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Ids are integers (what is next is told by their order; others fail).
-
-    Defined cases: null text is empty; an only document is its own next; null ids come first and count as the least
-    long; an empty table gives an empty table; other columns aren't read.
+    Defined cases: null text is empty; an only document is its own next; null ids come first; ids of any type that has
+    an order will do; an empty table gives an empty table; other columns aren't read.
     """
     spark = docs.sparkSession
-    least_id = F.lit(-(1 << 63)).cast("long")
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), least_id).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     id_type = docs.schema[id_col].dataType
-    size, low = keyed.agg(F.sum(F.octet_length("_text")), F.min("_key")).first()
-    parts = min(max(C.shuffle_partitions(spark), -(-(size or 0) // part_bytes)), MOST_PARTS)
-    cuts = keyed.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.25 / parts) if size is not None and parts > 1 else []
-    # quantiles are doubles: beyond 2 ** 53 no ids; the least id at or above each of them is exact
-    cuts = np.array(sorted({min(int(c), (1 << 63) - 1) for c in cuts}), np.int64)
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.full(len(cuts) + 1, (1 << 63) - 1)
-        some = np.zeros(len(cuts) + 1, bool)
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            at = np.searchsorted(cuts, keys, "right")
-            np.minimum.at(found, at, keys)
-            some[at] = True
-        at = np.flatnonzero(some)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at])], names=["at", "_key"])
-
-    bounds = [r[0] for r in keyed.select("_key").mapInArrow(least, "at int, _key long").where("at > 0").groupBy("at").agg(F.min("_key")).select("min(_key)").collect()] if len(cuts) else []
-    bounds = np.array(sorted({b for b in bounds if b != low}), np.int64)
-    n_parts = len(bounds) + 1
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches, "_text", 1 << 20):
-            keys = batch.column(0).to_numpy()
-            part = np.searchsorted(bounds, keys, "right")
-            rows = np.arange(len(keys))
-            # a bound is the first key of its range; the least key follows the last range
-            ahead = rows[np.isin(keys, bounds) | (keys == low)]
-            to = np.where(keys[ahead] == low, n_parts, part[ahead]) - 1
-            texts = pa.array([zstandard.compress(t.encode(), 3) for t in batch.column(2).to_pylist()], pa.binary())
-            take = pa.array(np.concatenate([rows, ahead]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([part, to]), pa.int32()), pa.array(np.repeat([False, True], [len(rows), len(ahead)])), batch.column(0).take(take), batch.column(1).take(take), texts.take(take)], names=["part", "ahead", "_key", "_id", "body"])
-
-    dealt_schema = T.StructType([*T._parse_datatype_string("part int, ahead boolean, _key long").fields, T.StructField("_id", id_type), T.StructField("body", T.BinaryType())])
-    dealt = keyed.mapInArrow(deal, dealt_schema).repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "ahead", "_key", F.xxhash64("body"), "body")
-    schema = T.StructType([T.StructField(id_col, id_type), *T._parse_datatype_string("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").fields])
     arrow_id = to_arrow_type(id_type)
+    id_field = T.StructField("_id", id_type)
+    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = min(max(C.shuffle_partitions(spark), -(-size // part_bytes)), MOST_PARTS)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, "_text", 1 << 20):
+            bodies = pa.array([zstandard.compress(t.encode(), 3) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bodies], names=["_id", "_hash", "body"])
+
+    dealt = keyed.mapInArrow(packed, T.StructType([id_field, *T._parse_datatype_string("_hash long, body binary").fields]))
+    dealt = dealt.repartitionByRange(parts, F.asc("_id"), F.asc("_hash")).sortWithinPartitions("_id", "_hash")
+    results = T.StructType([T.StructField(id_col, id_type), *T._parse_datatype_string("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").fields])
+    # what a range gives: results, and its first and its last document
+    given = T.StructType([*results.fields, *T._parse_datatype_string("range int, body binary, what string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
         held: list[tuple] = []  # (id, text), a document that waits for its next one comes last
-        size, ended = 0, False
+        size, first, last = 0, None, None
         for batch in batches:
-            for ahead, key, body in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                if ended:  # further documents with the id of the one that is ahead
-                    continue
-                text = zstandard.decompress(body.as_py()).decode()
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = zstandard.decompress(body).decode()
+                first, last = first or (key, body), (key, body)
                 held.append((key, text))
                 size += len(text)
-                ended = ahead
                 if size >= 1 << 21 and len(held) > 1:
-                    yield from made(held)
+                    yield from whole(made(held))
                     held, size = held[-1:], len(text)
         if len(held) > 1:
-            yield from made(held)
+            yield from whole(made(held))
+        if first:
+            keys, bodies = zip(first, last, strict=True)
+            none = [pa.nulls(2, to_arrow_type(f.dataType)) for f in results.fields[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, arrow_id), *none, pa.array([here] * 2, pa.int32()), pa.array(bodies, pa.binary()), pa.array(["first", "last"])], names=given.names)
+
+    def whole(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in some:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(["result"] * n)], names=given.names)
 
     def made(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Results for all but the last document."""
@@ -407,9 +392,22 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         shas = [hashlib.sha256(edited[a:b].tobytes().decode("utf-32-le").encode()).hexdigest() for a, b in zip(e_starts, e_ends, strict=True)]
         near = [likeness(a, b) for a, b in zip(prints, e_prints, strict=False)]
         nexts = [likeness(a, b) for a, b in zip(prints, prints[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held[:-1]], arrow_id), pa.array(n[:-1]), pa.array(shas, pa.string()), pa.array(prints[:-1], pa.string()), pa.array(e_prints, pa.string()), pa.array(near, pa.float64()), pa.array(nexts, pa.float64())], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held[:-1]], arrow_id), pa.array(n[:-1]), pa.array(shas, pa.string()), pa.array(prints[:-1], pa.string()), pa.array(e_prints, pa.string()), pa.array(near, pa.float64()), pa.array(nexts, pa.float64())], names=results.names)
 
-    return dealt.mapInArrow(run, schema)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, *bodies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text, after = (zstandard.decompress(x).decode() for x in bodies)
+                yield from made([(key, text), (None, after)])
+
+    table = C.written(dealt.mapInArrow(run, given), "edit-ranges", ("what",), codec="zstd")
+    ends = table.where(F.col("what") != "result").select(F.col(id_col).alias("_id"), "range", "body", "what")
+    ranges = sorted(r[0] for r in ends.where("what = 'first'").select("range").collect())  # at most MOST_PARTS numbers
+    after = spark.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1], strict=True)), "range int, next int")
+    lasts = ends.where("what = 'last'").select("_id", "range", "body").join(F.broadcast(after), "range")
+    firsts = ends.where("what = 'first'").select(F.col("range").alias("next"), F.col("body").alias("next_body"))
+    met = lasts.join(firsts, "next").select("_id", "body", "next_body").mapInArrow(meet, results)
+    return table.where(F.col("what") == "result").select(*results.names).unionByName(met)
 
 
 def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
