@@ -296,7 +296,8 @@ def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id")
     members = C.join_counted(banded, keys, "key", "n").distinct().withColumn("flags", F.lit(0))
     members = C.written(members, "edit-members", rows=2 * BANDS * n)
     met = members.select(F.col("node").alias("class")).distinct()
-    asked = prints.join(met, "class", "left_semi").groupBy("class").agg(F.first("fingerprint").alias("fingerprint"))
+    # copies are folded before they are shuffled, so the join meets each class once
+    asked = prints.groupBy("class").agg(F.first("fingerprint").alias("fingerprint")).join(met, "class", "left_semi")
     asked = C.written(asked, "edit-asked", rows=8 * n)
     linked = components_by_key(members, asked.withColumnRenamed("class", "node"), lambda pairs: _verified(pairs, asked, least), _compared(least))
     linked = C.written(linked.withColumnRenamed("node", "class"), "edit-components", rows=n)

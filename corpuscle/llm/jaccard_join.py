@@ -173,8 +173,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     kinds = kinds.agg(F.bit_or(F.col("flags").bitwiseAND(PROBE)).alias("probe"), F.min(F.col("flags").bitwiseAND(DELETION)).alias("deletion"))
     kinds = C.written(kinds.select("key", "node", (F.col("probe") + F.col("deletion")).alias("flags")), "jaccard-kinds")
     C.unwritten(shared)
-    sketches = scanned.join(kinds.select(F.col("node").alias("class")).distinct(), "class", "left_semi").groupBy("class")
-    sketches = C.written(sketches.agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "jaccard-sketches")
+    # copies are folded before they are shuffled, so the join meets each class once
+    sketches = scanned.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = sketches.join(kinds.select(F.col("node").alias("class")).distinct(), "class", "left_semi")
+    sketches = C.written(sketches, "jaccard-sketches")
     families = components_by_key(kinds, sketches.withColumnRenamed("class", "node"), lambda pairs: _may_link(pairs, sketches, percent), _compared(percent))
     families = C.written(families.withColumnRenamed("node", "class").withColumnRenamed("component", "family"), "jaccard-families")
 
