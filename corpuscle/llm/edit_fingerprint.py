@@ -303,8 +303,9 @@ def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id")
     linked = C.written(linked.withColumnRenamed("node", "class"), "edit-components", rows=n)
     named = classes.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = C.written(named.where("n > 1").unionByName(linked.join(classes, "class").where("n = 1")), "edit-named", rows=n)
-    firsts = named.groupBy("component").agg(F.min("first").alias("near_class"))
-    return named.join(firsts, "component").select("class", "near_class", "n")
+    firsts = named.groupBy("component").agg(F.min("first").alias("near_class"), F.count("*").alias("classes"))
+    firsts = C.written(firsts, "edit-firsts", rows=n)
+    return C.join_counted(named, firsts, "component", "classes", at_most=n).select("class", "near_class", "n")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20) -> DataFrame:

@@ -163,6 +163,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     scanned = C.written(hashed.mapInArrow(_scan(k, percent), f"row long, {id_col} long, n_shingles long, class long, sketch binary, keys binary, flags binary{', of long' * by_row}"), "jaccard-documents", codec="zstd")
     this = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("of") if by_row else F.lit(None).cast("long").alias("of"))
     classes = scanned.where("class is not null").groupBy("class").agg(F.min(id_col).alias("first"), F.count("*").alias("_n"), *[F.min(this).alias("_row")] * by_row)
+    classes = C.written(classes, "jaccard-counts")
 
     total = scanned.agg(F.sum(F.octet_length("flags"))).first()[0] or 0
     n_buckets = max(C.shuffle_partitions(spark), -(-total // PER_BUCKET))
@@ -189,9 +190,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     sets = C.written(members.select("class", "family").join(sets, "class"), "jaccard-sets", codec="uncompressed")
     links = _verified(sets, percent, n_buckets)
     found = components(C.written(links, "jaccard-links")).select(F.col("node").alias("class"), "component")
-    named = classes.select("class", "first", "_n", *["_row"] * by_row).join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"), *[F.sum("_n").alias("size"), F.min("_row").alias("_least")] * by_row)
-    by_class = named.join(least, "component").select("class", "_n", "component_id", *["size", "_least"] * by_row)
+    found = C.written(found, "jaccard-found")
+    linked = classes.join(found, "class")
+    more = [F.sum("_n").alias("size"), F.min("_row").alias("_least")] * by_row
+    least = C.written(linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("_classes"), *more), "jaccard-components")
+    named = C.join_counted(linked, least, "component", "_classes")
+    alone = classes.join(found, "class", "left_anti").withColumns({"component_id": F.col("first"), **({"size": F.col("_n"), "_least": F.col("_row")} if by_row else {})})
+    columns = ["class", "_n", "component_id", *["size", "_least"] * by_row]
+    by_class = named.select(*columns).unionByName(alone.select(*columns))
     rows = scanned.select(id_col, "n_shingles", "class", *["of"] * by_row)
     rows = C.join_counted(rows, C.written(by_class, "jaccard-classes"), "class", "_n").unionByName(rows.where("class is null"), allowMissingColumns=True)
     more = ["of", "size", F.coalesce(this == F.col("_least"), F.lit(True)).alias("kept")] if by_row else []
