@@ -1,38 +1,102 @@
 """Sequence alignment of two word arrays: equal arrays natively, the rest by an Arrow function.
 
 align() gives for each word of the base array the place of its partner in the other, or -1. Equal arrays are the
-identity and never reach Python. The rest goes by a longest common subsequence (ties advance the base side first), and
-then single gaps are filled where the one word left over on the other side is spelled nearly alike.
+identity and never reach Python. The rest goes by a longest common subsequence (ties advance the base side first) in
+linear memory, so whole chapters and books can be aligned at once, and then single gaps are filled where the one word
+left over on the other side is spelled nearly alike.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a lattice that are kept when a stretch of it is cut, and rows of a stretch that is walked at once.
+CUTS, STRETCH = 16, 64
+
+
+class Lattice:
+    """Lengths of longest common subsequences of all suffixes of two word lists, a row as one integer.
+
+    Along a row (one base word's suffixes) lengths fall by 0 or 1 at each place of the other list; bit k of a row is 0
+    where they fall at the k-th place from the end. A row follows from the one below by an addition, which carries
+    through as many places at once as the machine's words hold.
+    """
+
+    def __init__(self, base: list[str], other: list[str]):
+        self.base, self.m = base, len(other)
+        self.all = (1 << self.m) - 1
+        self.places: dict[str, list[int]] = {}
+        for k, word in enumerate(reversed(other)):
+            self.places.setdefault(word, []).append(k)
+        self.common = max(8, self.m // 256)
+        self.masks: dict[str, int] = {}
+
+    def mask(self, word: str) -> int:
+        """The places of a word as bits. Only words with very many places are kept, so masks take linear memory."""
+        found = self.masks.get(word)
+        if found is None:
+            places = self.places.get(word, ())
+            if len(places) < 4:
+                return sum(1 << k for k in places)
+            bits = bytearray(self.m // 8 + 1)
+            for k in places:
+                bits[k >> 3] |= 1 << (k & 7)
+            found = int.from_bytes(bits, "little")
+            if len(places) >= self.common:
+                self.masks[word] = found
+        return found
+
+    def above(self, row: int, word: str) -> int:
+        hits = self.mask(word)
+        return ((row + (row & hits)) | (row & ~hits)) & self.all if hits else row
+
+    def length(self, row: int, j: int) -> int:
+        """The length for the suffix of other from place j."""
+        low = (1 << (self.m - j)) - 1
+        return (~row & low).bit_count()
+
+    def partner(self, word: str, j: int) -> int:
+        """The first place from j on that has the word, or -1."""
+        hit = self.mask(word) & ((1 << (self.m - j)) - 1)
+        return self.m - hit.bit_length() if hit else -1
+
+    def walk(self, lo: int, hi: int, below: int, j: int, out: list[int]) -> int:
+        """Partners of base[lo:hi], given row hi and the place reached; returns the place reached then.
+
+        A long stretch is cut: rows at the cuts are kept, rows between are computed again when the walk gets there.
+        """
+        step = 1 if hi - lo <= STRETCH else -(-(hi - lo) // CUTS)
+        kept, row = {hi: below}, below
+        for i in range(hi - 1, lo - 1, -1):
+            row = self.above(row, self.base[i])
+            if (i - lo) % step == 0:
+                kept[i] = row
+        for i in range(lo, hi, step):
+            end = min(i + step, hi)
+            if step > 1:
+                j = self.walk(i, end, kept[end], j, out)
+            elif j < self.m:
+                word = self.base[i]
+                at = self.partner(word, j)
+                # the word here, or further on where leaving this base word out would cost a match
+                if at == j or at > j and self.length(kept[i], j) > self.length(kept[end], j):
+                    out[i], j = at, at + 1
+            kept.pop(i, None)
+        return j
+
+
 def common_subsequence(base: list[str], other: list[str]) -> list[int]:
-    """Partners by a longest common subsequence; the table's rows are computed whole, from the last."""
-    n, m = len(base), len(other)
-    codes = {w: i for i, w in enumerate(dict.fromkeys([*base, *other]))}
-    a, b = np.array([codes[w] for w in base], np.int64), np.array([codes[w] for w in other], np.int64)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        # a row is the running maximum, from the right, of what the row below and matches offer
-        offer = np.maximum(table[i + 1, :m], (table[i + 1, 1:] + 1) * (b == a[i]))
-        table[i, :m] = np.maximum.accumulate(offer[::-1])[::-1]
-    out, i, j = [-1] * n, 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            out[i] = j
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    """Partners by a longest common subsequence, -1 where there is none; of several the one that a walk from the start
+    finds which takes equal words at once, and else leaves out the base word if no match is lost by it.
+
+    Memory is linear: some hundred rows of one bit a word are kept at once, however long the lists are.
+    """
+    out, lattice = [-1] * len(base), Lattice(base, other)
+    lattice.walk(0, len(base), lattice.all, 0, out)
     return out
 
 

@@ -69,12 +69,18 @@ def _by_number(rows: DataFrame, letter: str, digits: str):
     return rows.where(he | gr), [F.desc(F.col("lang") == "he")]
 
 
-def _by_hebrew(rows: DataFrame, query: str):
-    """All tries at once: each row gets the first form that it contains, and rows are in order of these."""
+def hebrew_forms(query: str) -> list[str]:
+    """What is looked for, in this order: the skeleton, then without up to two proclitics."""
     bare = re.sub(f"{hebrew.POINTS}|[{hebrew.SOF_PASUQ}{hebrew.PASEQ}{hebrew.MAQAF} ]", "", query)
     forms = [bare]
     while len(forms) < TRIES and forms[-1] and forms[-1][0] in hebrew.PROCLITICS and len(forms[-1]) > 2:
         forms.append(forms[-1][1:])
+    return forms
+
+
+def _by_hebrew(rows: DataFrame, query: str):
+    """All tries at once: each row gets the first form that it contains, and rows are in order of these."""
+    forms = hebrew_forms(query)
     lemma = hebrew.skeleton(F.col("lemma"))
     tries = F.coalesce(*[F.when(lemma.contains(f), F.lit(i)) for i, f in enumerate(forms) if len(f) >= 2], F.lit(None).cast("int"))
     hits = rows.where(F.col("lang") == "he").withColumn("_try", tries).where("_try is not null")

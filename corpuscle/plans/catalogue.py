@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import greek, hebrew, markup, morphology, references
-from corpuscle.operators import alignment, lexicon, matching, postings, quality, ranges, sanitize, search, vocabulary
+from corpuscle.operators import alignment, lexicon, matching, postings, quality, ranges, sanitize, search, spelling, vocabulary
 from corpuscle.plans.registry import ORACLES, QUERIES, TOKENS, query  # noqa: F401
 
 # ---- text
@@ -298,10 +298,8 @@ def reconcile_block(t):
 @query("""with n as (select distinct p_name as w from part), p as (select a.w as a, b.w as b from n a join n b on substr(a.w, 1, 1) = substr(b.w, 1, 1) and a.w < b.w)
     select a, b, (levenshtein(a, b) <= case when least(length(a), length(b)) <= 5 then 1 else 3 end)::boolean as same from p where levenshtein(a, b) <= 3""")
 def same_word(t):
-    """Pairs with one initial whose lengths differ by no more than the distance."""
-    names = t.part.select(F.col("p_name").alias("a")).distinct().withColumns({"s": F.substring("a", 1, 1), "n": F.length("a")})
-    near = names.select(F.col("a").alias("b"), "s", F.explode(F.sequence(F.col("n") - 3, F.col("n") + 3)).alias("n"))
-    pairs = names.join(near, ["s", "n"]).where("a < b").where(F.levenshtein("a", "b", 3) >= 0)
+    """Pairs with one initial within distance 3."""
+    pairs = spelling.near_pairs(t.part, "p_name", 3)
     return pairs.select("a", "b", greek.same_word(F.col("a"), F.col("b")).alias("same"))
 
 
