@@ -11,6 +11,7 @@ is written with each batch, so another session can open the folder and add to it
 Texts are read twice (keys, then result) and shuffled once; counts are made from 8-byte hashes, one for each document
 and key, summed before they are shuffled, so a line that a third of all documents have is no hot key. Such lines are
 few, for all counts add up to the lines: they are broadcast where their documents are looked up (``C.join_counted``).
+Work is linear in a text's lines: the places that go are an array of flags, made before it meets the lines.
 Two keys of n are taken for one with a chance of n * n / 2 ** 65.
 """
 
@@ -188,7 +189,7 @@ def drop_common_lines(
 
     A key is the line without blanks at both ends, A-Z lower-cased; empty keys stay. With keep_first, the document with
     the smallest id among those that have a key keeps its lines of that key (all of them); null counts as larger than
-    any id, and of equal ids the text of the smallest hash is the first. Needs an integer id.
+    any id, and of equal ids the text of the smallest hash is the first. Ids are of any type that has an order.
 
     Returns the columns of docs, with text_col replaced, and n_lines (before), n_dropped. Columns of docs with these two
     names are replaced.
@@ -199,7 +200,7 @@ def drop_common_lines(
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     # texts of one id (or of none) are told apart by a hash
     rows = rows.withColumn("of", F.xxhash64("text"))
     hashed = rows.select("id", "of", key_hashes(F.col("text")).alias("hs"))
@@ -214,12 +215,17 @@ def drop_common_lines(
 
     # the places of lines that go, by document
     lines = hashed.select("id", "of", F.posexplode("hs").alias("pos", "h")).where("h is not null")
-    gone = C.join_counted(lines, common, "h", "docs")
+    count = "docs"
+    if common.count() > C.MOST_HEAVY:  # too many to broadcast: a document may have many lines of one key, so lines are counted
+        common = C.written(common.join(lines.groupBy("h").agg(F.count("*").alias("lines")), "h"), "line-counts")
+        count = "lines"
+    gone = C.join_counted(lines, common, "h", count)
     gone = gone.where(this != F.col("first")) if keep_first else gone
-    gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("of").alias("gone_of")).agg(F.collect_set("pos").alias("gone"))
+    gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("of").alias("gone_of")).agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    gone = gone.select("gone_id", "gone_of", _flags("at").alias("gone"))
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("of") == F.col("gone_of"))
     cut = rows.join(gone, same, "left").select("text", "row", "gone", text_lines(F.col("text")).alias("lines"))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line, i: ~F.array_contains("gone", i)))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line, i: ~F.coalesce(F.get("gone", i), F.lit(False))))
     cut = cut.withColumn("kept", kept)
     text = F.when(F.col("gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join("kept", "\n"))
     n_lines, n_kept = F.size("lines").cast("long"), F.size("kept").cast("long")
@@ -227,6 +233,13 @@ def drop_common_lines(
     return cut.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in names], *counts)
 
 
+def _flags(places: str) -> Column:
+    """Sorted places (from 0) as an array of booleans up to the last of them, in linear time."""
+    before = lambda i: F.coalesce(F.get(places, i - 1), F.lit(-1))
+    stretch = lambda at, i: F.concat(F.array_repeat(F.lit(False), at - before(i) - 1), F.array(F.lit(True)))
+    return F.flatten(F.transform(places, stretch))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """drop_common_lines over the whole of documents: keys in at least 10 documents go everywhere."""
     out = drop_common_lines(C.documents(spark, sf_dir).select("doc_id", "text"), min_docs=10)
