@@ -8,8 +8,8 @@ sequences, so its work doesn't grow with the input:
    fill a sequence; repeat counts come from non-negative least squares, rounded down; a pattern's last place takes the
    longest true length that fits; what remains goes best-fit
    decreasing, by true lengths, into the space left in patterns, then into new sequences.
-3. Pieces of one length are numbered within salted groups (no group holds more than its share of a common length),
-   and a binary search in the plan, which is small, gives each number its sequence and place.
+3. Pieces of one length are numbered within salted groups (tasks deal pieces out to salts in turn, so no group holds more
+   than its share of a common length, be it of one id or of none), and a binary search in the plan, which is small, gives each number its sequence and place.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,14 +136,18 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, l
     return done + [x for xs in room.values() for x in xs]
 
 
-def token_pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces (id, piece, start, length, ids_crc32) of at most capacity tokens: a text's ids, then END."""
+def token_pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", salts: int = 1) -> DataFrame:
+    """Pieces (id, piece, start, length, ids_crc32, _salt) of at most capacity tokens: a text's ids, then END.
+
+    A task deals its pieces out to salts in turn, whatever their ids and texts are.
+    """
     id_type = docs.schema[id_col].dataType
     arrow_id = to_arrow_type(id_type)
-    schema = T.StructType([T.StructField(id_col, id_type), *T._parse_datatype_string("piece int, start long, length long, ids_crc32 long").fields])
+    schema = T.StructType([T.StructField(id_col, id_type), *T._parse_datatype_string("piece int, start long, length long, ids_crc32 long, _salt int").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_tokens(tokenizer).encode, np.array([END], "<u4").tobytes()
+        dealt = TaskContext.get().partitionId()
         for batch in C.slices(batches, text_col, 1 << 20):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encode(batch.column(1).to_pylist())):
@@ -150,7 +155,11 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, i
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     some = ids[lo : lo + 4 * capacity]
                     row.append(i), piece.append(k), start.append(lo // 4), length.append(len(some) // 4), crc.append(zlib.crc32(some))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow_id).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
+            salt = pa.array(((dealt + np.arange(len(row))) % salts).astype(np.int32))
+            dealt += len(row)
+            numbers = [pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            ids = batch.column(0).cast(arrow_id).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), *numbers, salt], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
@@ -165,9 +174,8 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, id
     through; an empty table gives an empty table; other columns aren't read.
     """
     spark = docs.sparkSession
-    pieces = C.written(token_pieces(docs, capacity, tokenizer, id_col, text_col), "packing-pieces")
     salts = max(64, C.shuffle_partitions(spark))
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
+    pieces = C.written(token_pieces(docs, capacity, tokenizer, id_col, text_col, salts), "packing-pieces")
     per_group = pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     histogram = {r[0]: r[1] for r in per_group.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
     plan = plan_patterns(histogram, capacity)
