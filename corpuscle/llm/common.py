@@ -89,22 +89,23 @@ def unwritten(df: DataFrame) -> None:
     deleted(df.sparkSession, df._written_to)
 
 
-def join_counted(rows: DataFrame, keys: DataFrame, on: str, count: str, at_most: int | None = None) -> DataFrame:
-    """The inner join of rows with keys, where keys (a written table) has each key once, and ``count`` is at least the
-    number of its rows.
+def join_counted(rows: DataFrame, keys: DataFrame, on: str, count: str, at_most: int | None = None, how: str = "inner") -> DataFrame:
+    """The join (inner or left) of rows with keys, where keys (a written table) has each key once, and ``count`` is at
+    least the number of its rows.
 
     No key becomes hot: as counts add up, at most MOST_HEAVY keys have a MOST_HEAVY-th of all counted rows or more, and
     these are broadcast; the others are joined by a shuffle. If there are no more keys than that (at_most, a bound that
     is known, may say so), all are broadcast.
     """
     if at_most is not None and at_most <= MOST_HEAVY:
-        return rows.join(F.broadcast(keys.drop(count)), on)
+        return rows.join(F.broadcast(keys.drop(count)), on, how)
     n, total = keys.agg(F.count("*"), F.sum(count)).first()
     if n <= MOST_HEAVY:
-        return rows.join(F.broadcast(keys.drop(count)), on)
-    heavy = F.col(count) * F.lit(float(MOST_HEAVY)) >= F.lit(float(total))
-    light = rows.join(keys.where(~heavy).drop(count), on)
-    return rows.join(F.broadcast(keys.where(heavy).drop(count)), on).unionByName(light)
+        return rows.join(F.broadcast(keys.drop(count)), on, how)
+    is_heavy = F.col(count) * F.lit(float(MOST_HEAVY)) >= F.lit(float(total))
+    heavy, light = F.broadcast(keys.where(is_heavy).drop(count)), keys.where(~is_heavy).drop(count)
+    rest = rows.join(heavy, on, "left_anti") if how == "left" else rows
+    return rows.join(heavy, on).unionByName(rest.join(light, on, how))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

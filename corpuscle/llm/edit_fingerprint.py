@@ -414,9 +414,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edited_fingerprints over the whole of documents, and near_class: the least doc_id among near duplicates."""
-    docs = C.documents(spark, sf_dir)
-    prints = C.written(fingerprint_documents(docs).select("doc_id", "fingerprint"), "edit-prints", codec="zstd")
-    near = C.written(near_classes(prints).select(F.col("class").alias("_class"), "near_class"), "edit-near")
-    near = F.broadcast(near) if near.count() <= C.MOST_HEAVY else near
-    rows = edited_fingerprints(docs).join(near, F.xxhash64("fingerprint") == F.col("_class"), "left")
-    return rows.withColumn("near_class", F.coalesce("near_class", "doc_id")).drop("_class")
+    return with_near_class(edited_fingerprints(C.documents(spark, sf_dir)))
+
+
+def with_near_class(rows: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """rows (id_col, fingerprint and more) with near_class, the least id among the row's near duplicates (its own, if it
+    has none). A fingerprint that a great part of all rows share isn't gathered in one task."""
+    near = C.written(near_classes(rows.select(id_col, "fingerprint"), least, id_col).withColumnsRenamed({"class": "_class", "n": "_n"}), "edit-near")
+    out = C.join_counted(rows.withColumn("_class", F.xxhash64("fingerprint")), near, "_class", "_n", how="left")
+    return out.withColumn("near_class", F.coalesce("near_class", id_col)).drop("_class")
