@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.operators.elements import Element, Node, pieces, rewritten, tree, written
 from corpuscle.operators.sanitize import sanitize_text
 
 #: What an element becomes: (tag, class, {attribute: attribute it comes from}). None: it goes with its content; "": only
@@ -93,33 +95,56 @@ def render_tei(xml: pd.Series) -> pd.Series:
     return xml.map(lambda x: render_text(x, TEI))
 
 
-_LINK = re.compile(r"<a\b([^>]*)>(.*?)</a>", re.S)
-_PASSAGE = re.compile(r"(.+?) (\d+)(?::(\d+))?(?:-\d+)?")
+def passage_id(place: str | None, books: dict[str, str]) -> str | None:
+    """The id of a place such as "I Kings 3:4-5": the book's id, chapter and verse by points; None if it isn't one."""
+    book, _, numbers = (place or "").rpartition(" ")
+    first, *until = numbers.split("-")
+    parts = first.split(":")
+    if book not in books or len(until) > 1 or len(parts) > 2 or not all(x.isascii() and x.isdecimal() for x in (*parts, *until)):
+        return None
+    return ".".join((books[book], *parts))
+
+
+#: What an element of a sense becomes, but for links: (name, attribute and value that it must have) to (name, class).
+INLINE = {("strong", None): ("b", None), ("span", ("dir", "rtl")): ("span", "he-inline")}
+
+
+def _inline(element: Element, books: dict[str, str]) -> Element:
+    """An element of a definition, its content done: links lead to passages or are plain, and right-to-left text is Hebrew."""
+    if element.name == "a":
+        target = passage_id(element.get("data-ref"), books)
+        return Element("a", [("data-ref", target)], element.children) if target else Element("span", [], element.children)
+    if element.name == "big" and len(element.children) == 1 and isinstance(only := element.children[0], Element):
+        if only.name == "big" and len(only.children) == 1 and isinstance(word := only.children[0], Element) and word.get("class") == "he-inline":
+            return Element("b", [("class", "he-inline")], word.children)  # twice as large: the entry's own word
+    for (name, asked), (to, kind) in INLINE.items():
+        if element.name == name and (asked is None or asked in element.attributes):
+            return Element(to, [("class", kind)] if kind else [], element.children)
+    return element
+
+
+def relinked(html: str, books: dict[str, str]) -> list[Node]:
+    """A definition's nodes with links and words as entries have them."""
+    return rewritten(tree(pieces(html)), lambda e: _inline(e, books)).children
 
 
 def relink(html: str, books: dict[str, str]) -> str:
     """Links to passages by the books' ids; other links become plain spans; right-to-left spans are Hebrew."""
+    return written(Element("", [], relinked(html, books)))
 
-    def one(m: re.Match) -> str:
-        ref = dict(_ATTRIBUTE.findall(m[1])).get("data-ref", "")
-        passage = _PASSAGE.fullmatch(ref)
-        if passage and passage[1] in books:
-            return f'<a data-ref="{".".join(x for x in (books[passage[1]], passage[2], passage[3]) if x)}">{m[2]}</a>'
-        return f"<span>{m[2]}</span>"
 
-    html = re.sub(r'<big><big><span dir="rtl">(.*?)</span></big></big>', r'<b class="he-inline">\1</b>', _LINK.sub(one, html), flags=re.S)
-    return html.replace('<span dir="rtl">', '<span class="he-inline">').replace("<strong>", "<b>").replace("</strong>", "</b>")
+def _sense(sense: dict, books: dict[str, str]) -> Element:
+    number = [Element("span", [("class", "n")], [str(sense["number"])]), " "] if sense.get("number") else []
+    inner = [_sense(s, books) for s in sense.get("senses") or []]
+    return Element("div", [("class", "sense")], [*number, *relinked(sense.get("definition") or "", books), *inner])
 
 
 def render_senses(content: str | None, books: dict[str, str]) -> str | None:
     """Nested senses (JSON: senses of number, definition, senses) as nested blocks."""
-    import json
-
-    def blocks(senses: list) -> str:
-        number = lambda s: f'<span class="n">{s["number"]}</span> ' if s.get("number") else ""
-        return "".join(f'<div class="sense">{number(s)}{relink(s.get("definition") or "", books)}{blocks(s.get("senses") or [])}</div>' for s in senses)
-
-    return None if content is None else sanitize_text(re.sub(r"\s+", " ", blocks(json.loads(content).get("senses") or [])))
+    if content is None:
+        return None
+    blocks = [_sense(s, books) for s in json.loads(content).get("senses") or []]
+    return sanitize_text(re.sub(r"\s+", " ", written(Element("", [], blocks))))
 
 
 def with_rendered_senses(df: DataFrame, content: str, books: dict[str, str], out: str = "html") -> DataFrame:

@@ -1,188 +1,55 @@
-"""Markup sanitising as a scalar Arrow function: a scanner reads pieces, a tree writer lets allowed ones through.
+"""Markup sanitising as a scalar Arrow function: a fold over the tree of what is allowed.
 
-The scanner walks the text by character classes, never by a pattern over a whole tag, so a tag of any length costs its
-length. What it can't read as a tag is text. The writer keeps the path of open elements and writes balanced markup.
+What goes with its content is left out of the pieces, what isn't allowed out of the tree; what remains is written with
+its allowed attributes, so the result is balanced however the source was.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
 from html import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.functions.markup import ALLOWED_CLASSES, ALLOWED_TAGS, DROPPED_WITH_CONTENT, ENTITIES, fits_value
+from corpuscle.functions.markup import ALLOWED_CLASSES, ALLOWED_TAGS, DROPPED_WITH_CONTENT, fits_value
+from corpuscle.operators.elements import Element, Tag, pieces, plain, tree, written
 
-VOID = frozenset(["br"])
-#: What a reader skips, by how it begins and ends.
-SKIPPED = {"<!--": "-->", "<![CDATA[": "]]>"}
-QUOTES = "\"'"
 
+def shown(found: Iterable[str | Tag]) -> Iterator[str | Tag]:
+    """The pieces outside of elements that go with their content. Such an element ends where as many of its name end as
+    have begun."""
+    hidden, depth = "", 0
+    for piece in found:
+        tag = piece if isinstance(piece, Tag) and not piece.empty else None
+        if depth:
+            depth += 0 if tag is None or tag.name != hidden else -1 if tag.ends else 1
+        elif isinstance(piece, Tag) and not piece.ends and piece.name in DROPPED_WITH_CONTENT:
+            hidden, depth = piece.name, int(tag is not None)
+        else:
+            yield piece
 
-@dataclass
-class Tag:
-    name: str
-    ends: bool = False  # </name>
-    empty: bool = False  # <name/>
-    attributes: list[tuple[str, str]] = field(default_factory=list)
 
+def allowed_value(name: str, value: str) -> str:
+    """What stays of an attribute's value; empty where it isn't allowed."""
+    if name == "class":
+        return " ".join(c for c in value.split() if c in ALLOWED_CLASSES)
+    return value if fits_value(name, value) else ""
 
-class Scanner:
-    """Reads one tag at a place; ``at`` moves on as long as characters fit."""
 
-    def __init__(self, html: str, at: int):
-        self.html, self.at = html, at
-
-    def here(self) -> str:
-        return self.html[self.at : self.at + 1]
-
-    def run(self, fits) -> str:
-        start = self.at
-        while (c := self.here()) and fits(c):
-            self.at += 1
-        return self.html[start : self.at]
-
-    def takes(self, c: str) -> bool:
-        if self.here() != c:
-            return False
-        self.at += 1
-        return True
-
-    def value(self) -> str | None:
-        """What follows an equals sign: quoted, or bare up to what can't stand in a bare value."""
-        quote = self.here()
-        if quote and quote in QUOTES:
-            end = self.html.find(quote, self.at + 1)
-            if end < 0:
-                return None
-            found, self.at = self.html[self.at + 1 : end], end + 1
-            return found
-        return self.run(lambda c: not c.isspace() and c not in "\"'<>`") or None
-
-    def tag(self) -> Tag | None:
-        """The tag that begins here, or None; at is behind it."""
-        self.takes("<")
-        ends = self.takes("/")
-        if not (self.here().isascii() and self.here().isalpha()):
-            return None
-        tag = Tag(self.run(lambda c: c.isascii() and c.isalnum()).lower(), ends)
-        while True:
-            blank = self.run(str.isspace)
-            if self.takes(">"):
-                return tag
-            if ends:
-                return None
-            if self.takes("/"):
-                self.run(str.isspace)
-                tag.empty = True
-                return tag if self.takes(">") else None
-            name = self.run(lambda c: not c.isspace() and c not in "\"'<>=/") if blank else ""
-            if not name:
-                return None
-            behind, value = self.at, ""
-            self.run(str.isspace)
-            if self.takes("="):
-                self.run(str.isspace)
-                if (value := self.value()) is None:
-                    return None
-            else:
-                self.at = behind
-            tag.attributes.append((name.lower(), value))
-
-
-def pieces(html: str) -> Iterator[str | Tag]:
-    """Text and tags in order. A sign that begins neither a tag nor what is skipped is text."""
-    at = 0
-    while at < len(html):
-        sign = html.find("<", at)
-        if sign < 0:
-            sign = len(html)
-        if sign > at:
-            yield html[at:sign]
-        at = sign
-        if at == len(html):
-            return
-        end = next((html.find(end, at + len(begin)) + len(end) for begin, end in SKIPPED.items() if html.startswith(begin, at) and html.find(end, at + len(begin)) >= 0), None)
-        if end is not None:
-            at = end
-            continue
-        scanner = Scanner(html, at)
-        tag = scanner.tag()
-        yield "<" if tag is None else tag
-        at = at + 1 if tag is None else scanner.at
-
-
-def plain(text: str) -> str:
-    """Text with its entities as characters; unknown ones stay."""
-    head, *rest = text.split("&")
-    return head + "".join(map(_after_ampersand, rest))
-
-
-def _after_ampersand(part: str) -> str:
-    name, semicolon, tail = part.partition(";")
-    if semicolon and name.isascii():
-        if name.isalpha() and name.lower() in ENTITIES:
-            return ENTITIES[name.lower()] + tail
-        if name[:1] == "#":
-            digits, base = (name[2:], 16) if name[1:2] in ("x", "X") else (name[1:], 10)
-            if digits and all(c in "0123456789abcdefABCDEF"[: 10 if base == 10 else 22] for c in digits):
-                code = int(digits, base) if len(digits) < 12 else 0
-                return (chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else "") + tail
-    return "&" + part
-
-
-def _attributes(tag: Tag) -> str:
-    out = ""
-    for name, raw in tag.attributes:
-        if name not in ALLOWED_TAGS[tag.name]:
-            continue
-        value = plain(raw)
-        if name == "class":
-            value = " ".join(c for c in value.split() if c in ALLOWED_CLASSES)
-            if not value:
-                continue
-        elif not fits_value(name, value):
-            continue
-        out += f' {name}="{escape(value)}"'
-    return out
+def _attributes(element: Element) -> Iterator[tuple[str, str]]:
+    for name, value in element.attributes:
+        if name in ALLOWED_TAGS[element.name] and (kept := allowed_value(name, plain(value))):
+            yield name, kept
 
 
 def sanitize_text(html: str | None) -> str | None:
     """Null stays null. Idempotent; what it returns has allowed tags only, each of them closed."""
     if html is None:
         return None
-    out: list[str] = []
-    path: list[str] = []
-    inside: list[str] = []  # the dropped element that is open, as often as it is nested
-    for piece in pieces(html):
-        if inside:
-            if isinstance(piece, Tag) and piece.name == inside[0]:
-                if piece.ends:
-                    inside.pop()
-                elif not piece.empty:
-                    inside.append(piece.name)
-        elif isinstance(piece, str):
-            out.append(escape(plain(piece), quote=False))
-        elif piece.ends:
-            if piece.name in path:
-                depth = len(path) - 1 - path[::-1].index(piece.name)
-                out += [f"</{name}>" for name in reversed(path[depth:])]
-                del path[depth:]
-        elif piece.name in DROPPED_WITH_CONTENT:
-            if not piece.empty:
-                inside.append(piece.name)
-        elif piece.name in VOID:
-            out.append(f"<{piece.name}>")
-        elif piece.name in ALLOWED_TAGS:
-            out.append(f"<{piece.name}{_attributes(piece)}>")
-            if piece.empty:
-                out.append(f"</{piece.name}>")
-            else:
-                path.append(piece.name)
-    return "".join(out) + "".join(f"</{name}>" for name in reversed(path))
+    allowed = tree(shown(pieces(html)), lambda tag: tag.name in ALLOWED_TAGS)
+    return written(allowed, _attributes, lambda text: escape(plain(text), quote=False))
 
 
 @F.pandas_udf(T.StringType())
