@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,37 +109,3 @@ def numeral(n: Column) -> Column:
     hundreds = F.concat(F.repeat(F.lit(_HUNDREDS[4]), F.greatest(fours, F.lit(0)).cast("int")), pick(_HUNDREDS, h - 4 * F.greatest(fours, F.lit(0))))
     small = F.when(rest == 15, _ONES[9] + _ONES[6]).when(rest == 16, _ONES[9] + _ONES[7]).otherwise(F.concat(pick(_TENS, F.floor(rest / 10)), pick(_ONES, rest % 10)))
     return F.when((n > 0) & (n < 1000), F.concat(hundreds, small)).otherwise(n.cast("string"))
-
-
-# Markup of a verse, as ordered rules: (what, pattern, replacement). Pairs come before their parts.
-VERSE_RULES = [
-    ("footnote", r"(?s)<sup[^>]*>.*?</sup>\s*<i[^>]*class=\"footnote\"[^>]*>.*?</i>", ""),
-    ("paragraph mark", r"<span class=\"mam-spi-(?:pe|samekh)\">.*?</span>", ""),
-    ("line break", r"<br ?/?>", " "),
-    ("size tag", r"</?(?:big|small|b|i|span)[^>]*>", ""),
-    ("space entity", r"&(?:nbsp|thinsp);", " "),
-    ("ampersand", r"&amp;", "&"),
-]
-
-
-def plain_verse(html: Column) -> Column:
-    """A verse's text without its markup, spaces collapsed."""
-    return _collapse(reduce(lambda c, rule: F.regexp_replace(c, rule[1], rule[2]), VERSE_RULES, html))
-
-
-def is_clean_verse(text: Column) -> Column:
-    """Whether a parsed verse has nothing but Hebrew marks, letters and spaces."""
-    return text.rlike("^[֑-׿͏ ]*$")
-
-
-def written_read(html: Column) -> Column:
-    """Written and read forms, array<struct<k,q>>: pairs first, then read only, then written only (null where absent)."""
-    span = lambda kind: f"<span class=\"mam-kq-{kind}\">([^<]*)</span>"
-    pair = f"<span class=\"mam-kq\">\\s*{span('k')}\\s*{span('q')}\\s*</span>"
-    rest = F.regexp_replace(html, pair, "")
-    make = lambda k, q: F.struct(k.cast("string").alias("k"), q.cast("string").alias("q"))
-    strip = lambda x: F.regexp_replace(x, "[\\[\\]()]", "")
-    pairs = F.zip_with(F.regexp_extract_all(html, F.lit(pair), F.lit(1)), F.regexp_extract_all(html, F.lit(pair), F.lit(2)), lambda k, q: make(strip(k), strip(q)))
-    read = F.transform(F.regexp_extract_all(rest, F.lit(span("q")), F.lit(1)), lambda q: make(F.lit(None), strip(q)))
-    written = F.transform(F.regexp_extract_all(rest, F.lit(span("k")), F.lit(1)), lambda k: make(strip(k), F.lit(None)))
-    return F.concat(pairs, read, written)

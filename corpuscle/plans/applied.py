@@ -592,13 +592,12 @@ def read_overrides(t):
     return readers.overrides(t.spark, f"{path}/*/*").select(F.col("key").cast("long").alias("key"), "g", "pos")
 
 
-@query(f"""with c as (select conv_id, dense_rank() over (partition by conv_id % 8 order by conv_id) as ch, row_number() over (partition by conv_id order by turn) as v, {he_sql("replace(replace(text, chr(10), ' '), chr(34), '')")} as h from conversations)
+@query(f"""with c as (select conv_id, dense_rank() over (partition by conv_id % 8 order by conv_id) as ch, row_number() over (partition by conv_id order by turn) as v, {he_sql("translate(text, chr(10) || chr(34) || '<>&', ' ')")} as h from conversations)
     select conv_id % 8 as file, ch::int as ch, v::int as v, trim(regexp_replace(h || ' ' || h, ' +', ' ', 'g')) as text, regexp_matches(h, '^[' || chr(1425) || '-' || chr(1535) || ' ]*$') as clean from c""")
 def read_books(t):
     """A JSON for each book, verses with markup."""
-    h = he(F.translate("text", "\n\"", " "))
-    html = F.concat(F.lit("<b>"), h, F.lit('</b><sup class=\'x\'>1</sup><i class=\'footnote\'>note</i>&nbsp;<br><big>'), h, F.lit("</big>"))
-    html = F.replace(html, F.lit("'"), F.lit('"'))
+    h = he(F.translate("text", "\n\"<>&", " "))
+    html = F.concat(F.lit("<small>"), h, F.lit('</small><sup class="footnote-marker">1</sup><i class="footnote">note</i>&nbsp;<br><big>'), h, F.lit("</big>"))
     verses = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", html.alias("h")))), lambda x: x["h"]).alias("verses"))
     files = _as_files(verses, F.col("conv_id") % 8, "conv_id", F.to_json("verses"))
     whole = F.concat(F.lit('{"versions":[{"versionTitle":"An Edition","text":['), "body", F.lit("]}]}"))

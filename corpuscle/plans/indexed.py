@@ -1,13 +1,13 @@
 """Registered queries of the structures that stand in for scans: long alignments, the containment index, near spellings,
-compressed postings."""
+compressed postings, verses with annotations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.operators import alignment, compressed, containment, postings, spelling
-from corpuscle.plans.applied import ALL_MARKS, GREEK_PLAIN, _lexicon, gr_sql, he_sql
+from corpuscle.operators import alignment, compressed, containment, postings, spelling, verses
+from corpuscle.plans.applied import ALL_MARKS, GREEK_PLAIN, _lexicon, gr_sql, he, he_sql
 from corpuscle.plans.registry import TOKENS, query
 
 # ---- alignment of long texts
@@ -30,6 +30,43 @@ def align_documents(t):
     return some.join(checks, "doc_id")
 
 
+# ---- a verse's markup
+
+#: Forms of markup around a first word a and the others b, by a number: (markup, text, start, end, kind, value, problem)
+#: as templates; {a}, {b} and {k} (a without its first letter) are put in. Starts and ends are SQL over their lengths.
+FORMS = [
+    ('<small>{a}</small><br>{b}', "{a} {b}", "0", "la", "small", "", None),
+    ('{a} <span class="mam-kq"><span class="mam-kq-k">({k})</span> <span class="mam-kq-q">[{a}]</span></span> &nbsp;{b}', "{a} {a} {b}", "la + 1", "2 * la + 1", "pair", "{k}", None),
+    ('{a} <span class="mam-kq-k">({k}) </span> {b}', "{a} {b}", "la + 1", "la + 1", "written", "{k}", None),
+    ('{a}  <span class="mam-kq-q">[{a}]</span> <span class="mam-kq-trivial">{b}</span>', "{a} {a} {b}", "la + 1", "2 * la + 1", "read", "", None),
+    ('{a}<sup class="footnote-marker">*</sup><i class="footnote"> {k} </i> {b}', "{a} {b}", "la", "la", "note", "{k}", None),
+    ('{a}<b>׀</b><small>׀</small>{b} <span class="mam-spi-pe">{פ}</span>', "{a} ׀ ׀ {b}", "la + 5 + lb", "la + 5 + lb", "pe", "", None),
+    ('{a}<span class="mam-implicit-maqaf">־</span>{b}<span class="mam-spi-samekh">{ס}</span>', "{a}־{b}", "la + 1 + lb", "la + 1 + lb", "samekh", "", None),
+    ('{a} {b}<u>x</u><big>{a}</big>', "{a} {b}{a}", "la + 1 + lb", "2 * la + 1 + lb", "big", "", "u"),
+]
+
+
+def _form_sql(column: int) -> str:
+    value = lambda f: "null" if f is None else f if column in (2, 3) else "replace(replace(replace('" + f + "', '{a}', a), '{b}', b), '{k}', k)"
+    return "case " + " ".join(f"when form = {n} then {value(f[column])}" for n, f in enumerate(FORMS)) + " end"
+
+
+@query(f"""with w as (select conv_id, turn, list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda x: x <> '') as w from conversations),
+    h as (select conv_id, turn, (conv_id + turn) % {len(FORMS)} as form, {he_sql("w[1]")} as a, {he_sql("array_to_string(w[2:], ' ')")} as b from w where len(w) > 1), v as (select *, substr(a, 2) as k, length(a) as la, length(b) as lb from h)
+    select conv_id, turn, {_form_sql(1)} as text, ({_form_sql(2)})::int as start, ({_form_sql(3)})::int as "end", {_form_sql(4)} as kind, {_form_sql(5)} as value, coalesce({_form_sql(6)}, '') as problems from v""")
+def verse_annotations(t):
+    """Markup as text and annotations; what isn't known is a problem."""
+    w = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " "), lambda x: x != "")
+    rows = t.conversations.select("conv_id", "turn", w.alias("w")).where(F.size("w") > 1)
+    rows = rows.select("conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % len(FORMS)).alias("form"), he(F.col("w")[0]).alias("a"), he(F.array_join(F.slice("w", 2, F.size("w")), " ")).alias("b"))
+    html = F.get(F.array(*[F.lit(f[0]) for f in FORMS]), F.col("form").cast("int"))
+    for name, value in (("{a}", F.col("a")), ("{b}", F.col("b")), ("{k}", F.substring("a", 2, 1 << 20))):
+        html = F.replace(html, F.lit(name), value)
+    parsed = verses.with_verses(rows.select("conv_id", "turn", html.alias("html")), "html")
+    told = verses.annotations(parsed.withColumn("problems", F.array_join("problems", ",")), ["conv_id", "turn", "text", "problems"])
+    return told.where("kind <> 'small' or start = 0")
+
+
 # ---- search by an index
 
 #: A search, and what its rows are in SQL: ordinal, id, count, and whether they come first.

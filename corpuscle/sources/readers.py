@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import greek, hebrew
+from corpuscle.operators import verses
 
 TEXT_JSON = "versions array<struct<versionTitle:string,text:array<array<string>>>>"
 VERSE_XML = "_osisID string, w array<struct<_VALUE:string,_lemma:string,_morph:string,_type:string>>"
@@ -27,11 +28,13 @@ def hebrew_text(spark: SparkSession, path: str, edition: str) -> DataFrame:
     return chapters.select("book", (F.col("c") + 1).alias("ch"), F.posexplode("verses").alias("p", "html")).select("book", "ch", (F.col("p") + 1).alias("v"), "html")
 
 
-def parsed_verses(verses: DataFrame) -> DataFrame:
-    """verses with text, kq (written and read forms), pe, samekh (paragraph marks), absent, clean (nothing but Hebrew is left)."""
-    text = hebrew.plain_verse(F.col("html"))
-    marked = lambda name: F.col("html").contains(f'class="mam-spi-{name}"')
-    return verses.select("book", "ch", "v", text.alias("text"), hebrew.written_read(F.col("html")).alias("kq"), marked("pe").alias("pe"), marked("samekh").alias("samekh"), text.isin("", "—").alias("absent"), (hebrew.is_clean_verse(text) | (text == "—")).alias("clean"))
+def parsed_verses(found: DataFrame) -> DataFrame:
+    """book, ch, v, text, absent, annotations, problems, kq (written and read forms), pe, samekh, clean (without problems)."""
+    parsed = verses.with_verses(found, "html").drop("html")
+    of = lambda *kinds: F.filter("annotations", lambda a: a["kind"].isin(*kinds))
+    shown = lambda a: F.substring(F.col("text"), a["start"] + 1, a["end"] - a["start"])
+    forms = F.transform(of("pair", "read", "written"), lambda a: F.struct(F.nullif(a["value"], F.lit("")).alias("k"), F.nullif(shown(a), F.lit("")).alias("q")))
+    return parsed.withColumns({"kq": forms, "pe": F.size(of("pe")) > 0, "samekh": F.size(of("samekh")) > 0, "clean": F.size("problems") == 0})
 
 
 def hebrew_analysis(spark: SparkSession, path: str) -> DataFrame:

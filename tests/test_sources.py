@@ -6,10 +6,11 @@ from corpuscle.sources import readers, writers
 
 
 def test_hebrew_text(spark, tmp_path):
-    (tmp_path / "Gen.json").write_text(json.dumps({"versions": [{"versionTitle": "Some Edition", "text": [["א ב", "<b>ג</b>"], ["—"]]}]}))
+    (tmp_path / "Gen.json").write_text(json.dumps({"versions": [{"versionTitle": "Some Edition", "text": [["א ב", "<small>ג</small>", "<u>ד</u> x"], ["—"]]}]}))
     verses = readers.hebrew_text(spark, str(tmp_path), "Edition")
     rows = readers.parsed_verses(verses).orderBy("ch", "v").collect()
-    assert [(r.book, r.ch, r.v, r.text, r.absent, r.clean) for r in rows] == [("Gen", 1, 1, "א ב", False, True), ("Gen", 1, 2, "ג", False, True), ("Gen", 2, 1, "—", True, True)]
+    assert [(r.book, r.ch, r.v, r.text, r.absent, r.clean) for r in rows] == [("Gen", 1, 1, "א ב", False, True), ("Gen", 1, 2, "ג", False, True), ("Gen", 1, 3, "x", False, False), ("Gen", 2, 1, "", True, True)]
+    assert rows[2].problems == ["u", "character x"]
 
 
 def test_hebrew_analysis(spark, tmp_path):
