@@ -499,19 +499,20 @@ def index_round_trip(t):
     return t.spark.read.parquet(path).select("lang", "id", "count")
 
 
-@query("""select p_partkey // 100 as book_no, p_partkey % 10 + 1 as ch, p_partkey % 100 // 10 + 1 as v, 0::bigint as i, p_name as text, p_type as lemma, case when p_partkey % 2 = 0 then 'V-' else 'N-' end as pos, case when p_partkey % 2 = 0 then '3AAI-S--' end as parse from part where p_partkey < 10000""")
+@query("""select p_partkey // 10000 as file, p_partkey // 100 % 100 as book_no, p_partkey % 10 + 1 as ch, p_partkey % 100 // 10 + 1 as v, 0::bigint as i, p_name as text, p_type as lemma, case when p_partkey % 2 = 0 then 'V-' else 'N-' end as pos, case when p_partkey % 2 = 0 then '3AAI-S--' end as parse from part""")
 def read_seven_columns(t):
-    """S3: lines of seven columns, a sign of the apparatus before the word."""
+    """S3: lines of seven columns, a sign of the apparatus before the word; a folder of files for each hundred books."""
     k = F.col("p_partkey")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    code = F.concat(two(F.floor(k / 100)), two(k % 10 + 1), two(F.floor(k % 100 / 10) + 1))
+    code = F.concat(two(F.floor(k / 100) % 100), two(k % 10 + 1), two(F.floor(k % 100 / 10) + 1))
     word = F.replace("p_name", F.lit(" "), F.lit("_"))
     line = F.concat_ws(" ", code, F.when(k % 2 == 0, "V-").otherwise("N-"), F.when(k % 2 == 0, "3AAI-S--").otherwise("--------"), F.concat(F.lit("⸀"), word), word, word, F.replace("p_type", F.lit(" "), F.lit("_")))
     path = shared_folder(t.spark, "columns")
-    t.part.where("p_partkey < 10000").select(line.alias("value")).write.text(path)
-    got = readers.greek_text(t.spark, path)
+    t.part.select(F.floor(k / 10000).alias("hundred"), line.alias("value")).write.partitionBy("hundred").text(path)
+    got = readers.greek_text(t.spark, f"{path}/*/*")
     spaced = lambda c: F.replace(c, F.lit("_"), F.lit(" ")).alias(c)
-    return got.select(F.col("book_no").cast("long").alias("book_no"), F.col("ch").cast("long").alias("ch"), F.col("v").cast("long").alias("v"), F.col("i").cast("long").alias("i"), spaced("text"), spaced("lemma"), "pos", "parse")
+    numbers = [F.col(c).cast("long").alias(c) for c in ("book_no", "ch", "v", "i")]
+    return got.select(F.regexp_extract("file", "hundred=([0-9]+)", 1).cast("long").alias("file"), *numbers, spaced("text"), spaced("lemma"), "pos", "parse")
 
 
 @query("""select 'x' || p_partkey as osis, 0::bigint as i, p_name as word, p_partkey::varchar as lemma, case when p_partkey % 3 = 0 then '' else 'HNp' end as morph from part union all select 'x' || p_partkey, 1, p_type, '', '' from part""")
@@ -546,11 +547,10 @@ def read_numbers(t):
 
 @query("select 'G' || p_partkey as id, p_name as brief, p_type || ' \"x\"' as long from part")
 def read_gloss_table(t):
-    """S7."""
-    quoted = F.concat(F.lit('"'), "p_type", F.lit(' ""x"""'))
-    rows = t.part.select(F.concat_ws("\t", F.concat(F.lit("G"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")), F.lit("a"), F.lit("b"), "p_name", quoted).alias("value"))
+    """Files of a table, each with the heads of its columns."""
+    rows = t.part.select(F.concat(F.lit("G"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("strong"), F.lit("a").alias("c1"), F.lit("b").alias("c2"), F.col("p_name").alias("brief"), F.concat("p_type", F.lit(' "x"')).alias("long"))
     path = shared_folder(t.spark, "glosses")
-    t.spark.range(1).select(F.lit("strong\tc1\tc2\tbrief\tlong").alias("value")).unionByName(rows).coalesce(1).write.text(path)
+    writers.write_table(rows, path)
     return readers.gloss_table(t.spark, path)
 
 
@@ -640,12 +640,12 @@ def read_files(t):
     return found.where("length > 0").select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), F.col("length"))
 
 
-@query("select p_partkey as id, case p_partkey % 3 when 0 then 'n' || p_partkey when 1 then 'l' || p_partkey end as ref from part where p_partkey >= 100")
+@query("select p_partkey as id, case p_partkey % 3 when 0 then 'n' || p_partkey when 1 then 'l' || p_partkey end as ref from part")
 def full_entries(t):
     """By number, by letters, and one whose opening speaks against it."""
     k = F.col("p_partkey")
     letters = F.translate(k.cast("string"), "0123456789", "אבגדהזחטכל")
-    parts = t.part.where("p_partkey >= 100")
+    parts = t.part
     numbers = F.when(k % 3 == 0, F.array(k)).otherwise(F.array().cast("array<bigint>"))
     opening = F.when(k % 3 == 2, "vb. move").otherwise("n.m. stone")
     entries = parts.select(F.concat(F.when(k % 3 == 0, "n").otherwise("l"), k.cast("string")).alias("ref"), k.alias("ordinal"), numbers.alias("strongs"), letters.alias("cons"), F.lit(False).alias("aramaic"), opening.alias("html"), F.lit("words").alias("source"))
@@ -664,10 +664,16 @@ def canon_table(t):
     return found.join(last, "id").select(F.col("id").cast("long").alias("id"), F.col("n_chapters").cast("int").alias("n_chapters"), F.aggregate("verses", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_verses"))
 
 
-@query("select 'l' || p_partkey as name, case when p_partkey % 2 = 0 then 'open' end as licence from part where p_partkey < 5")
+@query("""select s_name as name, case when s_suppkey % 3 > 0 then 'licence ' || s_nationkey end as licence, 'https://site.example/' || s_suppkey as url, sha256(s_name || s_nationkey) as revision,
+      case when s_suppkey % 3 = 0 then 'licence' end as missing from supplier""")
 def source_descriptors(t):
-    """K5."""
-    return writers.descriptors(t.spark, [{"name": f"l{k}", **({"licence": "open"} if k % 2 == 0 else {})} for k in range(5)]).select("name", "licence")
+    """K5: a descriptor for each source, written as a file, read again and checked for what it lacks."""
+    k = F.col("s_suppkey")
+    licence = F.when(k % 3 > 0, F.concat(F.lit("licence "), F.col("s_nationkey").cast("string")))
+    sources = t.supplier.select(F.col("s_name").alias("name"), licence.alias("licence"), F.concat(F.lit("https://site.example/"), k.cast("string")).alias("url"), F.sha2(F.concat("s_name", F.col("s_nationkey").cast("string")), 256).alias("revision"))
+    path = shared_folder(t.spark, "descriptors")
+    writers.write_descriptors(sources, path)
+    return readers.descriptors(t.spark, path)
 
 
 @query("select doc_id as path, sha256(text) as sha256 from documents")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import greek, hebrew
 from corpuscle.operators import verses
+from corpuscle.sources import writers
 
 TEXT_JSON = "versions array<struct<versionTitle:string,text:array<array<string>>>>"
 VERSE_XML = "_osisID string, w array<struct<_VALUE:string,_lemma:string,_morph:string,_type:string>>"
@@ -201,3 +202,10 @@ def blocked_pairs(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("key"))
     parts = F.split("key", "\\|")
     return whole.where(F.size(parts) == 2).select(parts[0].alias("lemma"), parts[1].alias("target"))
+
+
+def descriptors(spark: SparkSession, path: str) -> DataFrame:
+    """name, licence, url, revision of the sources, and missing: which of the last three aren't told (null: none)."""
+    found = spark.read.schema(writers.DESCRIPTOR).json(path)
+    lacking = F.concat_ws(",", *[F.when(F.col(c).isNull(), c) for c in ("licence", "url", "revision")])
+    return found.withColumn("missing", F.nullif(lacking, F.lit("")))

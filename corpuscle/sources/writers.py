@@ -30,9 +30,18 @@ def write_index(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange(F.col("lang"), F.col("ordinal")).sortWithinPartitions("lang", "ordinal").write.partitionBy("lang").mode("overwrite").parquet(path)
 
 
-def descriptors(spark, sources: list[dict[str, str]]) -> DataFrame:
-    """name, licence, url, revision of the sources."""
-    return spark.createDataFrame([(s["name"], s.get("licence"), s.get("url"), s.get("revision")) for s in sources], "name string, licence string, url string, revision string")
+#: What is told of a source.
+DESCRIPTOR = "name string, licence string, url string, revision string"
+
+
+def write_descriptors(sources: DataFrame, path: str) -> None:
+    """A JSON object for each source, of the columns of DESCRIPTOR that it has; those without a value are left out."""
+    sources.select(*[F.col(c) for c in ("name", "licence", "url", "revision") if c in sources.columns]).write.json(path)
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """Tab-separated files, each with the columns' heads; quotes in values are doubled."""
+    rows.write.csv(path, sep="\t", header=True, quote='"', escape='"')
 
 
 def vocabulary_export(states: DataFrame, lookups: DataFrame, exported_at: str, n_blocks: int = 64) -> DataFrame:
