@@ -38,9 +38,24 @@ def parsed_verses(found: DataFrame) -> DataFrame:
     return parsed.withColumns({"kq": forms, "pe": F.size(of("pe")) > 0, "samekh": F.size(of("samekh")) > 0, "clean": F.size("problems") == 0})
 
 
+def elements(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """body, ordinal: the elements of a name in files of XML, each as its own text; ordinals are in order of file and place.
+
+    A large file is read by many tasks: the name's opening is what parts Spark's lines, so a task's stretch of a file
+    begins with the first element that opens in it. Elements of the name don't nest, and no other name begins with it.
+    What lies outside of them is passed over.
+    """
+    lines = spark.read.text(path, lineSep=f"<{name}")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    end = f"</{name}>"
+    body = F.when(F.col("value").contains(end), F.concat(F.substring_index("value", end, 1), F.lit(end))).otherwise(F.regexp_extract("value", r"^([^<>]*/>)", 1))
+    found = lines.select(body.alias("body"), place.alias("ordinal")).where(r"body rlike '^[\\s>/]'")
+    return found.select(F.concat(F.lit(f"<{name}"), "body").alias("body"), "ordinal")
+
+
 def hebrew_analysis(spark: SparkSession, path: str) -> DataFrame:
     """osis, i (from 0), word, lemma, morph of the words that are read; missing attributes are empty."""
-    verses = spark.read.format("xml").option("rowTag", "verse").schema(VERSE_XML).load(path)
+    verses = elements(spark, path, "verse").select(F.from_xml("body", VERSE_XML).alias("e")).select("e.*")
     kept = F.filter("w", lambda x: ~x["_type"].eqNullSafe("x-ketiv"))
     text = lambda c: F.coalesce(c, F.lit(""))
     return verses.select(F.col("_osisID").alias("osis"), F.posexplode(kept).alias("i", "x")).select("osis", "i", text("x._VALUE").alias("word"), text("x._lemma").alias("lemma"), text("x._morph").alias("morph"))
@@ -58,19 +73,19 @@ def greek_text(spark: SparkSession, path: str) -> DataFrame:
 
 def lexical_index(spark: SparkSession, path: str) -> DataFrame:
     """id (number, with its letter), bdb, pos, def, xlit, w, root, ordinal; several rows may have one id. Rows without a number go."""
-    raw = spark.read.format("xml").option("rowTag", "entry").schema(INDEX_XML).load(path).withColumn("ordinal", F.monotonically_increasing_id())
+    raw = elements(spark, path, "entry").select("ordinal", F.from_xml("body", INDEX_XML).alias("e")).select("ordinal", "e.*")
     key = F.concat_ws(" ", F.col("xref._strong"), F.nullif(F.col("xref._aug"), F.lit("")))
     return raw.where("xref._strong is not null").select(key.alias("id"), F.col("xref._bdb").alias("bdb"), "pos", "def", F.col("w._xlit").alias("xlit"), F.col("w._VALUE").alias("w"), F.col("etym._root").alias("root"), "ordinal")
 
 
 def outline(spark: SparkSession, path: str) -> DataFrame:
     """section, entry, type, is_root, w (first spelling), spellings (before the first part of speech or definition), defs, body, ordinal."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<section id=\"[^\"]*\".*?</section>"), F.lit(0))).alias("s", "section"))
-    entries = whole.select("s", F.regexp_extract("section", 'id="([^"]*)"', 1).alias("section"), F.posexplode(F.regexp_extract_all("section", F.lit(r"(?s)<entry [^>]*>.*?</entry>"), F.lit(0))).alias("e", "body"))
+    sections = elements(spark, path, "section").select(F.col("ordinal").alias("s"), F.col("body").alias("section"))
+    entries = sections.select("s", F.regexp_extract("section", 'id="([^"]*)"', 1).alias("section"), F.posexplode(F.regexp_extract_all("section", F.lit(r"(?s)<entry [^>]*>.*?</entry>"), F.lit(0))).alias("e", "body"))
     attribute = lambda name: F.regexp_extract("body", f'^<entry [^>]*{name}="([^"]*)"', 1)
     before = F.regexp_extract("body", r"(?s)^(.*?)(?:<pos>|<def>|$)", 1)
     spellings = F.regexp_extract_all(before, F.lit(r"<w[^>]*>([^<]*)</w>"), F.lit(1))
-    rows = entries.select("section", attribute("id").alias("entry"), attribute("type").alias("type"), F.get(F.regexp_extract_all("body", F.lit(r"<w[^>]*>([^<]*)</w>"), F.lit(1)), 0).alias("w"), spellings.alias("spellings"), F.regexp_extract_all("body", F.lit(r"<def>([^<]*)</def>"), F.lit(1)).alias("defs"), F.regexp_replace("body", r"(?s)^<entry [^>]*>|</entry>$", "").alias("body"), (F.col("s") * 100000 + F.col("e")).alias("ordinal"))
+    rows = entries.select("section", attribute("id").alias("entry"), attribute("type").alias("type"), F.get(F.regexp_extract_all("body", F.lit(r"<w[^>]*>([^<]*)</w>"), F.lit(1)), 0).alias("w"), spellings.alias("spellings"), F.regexp_extract_all("body", F.lit(r"<def>([^<]*)</def>"), F.lit(1)).alias("defs"), F.regexp_replace("body", r"(?s)^<entry [^>]*>|</entry>$", "").alias("body"), F.struct("s", "e").alias("ordinal"))
     from corpuscle.operators.matching import first_wins
 
     roots = first_wins(rows.where("type = 'root'").select("section", "ordinal", F.col("entry").alias("_root")), "section", "ordinal").select("section", "_root")
@@ -92,7 +107,7 @@ def gloss_table(spark: SparkSession, path: str) -> DataFrame:
 
 def tei_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """lemma, g, nt (occurrences), glosses, hebrew (array<struct<num,w>>), body, ordinal; the first entry of a lemma counts."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<entry n=\"[^\"]*\".*?</entry>"), F.lit(0))).alias("ordinal", "body"))
+    whole = elements(spark, path, "entry").where("body rlike '^<entry n=\"'")
     name = F.split(F.regexp_extract("body", 'n="([^"]*)"', 1), "\\|")
     refs = F.regexp_extract_all("body", F.lit(r'<ref target="H?([0-9]+)"[^>]*>[^<]*</ref>'), F.lit(1))
     forms = F.regexp_extract_all("body", F.lit(r'<ref target="H?[0-9]+"[^>]*>([^<]*)</ref>'), F.lit(1))

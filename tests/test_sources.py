@@ -117,3 +117,25 @@ def test_sheet_blocks_carry_on(spark, monkeypatch):
     sheet = spark.createDataFrame(rows, "row_no int, heb_sort double, verse_id string, word string, gloss string")
     got = {r.word: r.verse_id for r in readers.interlinear(sheet).collect()}
     assert got == {f"w{i}": "7" if i < 13 else "9" for i in range(2, 16)}
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    """Elements of one file, cut at any byte: each comes once, in order; what is empty, closed at once or outside counts as it stands."""
+    entries = [f'<entry n="w{i}|G{i}"><gloss>{"x" * (i % 700)}</gloss></entry>\n' if i % 9 else f'<entry n="w{i}"/>' for i in range(3000)]
+    (tmp_path / "a.xml").write_text("<tei><head>a</head>" + "".join(entries) + "<tail>z</tail></tei>")
+    (tmp_path / "b.xml").write_text("<tei>none</tei>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        found = readers.elements(spark, str(tmp_path), "entry")
+        assert found.rdd.getNumPartitions() > 10
+        assert [r.body for r in found.orderBy("ordinal").collect()] == [e.strip() for e in entries]
+        assert readers.tei_lexicon(spark, str(tmp_path)).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_descriptors_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "open", "u", "1"), ("b", None, "u", None)], writers.DESCRIPTOR)
+    writers.write_descriptors(rows, f"{tmp_path}/d")
+    assert sorted((r.name, r.licence, r.missing) for r in readers.descriptors(spark, f"{tmp_path}/d").collect()) == [("a", "open", None), ("b", None, "licence,revision")]
