@@ -1,19 +1,20 @@
 """A reader's vocabulary: one state per word key, changed by events in order.
 
 Kinds of events: lookup, encounter (once per key and visit), status (set it), known (the rest of a chapter is known).
-fold_event() is the one transition; the batch form folds each key's ordered events with it, the streaming form
-(corpuscle.streaming.vocabulary) applies it to stored state.
+fold_event() is the one transition; the streaming form (corpuscle.streaming.vocabulary) applies it to stored state. The
+batch form says the same as maps of statuses that Spark composes, without Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.session import kept
+
 #: Statuses by rank.
 STATUSES = ["new", "recognized", "familiar", "known", "automatic"]
 MOST_FORMS = 40
@@ -45,6 +46,8 @@ def fold_event(state: dict | None, event: dict, settings: Settings) -> dict | No
         if kind == "status" or kind == "encounter" and not settings.auto_known_after:
             return None
         state = fresh(event["key"], at, event.get("gloss"))
+    if kind == "status" and event["status"] not in STATUSES:
+        return state
     if kind == "lookup":
         state["lookups"] += 1
         state["last_lookup_at"] = at
@@ -76,32 +79,110 @@ def fold_event(state: dict | None, event: dict, settings: Settings) -> dict | No
     return state
 
 
+#: Events of a key that are folded in one row, and maps of blocks that are.
+BLOCK = 1024
+
+
 def fold_vocabulary(events: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One state row per key from events (key, kind, at long, seq long, form, chapter, status, gloss), in order of (at, seq).
 
-    Keys are folded as sorted streams of rows: a task holds one state at a time, whatever the number of a key's events.
+    It is what fold_event makes of each key's events, without folding them one by one. Events are dealt by ranges of (key, at,
+    seq) and numbered, so a key with very many events lies in many blocks of BLOCK events. What an event does to the
+    status is a map of the five statuses, once it is known how many lookups and encounters came before: sums over blocks
+    tell. Maps compose, so each block becomes one map, blocks of blocks become one, and a key's last map, from its first
+    event on, tells its status. All else are counts, firsts and lasts, which combine before they are shuffled.
+
+    Events whose key, kind or time is null, and statuses that aren't among STATUSES, do nothing.
     """
     settings = settings or Settings()
-    columns = ["key", "kind", "at", "seq", "form", "chapter", "status", "gloss"]
-    for name in columns:
-        if name not in events.columns:
-            events = events.withColumn(name, F.lit(None).cast("string"))
-    ordered = events.select(*columns).where("key is not null").repartition("key").sortWithinPartitions("key", "at", "seq")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, done = None, None, []
-        for batch in batches:
-            for event in batch.to_dict("records"):
-                if event["key"] != key:
-                    done += [state] if state else []
-                    key, state = event["key"], None
-                state = fold_event(state, {k: None if isinstance(v, float) and v != v else v for k, v in event.items()}, settings)
-            if len(done) > 5000:
-                yield _frame(done)
-                done = []
-        yield _frame(done + ([state] if state else []))
-
-    return ordered.mapInPandas(fold, STATE)
+    columns = {"key": "string", "kind": "string", "at": "long", "seq": "long", "form": "string", "chapter": "string", "status": "string", "gloss": "string"}
+    have = [(F.col(c) if c in events.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()]
+    told = events.select(*have).where("key is not null and at is not null").where(F.col("kind").isin("lookup", "encounter", "known") | F.col("status").isin(STATUSES) & (F.col("kind") == "status"))
+    order = ["key", "at", "seq"]
+    rows = told.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id())
+    rows = kept(rows.withColumn("block", F.floor(F.col("n") / BLOCK)), "vocabulary-events")
+    live = _since_made(rows, settings)
+    made = F.col("n") == F.col("made")
+    lookup, encounter = F.col("kind") == "lookup", F.col("kind") == "encounter"
+
+    counted = live.groupBy("key").agg(
+        F.count_if(lookup).alias("lookups"), F.count_if(encounter | (made & (F.col("kind") == "known"))).alias("encounters"),
+        F.min_by(F.when(lookup, F.col("at")), F.when(lookup, F.col("n"))).alias("first_lookup_at"), F.max_by(F.when(lookup, F.col("at")), F.when(lookup, F.col("n"))).alias("last_lookup_at"),
+        F.min_by("at", "n").alias("created_at"), F.min_by("gloss", F.when((made | lookup) & (F.col("gloss") != ""), F.col("n"))).alias("gloss"),
+    )
+    last = _composed(live, settings).select("key", F.col("map")[0].alias("m"))
+    out = counted.join(last, "key").join(_distinct_in_order(live, "form", "forms", MOST_FORMS), "key", "left").join(_distinct_in_order(live, "chapter", "chapters"), "key", "left")
+    empty = F.array().cast("array<string>")
+    fields = {
+        "status": F.get(F.array(*map(F.lit, STATUSES)), F.col("m.to")), "forms": F.coalesce("forms", empty), "chapters": F.coalesce("chapters", empty), "updated_at": F.col("m.updated"),
+        "status_changed_at": F.col("m.changed"), "gloss": F.coalesce("gloss", F.lit("")), "promoted": F.col("m.promoted"),
+    }
+    names = [part.split()[0] for part in STATE.split(", ")]
+    return out.select(*[fields.get(c, F.col(c)).alias(c) for c in names])
+
+
+def _since_made(rows: DataFrame, settings: Settings) -> DataFrame:
+    """The events from each key's first one on that makes it (n = made), with the lookups and encounters before their block.
+
+    A key's blocks are far fewer than its events: only they meet by key.
+    """
+    makes = F.col("kind").isin(["lookup", "known", *(["encounter"] if settings.auto_known_after else [])])
+    blocks = rows.groupBy("key", "block").agg(F.min(F.when(makes, F.col("n"))).alias("made"), F.count_if(F.col("kind") == "lookup").alias("lookups"), F.count_if(F.col("kind") == "encounter").alias("encounters"))
+    whole = Window.partitionBy("key")
+    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    told = blocks.select("key", "block", F.min("made").over(whole).alias("made"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lookups", "encounters")])
+    return kept(rows.join(told, ["key", "block"]).where("n >= made"), "vocabulary-live")
+
+
+def _composed(live: DataFrame, settings: Settings) -> DataFrame:
+    """key, map: what all of a key's events do to each status (the first event makes it, whatever was before)."""
+    here = Window.partitionBy("key", "block").orderBy("n")
+    earlier = F.sum((F.col("kind") == "lookup").cast("int")).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    met = F.sum((F.col("kind") == "encounter").cast("int")).over(here)
+    fresh_yet = F.col("lookups_before") + F.coalesce(earlier, F.lit(0)) == 0  # never looked up
+    due = F.lit(settings.auto_known_after > 0) & (F.col("encounters_before") + met >= settings.auto_known_after)
+    new, recognized, automatic = (STATUSES.index(x) for x in ("new", "recognized", "automatic"))
+    # an event as: from which statuses it leads (a bit each) and where to, whether it counts although nothing changes, whether it promotes
+    only_new, any_status, looked_at = 1 << new, (1 << len(STATUSES)) - 1, 1 << new | 1 << automatic
+    kind, made, marks = F.col("kind"), F.col("n") == F.col("made"), settings.lookup_marks_recognized
+    given = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")).cast("int") - 1
+    made_as = F.when(kind == "known", automatic).when((kind == "lookup") & F.lit(marks), recognized).otherwise(new)
+    leads = F.when(made | (kind == "status"), any_status).when(kind == "lookup", looked_at if marks else 0).when((kind == "encounter") & fresh_yet & due, only_new).when((kind == "known") & fresh_yet, only_new).otherwise(0)
+    to = F.when(made, made_as).when(kind == "status", given).when(kind == "lookup", recognized).otherwise(automatic)
+    event = F.struct("n", F.col("at"), leads.alias("leads"), to.cast("int").alias("to"), (made | (kind != "known")).alias("counts"), (~made & (kind == "encounter")).alias("promotes"))
+    each = live.select("key", "block", event.alias("e"))
+
+    nothing = F.lit(None).cast("long")
+    stay = F.array(*[_step(F.lit(i), nothing, nothing, F.lit(0)) for i in range(len(STATUSES))])
+    after = lambda one: lambda done, e: F.transform(done, lambda d: one(d, e))
+
+    def by_event(d, e):
+        moves = F.call_function("shiftright", e["leads"], d["to"]).bitwiseAND(F.lit(1)) == 1
+        return _step(F.when(moves, e["to"]).otherwise(d["to"]), F.when(moves, e["at"]).otherwise(d["changed"]), F.when(moves | e["counts"], e["at"]).otherwise(d["updated"]), d["promoted"] + (moves & e["promotes"]).cast("int"))
+
+    def by_map(d, e):
+        m = F.get(e["map"], d["to"])
+        return _step(m["to"], F.coalesce(m["changed"], d["changed"]), F.coalesce(m["updated"], d["updated"]), d["promoted"] + m["promoted"])
+
+    maps = each.groupBy("key", "block").agg(F.array_sort(F.collect_list("e")).alias("es")).select("key", "block", F.aggregate("es", stay, after(by_event)).alias("map"))
+    maps = kept(maps, "vocabulary-maps")
+    while maps.groupBy("key").count().where("count > 1").limit(1).count():
+        groups = maps.groupBy("key", F.floor(F.col("block") / BLOCK).alias("up")).agg(F.array_sort(F.collect_list(F.struct("block", "map"))).alias("es"))
+        maps = kept(groups.select("key", F.col("up").alias("block"), F.aggregate("es", stay, after(by_map)).alias("map")), "vocabulary-maps")
+    return maps
+
+
+def _step(to: Column, changed: Column, updated: Column, promoted: Column) -> Column:
+    """What becomes of a status: where it leads, when it last changed and was last touched (null: not here), promotions."""
+    return F.struct(to.cast("int").alias("to"), changed.cast("long").alias("changed"), updated.cast("long").alias("updated"), promoted.cast("long").alias("promoted"))
+
+
+def _distinct_in_order(live: DataFrame, value: str, out: str, most: int | None = None) -> DataFrame:
+    """key, out: a lookup's different values that aren't empty, in order of their first events; the first ``most`` of them."""
+    firsts = live.where((F.col("kind") == "lookup") & (F.coalesce(value, F.lit("")) != "")).groupBy("key", value).agg(F.min("n").alias("n"))
+    if most is not None:
+        firsts = firsts.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("n"))).where(F.col("_rank") <= most)
+    return firsts.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", value))), lambda x: x[value]).alias(out))
 
 
 def _frame(states: list[dict]) -> pd.DataFrame:

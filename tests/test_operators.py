@@ -196,16 +196,29 @@ def test_vocabulary_transitions():
     assert looked["status"] == "new" and fold_event(looked, event("known", 2), on)["status"] == "new"
 
 
-def test_fold_in_batches_is_the_fold(spark):
-    rng = random.Random(2)
-    rows = [(f"k{rng.randint(0, 5)}", rng.choice(["lookup", "encounter", "status", "known"]), rng.randint(0, 50), i, rng.choice(["a", "b", None]), "c", "familiar", "") for i in range(400)]
-    df = spark.createDataFrame(rows, "key string, kind string, at long, seq long, form string, chapter string, status string, gloss string")
+@pytest.mark.parametrize("block", [2, 3, 1024])
+@pytest.mark.parametrize("settings", [Settings(), Settings(auto_known_after=0), Settings(auto_known_after=2, lookup_marks_recognized=False), Settings(auto_known_after=1)])
+def test_composed_maps_are_the_fold(spark, monkeypatch, block, settings):
+    """All fields of all states, for keys of one event and of hundreds, at every block size; no Python worker takes part."""
+    monkeypatch.setattr(vocabulary, "BLOCK", block)
+    rng = random.Random(block)
+    kinds = ["lookup", "encounter", "encounter", "encounter", "status", "known", "other", None]
+    rows = [(f"k{min(rng.randint(0, 40), rng.randint(0, 40)) // 2 if i % 3 else 0}", rng.choices(kinds, [1 + i % 2, 3, 3, 3, 1, 1, 1, 1])[0], rng.randint(0, 50), i, rng.choice(["a", "b", f"f{i}", "", None]), rng.choice(["c", "d", None]), rng.choice([*vocabulary.STATUSES, "odd", None]), rng.choice(["", "g", None, f"g{i}"])) for i in range(260)]
+    df = spark.createDataFrame([*rows, (None, "lookup", 1, 1, "a", "c", None, "")], "key string, kind string, at long, seq long, form string, chapter string, status string, gloss string")
     expected = {}
     for r in sorted(rows, key=lambda r: (r[2], r[3])):
-        expected[r[0]] = fold_event(expected.get(r[0]), dict(zip(df.columns, r, strict=True)), Settings())
-    got = {r.key: r for r in vocabulary.fold_vocabulary(df).collect()}
-    for key, state in expected.items():
-        assert (got[key].status, got[key].lookups, got[key].encounters, got[key].forms, got[key].first_lookup_at) == (state["status"], state["lookups"], state["encounters"], state["forms"], state["first_lookup_at"])
+        if r[1] in ("lookup", "encounter", "status", "known"):
+            state = fold_event(expected.get(r[0]), dict(zip(df.columns, r, strict=True)), settings)
+            expected.update({r[0]: state} if state else {})
+    folded = vocabulary.fold_vocabulary(df.repartition(3), settings)
+    assert {r.key: r.asDict() for r in folded.collect()} == expected
+    assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_key_with_many_events_is_spread(spark):
+    events = spark.range(30_000).select(F.lit("hot").alias("key"), F.when(F.col("id") % 3 == 0, "lookup").otherwise("encounter").alias("kind"), F.col("id").alias("at"), F.col("id").alias("seq"))
+    state = vocabulary.fold_vocabulary(events).first()
+    assert (state.lookups, state.encounters, state.status, state.updated_at, state.status_changed_at) == (10_000, 20_000, "recognized", 29_999, 0)
 
 
 def test_progress_is_monotone(spark):
