@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,44 @@ def must_hold(df: DataFrame, rule: Column, message: str) -> DataFrame:
     return df.where(F.assert_true(rule, message).isNull())
 
 
+class GateError(ValueError):
+    """A written table broke gates; counts says how often each."""
+
+    def __init__(self, broken: dict[str, int]):
+        super().__init__("broken: " + ", ".join(f"{name} by {n} rows" for name, n in sorted(broken.items())))
+        self.counts = broken
+
+
+def write_checked(df: DataFrame, path: str, must: dict[str, Column], told: dict[str, Column] | None = None, least_rows: int = 0) -> dict[str, int]:
+    """Write df as Parquet to path if no row breaks a gate of must; returns how many rows there are ("rows"), and how many
+    break each gate of must and of told.
+
+    The gates are counted while the rows are written, in the same pass. They are written beside path and moved there
+    only once all gates hold, so a reader of path sees a whole table that passed, or none: a gate that breaks leaves
+    nothing. least_rows is a gate on the number of rows. path must not exist yet.
+    """
+    told = told or {}
+    spark, observed = df.sparkSession, Observation(f"gates-{uuid.uuid4().hex}")
+    target, pending = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path.rstrip('/')}-pending-{uuid.uuid4().hex}"))
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.exists(target):
+        raise FileExistsError(path)
+    counted = [F.count_if(F.coalesce(rule, F.lit(False))).alias(name) for name, rule in (must | told).items()]
+    try:
+        df.observe(observed, F.count(F.lit(1)).alias("rows"), *counted).write.parquet(pending.toString())
+        counts = observed.get
+        broken = {name: counts[name] for name in must if counts[name]}
+        if counts["rows"] < least_rows:
+            broken["rows"] = least_rows - counts["rows"]
+        if broken:
+            raise GateError(broken)
+        if not files.rename(pending, target):
+            raise FileExistsError(path)
+        return counts
+    finally:
+        files.delete(pending, True)
+
+
 def low_coverage(chapters: DataFrame, floor: float = 0.6, least_words: int = 20) -> Column:
     """Whether a chapter (words, own, joint) aligns nothing, or too little of 20 words or more."""
     covered = F.col("own") + F.col("joint")

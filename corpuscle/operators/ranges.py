@@ -8,18 +8,66 @@ from pyspark.sql import functions as F
 from corpuscle.session import kept
 
 
+#: Rules that may be broadcast; levels of dyadic blocks.
+MOST_RULES, LEVELS = 100_000, 63
+
+
 def first_rule(rows: DataFrame, rules: DataFrame, equal: list[str], place: str, key: str) -> DataFrame:
     """rows with the columns of the first rule that matches, null where none does.
 
-    rules (a small table, broadcast): equal columns, rule_no, lo, hi, and others; it matches where the equal columns are
-    equal and place is in lo .. hi. The equal columns make this a hash join; the range is a filter on it.
+    rules: equal columns, rule_no, lo, hi, and others; a rule matches where the equal columns are equal and place is in
+    lo .. hi. Up to MOST_RULES rules are broadcast: the equal columns make it a hash join, and the range is a filter on
+    it. More rules go by dyadic blocks (``first_rule_by_blocks``), which needs no broadcast and compares no pairs.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        return first_rule_by_blocks(rows, rules, equal, place)
     rest = [c for c in rules.columns if c not in equal]
     hits = rows.select(key, place, *equal).join(F.broadcast(rules.select(*equal, *rest)), equal).where(F.col(place).between(F.col("lo"), F.col("hi")))
     best = hits.groupBy(key).agg(F.min_by(F.struct(*rest), "rule_no").alias("_r"))
     return rows.join(best, key, "left").select(*rows.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def _shift(c: Column, bits: Column) -> Column:
+    """floor(c / 2 ** bits) of a long, negative ones too."""
+    return F.call_function("shiftright", c, bits)
+
+
+def dyadic_blocks(lo: Column, hi: Column) -> Column:
+    """array<struct<level,block>>: a range of integers as blocks of 2 ** level numbers that don't overlap, two a level at most."""
+    lo, end = lo.cast("long"), hi.cast("long") + 1
+
+    def at(k: Column) -> Column:
+        first, behind = -_shift(-lo, k), _shift(end, k)  # of the blocks of this level that lie within the range
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        # blocks whose pair isn't within the range as a whole; all others are part of a block of the next level
+        left = F.when((first < behind) & odd(first), first)
+        right = F.when((F.when(odd(first), first + 1).otherwise(first) < behind) & odd(behind), behind - 1)
+        return F.transform(F.array_compact(F.array(left, right)), lambda b: F.struct(k.alias("level"), b.alias("block")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+
+
+def first_rule_by_blocks(rows: DataFrame, rules: DataFrame, equal: list[str], place: str) -> DataFrame:
+    """first_rule for rule tables of any size. A range is a few dyadic blocks, of rules that share a block only the first
+    counts, and a place lies in one block of each level: so it's a join by equality with one rule a block at most.
+
+    Only different places are looked up, on as many levels as the rules have. Ranges end below 2 ** 62.
+    """
+    rest = [c for c in rules.columns if c not in equal]
+    blocks = rules.where("lo <= hi").select(*equal, F.struct(*rest).alias("_r"), F.explode(dyadic_blocks(F.col("lo"), F.col("hi"))).alias("_b"))
+    tree = kept(blocks.groupBy(*equal, "_b").agg(F.min_by("_r", "_r.rule_no").alias("_r")), "rule-blocks")
+    levels = sorted(r[0] for r in tree.select("_b.level").distinct().collect())  # 63 at most
+    p = F.col(place).cast("long")
+    places = rows.select(*equal, p.alias("_p")).dropna().distinct()
+    if not levels:
+        return rows.select("*", *[F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in rest])
+    on = F.transform(F.array(*map(F.lit, levels)), lambda k: F.struct(k.alias("level"), _shift(F.col("_p"), k).alias("block")))
+    hits = places.select("*", F.explode(on).alias("_b")).join(tree, [*equal, "_b"])
+    best = hits.groupBy(*equal, "_p").agg(F.min_by("_r", "_r.rule_no").alias("_r"))
+    found = rows.withColumn("_p", p).join(best, [*equal, "_p"], "left")
+    return found.select(*rows.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def shifted(place: Column, lo: Column, to: Column) -> Column:
     """Where a run of rules puts a place: to is where lo goes; without a rule it stays."""
     return F.coalesce(to + (place - lo), place)

@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.operators import alignment, compressed, containment, postings, spelling, verses
+from corpuscle.functions import markup, registered
+from corpuscle.operators import alignment, compressed, containment, postings, quality, ranges, rendering, sanitize, spelling, verses
 from corpuscle.plans.applied import ALL_MARKS, GREEK_PLAIN, _lexicon, gr_sql, he, he_sql
 from corpuscle.plans.registry import TOKENS, query
+from corpuscle.session import shared_folder
 
 # ---- alignment of long texts
 
@@ -134,3 +136,72 @@ def word_pairs(t):
     blocks = _blocks(t)
     common = [r.token for r in blocks.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(2).collect()]
     return compressed.phrase(blocks, common[1], common[0])
+
+
+# ---- rules, gates and SQL functions
+
+
+@query("""with h as (select o_orderkey, l_orderkey * 10 + l_linenumber as rule_no, row_number() over (partition by o_orderkey order by l_orderkey * 10 + l_linenumber) as n
+      from orders join lineitem on o_orderstatus = l_linestatus and o_orderkey between l_orderkey - l_quantity::bigint and l_orderkey + 2 * l_quantity::bigint)
+    select o.o_orderkey, h.rule_no::bigint as rule_no from orders o left join h on h.o_orderkey = o.o_orderkey and h.n = 1""")
+def many_range_rules(t):
+    """J5 with as many rules as there are order lines, by dyadic blocks: nothing is broadcast."""
+    k, q = F.col("l_orderkey"), F.col("l_quantity").cast("long")
+    rules = t.lineitem.select(F.col("l_linestatus").alias("o_orderstatus"), (k * 10 + F.col("l_linenumber")).cast("long").alias("rule_no"), (k - q).alias("lo"), (k + 2 * q).alias("hi"))
+    return ranges.first_rule_by_blocks(t.orders.select("o_orderkey", "o_orderstatus"), rules, ["o_orderstatus"], "o_orderkey").select("o_orderkey", "rule_no")
+
+
+@query("""select 'rows' as gate, count(*)::bigint as n, count(*)::bigint as written from pages union all select 'markup', count(*) filter (where html like '%<%'), (select count(*) from pages) from pages
+    union all select 'no address', count(*) filter (where coalesce(url, '') = ''), (select count(*) from pages) from pages union all select 'long', count(*) filter (where length(html) > 2000), (select count(*) from pages) from pages""")
+def checked_write(t):
+    """Q1, Q4, K6: gates are counted in the pass that writes; the table is there only if those that must hold do."""
+    path = shared_folder(t.spark, "checked")
+    counts = quality.write_checked(t.pages, path, {"no address": F.coalesce("url", F.lit("")) == ""}, {"markup": F.col("html").contains("<"), "long": F.length("html") > 2000})
+    return t.rows(sorted(counts.items()), "gate string, n long").crossJoin(t.spark.read.parquet(path).agg(F.count("*").alias("written")))  # one row
+
+
+@query(f"""with w as (select conv_id, turn, list_distinct({TOKENS}) as d, {TOKENS} as a from conversations), f as (select conv_id, turn, unnest(a) as x, unnest(range(len(a))) as p from w), g as (select conv_id, turn, x, min(p) as p from f group by all),
+    b as (select conv_id, turn, row_number() over (partition by conv_id, turn order by p) - 1 as i from g), k as (select *, i % 5 = 3 as gone, sum((i % 5 <> 3)::int) over (partition by conv_id, turn order by i) - 1 as j from b)
+    select conv_id, turn, i::int as base_place, case when gone then -1 else j end::int as other_place, i::bigint as n_before from k""")
+def sql_functions(t):
+    """X-UDF: called from SQL, the table function by partitions and in order, the words by a native function."""
+    registered.register(t.spark)
+    t.conversations.createOrReplaceTempView("corpuscle_conversations")
+    return t.spark.sql("""
+        with words as (select conv_id, turn, posexplode(array_distinct(regexp_extract_all(lower(text), '[a-z]+', 0))) as (i, word) from corpuscle_conversations),
+        sides as (select conv_id, turn, 0 as side, i as place, word from words union all select conv_id, turn, 1, i, word from words where i % 5 <> 3)
+        select conv_id, turn, base_place, other_place, cast(size(hebrew_tokens(repeat('x ', base_place))) as long) as n_before
+        from aligned_words(table(sides) partition by (conv_id, turn) order by (side, place))""")
+
+
+# ---- senses
+
+
+@query("""select page_id, '<div class="sense"><span class="n">1</span> <a data-ref="Site.' || (page_id % 9 + 1) || '.2">' || page_id || '</a> <span>z</span><div class="sense"><b>w' || page_id || '</b> <b>s</b></div></div><div class="sense"><span class="he-inline">v</span></div>' as html,
+      'Site.' || (page_id % 9 + 1) || '.2' as target from pages""")
+def rendered_senses(t):
+    """H3, H4: nested senses with links to passages, links elsewhere, and right-to-left words."""
+    k = F.col("page_id").cast("string")
+    place = F.concat(F.lit("The Site "), (F.col("page_id") % 9 + 1).cast("string"), F.lit(":2-7"))
+    first = F.concat(F.lit('<a data-ref="'), place, F.lit('" href="/x">'), k, F.lit('</a>\n <a data-ref="Tob 1" href="/y">z</a>'))
+    inner = F.concat(F.lit('<big><big><span dir="rtl">w'), k, F.lit("</span></big></big> <strong>s</strong>"))
+    sense = lambda number, text, *more: F.struct(number.alias("number"), text.alias("definition"), *more)
+    nested = F.array(sense(F.lit(None).cast("string"), inner))
+    content = F.to_json(F.struct(F.array(sense(F.lit("1"), first, nested.alias("senses")), sense(F.lit(""), F.lit('<span dir="rtl">v</span>'), F.array().cast(nested_type()).alias("senses"))).alias("senses")))
+    html = rendering.with_rendered_senses(t.pages.select("page_id", content.alias("content")), "content", {"The Site": "Site"}).select("page_id", "html")
+    return html.withColumn("target", F.get(F.filter(rendering.links(F.col("html")), lambda x: x["kind"] == "ref"), 0)["target"])
+
+
+def nested_type() -> str:
+    return "array<struct<number:string,definition:string>>"
+
+
+@query("select page_id, true as safe, true as again, true as balanced, 0::bigint as n_unsafe from pages")
+def sanitized_properties(t):
+    """H1, H2, Q8: what is written is safe, stays when it is sanitised again, and closes what it opens."""
+    tags = lambda c, p: F.size(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
+    clean = t.pages.select("page_id", sanitize.sanitize("html").alias("html"))
+    flags = markup.unsafe_flags(F.col("html"))
+    unsafe = sum((flags[f].cast("int") for f in ("tag", "handler", "style", "link")), F.lit(0)).cast("long")
+    balanced = tags(F.col("html"), "<[a-z]+[^>]*>") - tags(F.col("html"), "<br>") == tags(F.col("html"), "</[a-z]+>")
+    return clean.select("page_id", markup.is_safe(F.col("html")).alias("safe"), (sanitize.sanitize("html") == F.col("html")).alias("again"), balanced.alias("balanced"), unsafe.alias("n_unsafe"))
