@@ -177,6 +177,23 @@ def dictionary_entry(spark: SparkSession, path: str, lang: str, shard: str, key:
     return spark.read.parquet(path).where((F.col("lang") == lang) & (F.col("shard") == shard) & (F.col("id") == key))
 
 
+#: Keys that may be broadcast.
+MOST_KEYS = 100_000
+
+
+def dictionary_entries(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """wanted (lang, shard, id and more) with the entries of a sharded lexicon; keys that it doesn't have stay, with nulls.
+
+    Of a bounded number of keys only their shards' folders are read.
+    """
+    entries = spark.read.parquet(path)
+    asked = wanted.select("lang", F.col("shard").cast(entries.schema["shard"].dataType).alias("shard"), "id").distinct()
+    few = asked.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    found = entries.join(F.broadcast(asked) if few else asked, ["lang", "shard", "id"])
+    more = wanted.withColumn("shard", F.col("shard").cast(entries.schema["shard"].dataType))
+    return more.join(found, ["lang", "shard", "id"], "left")
+
+
 def with_context(words: DataFrame, context: DataFrame | None) -> DataFrame:
     """words with context, null where there is none (or no context at all)."""
     if context is None:
