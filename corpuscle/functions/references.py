@@ -1,7 +1,7 @@
 """Passage references over a canon table: parsing, validity, labels, neighbours.
 
 A canon is a DataFrame (id, lang, en, section, verses array<int>, idx int), one row per book in order; aliases a
-DataFrame (alias, id). Both are small tables of fixed size and are broadcast.
+DataFrame (alias, id). Both are small tables, which are broadcast if their rows are few.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.session import broadcast_if_few
+
 # A book's number, the word that may stand inside its name, and what parts chapter and verse.
 BOOK_NUMBERS, INNER_WORD, PARTING = ["1", "2", "3"], "of", [":", ".", ","]
 
@@ -45,7 +47,7 @@ def parsed_ref(tokens: Column) -> Column:
 def parse_refs(df: DataFrame, text_col: str, canon: DataFrame, aliases: DataFrame) -> DataFrame:
     """df with book, ch, v: of what text_col says, or all null. A name may be an alias or an id; the chapter is 1 if it isn't told."""
     names = aliases.select("alias", "id").unionByName(canon.select(F.lower("id").alias("alias"), "id").join(aliases, "alias", "left_anti"))
-    known = F.broadcast(names.join(canon.select("id", "verses"), "id"))
+    known = broadcast_if_few(names.join(canon.select("id", "verses"), "id"))
     told = df.withColumn("_tokens", ref_tokens(F.col(text_col))).withColumn("_ref", parsed_ref(F.col("_tokens")))
     ch, v = (F.col(f"_ref.{x}").try_cast("int") for x in ("ch", "v"))
     joined = told.withColumns({"_ch": F.when(F.col("_ref.ch").isNull(), 1).otherwise(ch), "_v": v})
@@ -92,7 +94,7 @@ def route(verses: Column, ch: Column, v: Column, word_count: Column, i: Column)
 
 def book_facts(df: DataFrame, book_col: str, canon: DataFrame) -> DataFrame:
     """df with lang (he for an unknown book), book_no (its place from 0; -1), n_chapters (0)."""
-    known = F.broadcast(canon.select(F.col("id").alias("_id"), "lang", F.col("idx").alias("book_no"), F.size("verses").alias("n_chapters")))
+    known = broadcast_if_few(canon.select(F.col("id").alias("_id"), "lang", F.col("idx").alias("book_no"), F.size("verses").alias("n_chapters")))
     joined = df.join(known, F.col(book_col) == F.col("_id"), "left").drop("_id")
     unknown = {"lang": "he", "book_no": -1, "n_chapters": 0}
     return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in unknown.items()})

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import greek, hebrew
 from corpuscle.operators import search
-from corpuscle.session import kept, shared_folder
+from corpuscle.session import broadcast_if_few, kept, shared_folder
 
-#: Letters of a gram; shorter searches look for grams of their own length. Candidates that may be broadcast.
-GRAM, MOST_BROADCAST = 3, 100_000
+#: Letters of a gram; shorter searches look for grams of their own length.
+GRAM = 3
 #: Postings of a file.
 FILE_ROWS = 5_000_000
 
@@ -121,6 +121,5 @@ class ContainmentIndex:
     def search(self, query: str, **how) -> DataFrame:
         """As search.search over all rows."""
         found = kept(self.candidates(query).distinct(), "candidates")
-        few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-        rows = self.rows.join(F.broadcast(found) if few else found, "ordinal", "left_semi").select(*self.rows.columns)
+        rows = self.rows.join(broadcast_if_few(found), "ordinal", "left_semi").select(*self.rows.columns)
         return search.search(rows, query, **how)

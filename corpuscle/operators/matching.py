@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.session import broadcast_if_few
+
 
 def first_of(df: DataFrame, by: list[str], order: list, keep: str = "_rank") -> DataFrame:
     """The first row of each group by the order given."""
@@ -62,7 +64,7 @@ def reconcile(lemmas: DataFrame, targets: DataFrame, lemma: str, target: str, or
     keys = tried.select(lemma, "_at", F.explode(F.array(F.struct(F.lit(0).alias("_how"), F.col("_form").alias("_k")), F.struct(F.lit(1).alias("_how"), fold(F.col("_form")).alias("_k")))).alias("_x")).select(lemma, "_at", "_x.*")
     hits = keys.join(exact.unionByName(folded), ["_how", "_k"]).groupBy(lemma).agg(F.min_by("_t", F.struct("_at", "_how")).alias(target))
     if blocked is not None:
-        hits = hits.join(F.broadcast(blocked), [lemma, target], "left_anti")
+        hits = hits.join(broadcast_if_few(blocked), [lemma, target], "left_anti")
     return asked.join(hits, lemma, "left")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.session import broadcast_if_few
+
 WORD = "[a-z]+"
 
 
@@ -95,7 +97,7 @@ def labelled(rows: DataFrame, canon: DataFrame, book: str, ch: str, v: str, here
     """A concordance's positions with label ('Name 3:4') and here: whether it is where the reader is."""
     from corpuscle.functions.references import ref_label
 
-    names = F.broadcast(canon.select(F.col("id").alias("_id"), F.col("en").alias("_en")))
+    names = broadcast_if_few(canon.select(F.col("id").alias("_id"), F.col("en").alias("_en")))
     joined = rows.join(names, F.col(book) == F.col("_id"), "left")
     return joined.withColumns({"label": ref_label(F.col("_en"), F.col(book), F.col(ch), F.col(v)), "here": F.coalesce(here, F.lit(False))}).drop("_id", "_en")
 

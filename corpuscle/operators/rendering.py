@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from corpuscle.operators.elements import Element, Node, pieces, rewritten, tree, written
 from corpuscle.operators.sanitize import sanitize_text
+from corpuscle.session import broadcast_if_few
 
 #: What an element becomes: (tag, class, {attribute: attribute it comes from}). None: it goes with its content; "": only
 #: its tags go. A tuple with a condition first asks for an attribute that matches. Tables are tried in order.
@@ -170,6 +171,6 @@ def routed(df: DataFrame, html: str, key: str, canon: DataFrame, xref: DataFrame
     """
     each = df.select(key, F.explode(links(F.col(html))).alias("l")).select(key, "l.*")
     book = F.regexp_extract(F.substring_index("target", "-", 1), r"^(\w+)\.[0-9]+", 1)
-    known = each.join(F.broadcast(canon.select(F.col("id").alias("_book"))), (F.col("kind") == "ref") & (book == F.col("_book")), "left").join(xref.select(F.col("bdb").alias("_bdb"), F.size("options").alias("_n")), (F.col("kind") == "bdb") & (F.col("target") == F.col("_bdb")), "left")
+    known = each.join(broadcast_if_few(canon.select(F.col("id").alias("_book"))), (F.col("kind") == "ref") & (book == F.col("_book")), "left").join(xref.select(F.col("bdb").alias("_bdb"), F.size("options").alias("_n")), (F.col("kind") == "bdb") & (F.col("target") == F.col("_bdb")), "left")
     route = F.when(F.col("_book").isNotNull(), "read").when(F.col("kind") == "he", "word").when(F.col("_n") == 1, "word").when(F.col("_n") > 1, "choice").otherwise("none")
     return known.select(key, "kind", "target", route.alias("route"))

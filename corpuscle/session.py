@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def attach(spark: SparkSession) -> SparkSession:
@@ -33,6 +34,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of a table that may be broadcast.
+MOST_BROADCAST = 100_000
+
+
+def broadcast_if_few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, marked for a broadcast if it has few rows: they are counted first, and more of them are left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage is cut, and lost executors cost their own tasks."""
     path = shared_folder(df.sparkSession, name)

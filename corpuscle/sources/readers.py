@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import greek, hebrew
 from corpuscle.operators import verses
+from corpuscle.session import broadcast_if_few
 from corpuscle.sources import writers
 
 TEXT_JSON = "versions array<struct<versionTitle:string,text:array<array<string>>>>"
@@ -144,7 +145,7 @@ def interlinear(rows: DataFrame, sort: str = "heb_sort") -> DataFrame:
     last = blocks.groupBy("_block").agg(F.max_by(told, F.when(told.isNotNull(), F.col("row_no"))).alias("_last"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("_block", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    filled = filled.join(F.broadcast(carried), "_block").withColumn("verse", F.coalesce("verse", "_carried"))
+    filled = filled.join(broadcast_if_few(carried), "_block").withColumn("verse", F.coalesce("verse", "_carried"))
     return filled.where(f"verse is not null and coalesce(word, '') <> '' and {sort} is not null").select(F.col("verse").alias("verse_id"), F.col(sort).alias("sort"), "word", "gloss")
 
 
@@ -177,10 +178,6 @@ def dictionary_entry(spark: SparkSession, path: str, lang: str, shard: str, key:
     return spark.read.parquet(path).where((F.col("lang") == lang) & (F.col("shard") == shard) & (F.col("id") == key))
 
 
-#: Keys that may be broadcast.
-MOST_KEYS = 100_000
-
-
 def dictionary_entries(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """wanted (lang, shard, id and more) with the entries of a sharded lexicon; keys that it doesn't have stay, with nulls.
 
@@ -188,8 +185,7 @@ def dictionary_entries(spark: SparkSession, path: str, wanted: DataFrame) -> Dat
     """
     entries = spark.read.parquet(path)
     asked = wanted.select("lang", F.col("shard").cast(entries.schema["shard"].dataType).alias("shard"), "id").distinct()
-    few = asked.limit(MOST_KEYS + 1).count() <= MOST_KEYS
-    found = entries.join(F.broadcast(asked) if few else asked, ["lang", "shard", "id"])
+    found = entries.join(broadcast_if_few(asked), ["lang", "shard", "id"])
     more = wanted.withColumn("shard", F.col("shard").cast(entries.schema["shard"].dataType))
     return more.join(found, ["lang", "shard", "id"], "left")
 

@@ -44,8 +44,14 @@ def write_table(rows: DataFrame, path: str) -> None:
     rows.write.csv(path, sep="\t", header=True, quote='"', escape='"')
 
 
-def vocabulary_export(states: DataFrame, lookups: DataFrame, exported_at: str, n_blocks: int = 64) -> DataFrame:
-    """One JSON document per block of keys, so no task gathers all: {exportedAt, lexemes, lookups}. Large histories take more blocks."""
+#: Rows of an export's block in the mean.
+EXPORT_ROWS = 50_000
+
+
+def vocabulary_export(states: DataFrame, lookups: DataFrame, exported_at: str, n_blocks: int | None = None) -> DataFrame:
+    """One JSON document per block of keys, so no task gathers all: {exportedAt, lexemes, lookups}. There are as many blocks
+    as the rows need, if no number is given."""
+    n_blocks = n_blocks or 1 + (states.count() + lookups.count()) // EXPORT_ROWS
     block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block")
     lexemes = states.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(*states.columns))).alias("lexemes"))
     events = lookups.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(*lookups.columns))).alias("lookups"))
