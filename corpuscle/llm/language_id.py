@@ -35,8 +35,9 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """n-gram counts (texts x DIM), and each text's letters."""
     folded = [t.lower() for t in texts]
     lens = np.array([len(t) + 1 for t in folded])
-    codes = np.frombuffer((" " + " ".join(folded)).encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(texts)), lens)
+    # each text stands between blanks, the last one too, so what is counted of it doesn't depend on its neighbours
+    codes = np.frombuffer(" ".join(["", *folded, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.append(np.repeat(np.arange(len(texts)), lens), len(texts) - 1)
     small = codes < 0x10000
     letter = np.where(small, _LETTERS[np.where(small, codes, 0)], False)
     for i in np.flatnonzero(~small):
@@ -196,7 +197,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                 some = half[lo : lo + 256]
                 own = (model.vectors(dense(some)) @ fitted.T).max(1)
                 np.minimum.at(least, length_class(np.array([r[1] for r in some])), own)
-    # a class without a passage is held against no more than the next longer one that has some, and the shorter ones
+    # a class is held against no more than any longer one; one without a passage rejects nothing
     model.least = REJECT * np.where(np.isinf(least), 0.0, np.minimum.accumulate(least[::-1])[::-1])
     return model
 
