@@ -18,8 +18,11 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir. A session on this machine alone may go without that setting."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Where neither is set, a session on this machine alone (as in tests) gets one of its own; a cluster doesn't.
+    """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
@@ -28,9 +31,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
         found = context._jsc.sc().getCheckpointDir().get()
-    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jpath = context._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jpath)
+    return found.rstrip("/")
+
+
+def folder(spark: SparkSession, path: str):
+    """A path as Hadoop has it, and its file system."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jpath, files = folder(spark, path)
+    files.deleteOnExit(jpath)
     return path
 
 
