@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.session import folder, shared_dir  # noqa: F401  (shared_dir is part of what operators may use)
+from corpuscle.session import shared_folder as shared_path
+
 U64 = np.uint64
 #: Odd multipliers of 64 bits for mixing; any odd numbers do.
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -25,45 +26,14 @@ MOST_HEAVY = 250_000
 PART_ROWS, LEAST_PARTS = 500_000, 8
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
-
-    Where neither is set, a session on this machine alone (as in tests) gets one of its own; a cluster doesn't.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not found and set_to.isDefined():
-        found = set_to.get()
-    if not found and spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found.rstrip("/")
-
-
-def _folder(spark: SparkSession, path: str):
-    """The Hadoop path and its file system."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath, jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder; it goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jpath, files = _folder(spark, path)
-    files.deleteOnExit(jpath)
-    return path
-
-
 def listed(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder; none if there is no such folder."""
-    jpath, files = _folder(spark, path)
+    jpath, files = folder(spark, path)
     return [x.getPath().getName() for x in files.listStatus(jpath)] if files.exists(jpath) else []
 
 
 def deleted(spark: SparkSession, path: str) -> None:
-    jpath, files = _folder(spark, path)
+    jpath, files = folder(spark, path)
     files.delete(jpath, True)
 
 
