@@ -120,13 +120,13 @@ def compressed_postings(t):
 
 
 @query(f"""with w as (select doc_id, unnest({TOKENS}) as token from documents), c as (select token, count(*) as n from w group by 1), o as (select token, row_number() over (order by n desc, token) as r from c),
-    two as (select doc_id as doc, count(*) filter (where r = 2) as n_one, count(*) filter (where r = 12) as n_other from w join o using (token) where r in (2, 12) group by 1)
+    two as (select doc_id as doc, count(*) filter (where r = 1) as n_one, count(*) filter (where r = 8) as n_other from w join o using (token) where r in (1, 8) group by 1)
     select doc, n_one::bigint as n_one, n_other::bigint as n_other from two where n_one > 0 and n_other > 0""")
 def two_words(t):
-    """A1: documents with the second and the twelfth of all words, by skip entries."""
+    """A1: documents with the first and the eighth of all words, by skip entries."""
     blocks = _blocks(t)
-    common = [r.token for r in blocks.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(12).collect()]
-    return compressed.documents_with(blocks, common[1], common[11])
+    common = [r.token for r in blocks.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(8).collect()]
+    return compressed.documents_with(blocks, common[0], common[7])
 
 
 @query(f"""with w as (select doc_id, unnest({TOKENS}) as token, unnest(range(len({TOKENS}))) as i from documents), c as (select token, count(*) as n from w group by 1), o as (select token, row_number() over (order by n desc, token) as r from c),
