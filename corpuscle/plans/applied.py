@@ -547,8 +547,9 @@ def read_numbers(t):
 
 @query("select 'G' || p_partkey as id, p_name as brief, p_type || ' \"x\"' as long from part")
 def read_gloss_table(t):
-    """Files of a table, each with the heads of its columns."""
-    rows = t.part.select(F.concat(F.lit("G"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("strong"), F.lit("a").alias("c1"), F.lit("b").alias("c2"), F.col("p_name").alias("brief"), F.concat("p_type", F.lit(' "x"')).alias("long"))
+    """Files of a table, each with the heads of its columns. Numbers have six places, or as many as they need."""
+    k = F.col("p_partkey").cast("string")
+    rows = t.part.select(F.concat(F.lit("G"), F.lpad(k, F.greatest(F.length(k), F.lit(6)), F.lit("0"))).alias("strong"), F.lit("a").alias("c1"), F.lit("b").alias("c2"), F.col("p_name").alias("brief"), F.concat("p_type", F.lit(' "x"')).alias("long"))
     path = shared_folder(t.spark, "glosses")
     writers.write_table(rows, path)
     return readers.gloss_table(t.spark, path)

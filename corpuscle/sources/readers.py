@@ -103,7 +103,7 @@ def gloss_table(spark: SparkSession, path: str) -> DataFrame:
     """id (G and number), brief, long; rows without a number go."""
     rows = spark.read.schema(GLOSS_TSV).csv(path, sep="\t", quote='"', escape='"', header=True)
     n = F.regexp_extract("strong", "([0-9]+)", 1)
-    return rows.where(n != "").select(F.concat(F.lit("G"), n.cast("int")).alias("id"), "brief", "long")
+    return rows.where(n != "").select(F.concat(F.lit("G"), F.regexp_replace(n, "^0+(?=.)", "")).alias("id"), "brief", "long")
 
 
 def tei_lexicon(spark: SparkSession, path: str) -> DataFrame:
