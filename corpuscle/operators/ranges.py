@@ -32,39 +32,57 @@ def _shift(c: Column, bits: Column) -> Column:
     return F.call_function("shiftright", c, bits)
 
 
+def _top_level(lo: Column, end: Column) -> Column:
+    """A block isn't longer than its range: no level beyond the length's logarithm (and one, as that is rounded) has any."""
+    return F.least(F.floor(F.log2((end - lo).cast("double"))).cast("int") + 1, F.lit(LEVELS - 1))
+
+
+def _blocks_at(lo: Column, end: Column, k: Column) -> Column:
+    """array<long>: the blocks of level k, null for none; the first and the last that aren't part of one of the next level."""
+    first, behind = -_shift(-lo, k), _shift(end, k)  # of the blocks of this level that lie within the range
+    odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    # blocks whose pair isn't within the range as a whole; all others are part of a block of the next level
+    left = F.when((first < behind) & odd(first), first)
+    right = F.when((F.when(odd(first), first + 1).otherwise(first) < behind) & odd(behind), behind - 1)
+    return F.array(left, right)
+
+
 def dyadic_blocks(lo: Column, hi: Column) -> Column:
     """array<struct<level,block>>: a range of integers as blocks of 2 ** level numbers that don't overlap, two a level at most."""
     lo, end = lo.cast("long"), hi.cast("long") + 1
+    at = lambda k: F.transform(F.array_compact(_blocks_at(lo, end, k)), lambda b: F.struct(k.alias("level"), b.alias("block")))
+    return F.when(end > lo, F.flatten(F.transform(F.sequence(F.lit(0), _top_level(lo, end)), at))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
 
-    def at(k: Column) -> Column:
-        first, behind = -_shift(-lo, k), _shift(end, k)  # of the blocks of this level that lie within the range
-        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
-        # blocks whose pair isn't within the range as a whole; all others are part of a block of the next level
-        left = F.when((first < behind) & odd(first), first)
-        right = F.when((F.when(odd(first), first + 1).otherwise(first) < behind) & odd(behind), behind - 1)
-        return F.transform(F.array_compact(F.array(left, right)), lambda b: F.struct(k.alias("level"), b.alias("block")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+def with_blocks(rules: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, _level, _block: a row for each of the dyadic blocks of lo .. hi, as dyadic_blocks has them, by plain columns."""
+    ends = rules.where("lo <= hi").select(*keep, F.col("lo").cast("long").alias("_lo"), (F.col("hi").cast("long") + 1).alias("_end"))
+    levels = ends.select("*", F.explode(F.sequence(F.lit(0), _top_level(F.col("_lo"), F.col("_end")))).alias("_level"))
+    return levels.select(*keep, "_level", F.explode(_blocks_at(F.col("_lo"), F.col("_end"), F.col("_level"))).alias("_block")).where("_block is not null")
 
 
 def first_rule_by_blocks(rows: DataFrame, rules: DataFrame, equal: list[str], place: str) -> DataFrame:
     """first_rule for rule tables of any size. A range is a few dyadic blocks, of rules that share a block only the first
     counts, and a place lies in one block of each level: so it's a join by equality with one rule a block at most.
 
-    Only different places are looked up, on as many levels as the rules have. Ranges end below 2 ** 62.
+    Only different places are looked up, on as many levels as the rules have; till a place's first rule is known, rules
+    are their numbers. Neither side of a join is broadcast, as Spark guesses sizes from before rows are exploded. Ranges
+    end below 2 ** 62.
     """
     rest = [c for c in rules.columns if c not in equal]
-    blocks = rules.where("lo <= hi").select(*equal, F.struct(*rest).alias("_r"), F.explode(dyadic_blocks(F.col("lo"), F.col("hi"))).alias("_b"))
-    tree = kept(blocks.groupBy(*equal, "_b").agg(F.min_by("_r", "_r.rule_no").alias("_r")), "rule-blocks")
-    levels = sorted(r[0] for r in tree.select("_b.level").distinct().collect())  # 63 at most
+    tree = kept(with_blocks(rules, [*equal, "rule_no"]).groupBy(*equal, "_level", "_block").agg(F.min("rule_no").alias("_no")), "rule-blocks")
+    levels = sorted(r[0] for r in tree.select("_level").distinct().collect())  # 63 at most
     p = F.col(place).cast("long")
     places = rows.select(*equal, p.alias("_p")).dropna().distinct()
     if not levels:
         return rows.select("*", *[F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in rest])
-    on = F.transform(F.array(*map(F.lit, levels)), lambda k: F.struct(k.alias("level"), _shift(F.col("_p"), k).alias("block")))
-    hits = places.select("*", F.explode(on).alias("_b")).join(tree, [*equal, "_b"])
-    best = hits.groupBy(*equal, "_p").agg(F.min_by("_r", "_r.rule_no").alias("_r"))
-    found = rows.withColumn("_p", p).join(best, [*equal, "_p"], "left")
+    asked = places.select("*", F.explode(F.array(*map(F.lit, levels))).alias("_level")).withColumn("_block", _shift(F.col("_p"), F.col("_level")))
+    hits = asked.hint("merge").join(tree.hint("merge"), [*equal, "_level", "_block"])
+    first = hits.groupBy(*equal, "_p").agg(F.min("_no").alias("rule_no"))
+    # numbers may repeat: of the first one's rules, one that matches
+    told = first.hint("merge").join(rules.hint("merge"), [*equal, "rule_no"]).where(F.col("_p").between(F.col("lo"), F.col("hi")))
+    best = told.groupBy(*equal, "_p").agg(F.min(F.struct(*rest)).alias("_r"))
+    found = rows.withColumn("_p", p).hint("merge").join(best.hint("merge"), [*equal, "_p"], "left")
     return found.select(*rows.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from corpuscle.operators import ranges, spelling
 from corpuscle.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +14,25 @@ def test_glosses_of_numbers_beyond_six_places(spark, tmp_path):
     numbers = F.element_at(F.array(*[F.lit(n) for n in (7, 1_234_567, 12_345_678_901)]), F.row_number().over(readers.Window.orderBy("p_partkey"))).cast("long")
     part.withColumn("p_partkey", numbers).write.parquet(str(tmp_path / "part.parquet"))
     assert {r.id for r in __spark_entry__.queries()["read_gloss_table"](spark, str(tmp_path)).collect()} == {"G7", "G1234567", "G12345678901"}
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_by_blocks_broadcast_nothing_and_have_few_levels(spark):
+    rules = spark.createDataFrame([("a", 3, 1, 9, "x"), ("a", 2, 5, 5, "y"), ("a", 2, 20, 30, "z"), ("a", 1, 9, 8, "none"), ("b", 1, -4, 2**40, "w")], "s string, rule_no long, lo long, hi long, told string")
+    rows = spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "a", 21), (4, "b", -4), (5, "b", 2**40), (6, "b", -5), (7, "a", None), (8, None, 5)], "id long, s string, p long")
+    found = ranges.first_rule_by_blocks(rows, rules, ["s"], "p")
+    assert "Broadcast" not in planned(found)
+    assert {(r.id, r.told) for r in found.collect()} == {(1, "y"), (2, "x"), (3, "z"), (4, "w"), (5, "w"), (6, None), (7, None), (8, None)}
+    blocks = lambda df: {(r.rule_no, r.told, *b) for r in df.collect() for b in r.b}
+    plainly = {tuple(r) for r in ranges.with_blocks(rules, ["rule_no", "told"]).collect()}
+    assert plainly == blocks(rules.withColumn("b", ranges.dyadic_blocks(F.col("lo"), F.col("hi"))))
+    assert spark.range(1).select(F.size(F.sequence(F.lit(0), ranges._top_level(F.lit(5).cast("long"), F.lit(12).cast("long"))))).first()[0] <= 4
+
+
+def test_near_pairs_broadcast_no_keys(spark):
+    words = spark.createDataFrame([("spell",), ("spelt",), ("spill",)], "w string")
+    found = spelling.near_pairs(words, "w", 1)
+    assert "Broadcast" not in planned(found) and found.count() == 2
