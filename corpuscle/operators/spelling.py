@@ -95,7 +95,8 @@ def near_pairs(words: DataFrame, word: str, distance: int) -> DataFrame:
     Null and empty words have no partner; repeated words count once.
     """
     x, y = _sides(words, word, distance)
-    near = x.join(y, ["initial", "key"]).where("x <> y").withColumn("distance", F.levenshtein("x", "y", distance)).where("distance >= 0")
+    # not broadcast: Spark guesses the sides' sizes by the words', which have some hundred keys each
+    near = x.hint("merge").join(y.hint("merge"), ["initial", "key"]).where("x <> y").withColumn("distance", F.levenshtein("x", "y", distance)).where("distance >= 0")
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
 
 
