@@ -82,7 +82,9 @@ def lexical_index(spark: SparkSession, path: str) -> DataFrame:
 def outline(spark: SparkSession, path: str) -> DataFrame:
     """section, entry, type, is_root, w (first spelling), spellings (before the first part of speech or definition), defs, body, ordinal."""
     sections = elements(spark, path, "section").select(F.col("ordinal").alias("s"), F.col("body").alias("section"))
-    entries = sections.select("s", F.regexp_extract("section", 'id="([^"]*)"', 1).alias("section"), F.posexplode(F.regexp_extract_all("section", F.lit(r"(?s)<entry [^>]*>.*?</entry>"), F.lit(0))).alias("e", "body"))
+    # a section's own columns first: beside posexplode they would be made again, from the whole section, for each entry
+    listed = sections.select("s", F.regexp_extract("section", 'id="([^"]*)"', 1).alias("section"), F.regexp_extract_all("section", F.lit(r"(?s)<entry [^>]*>.*?</entry>"), F.lit(0)).alias("entries"))
+    entries = listed.select("s", "section", F.posexplode("entries").alias("e", "body"))
     attribute = lambda name: F.regexp_extract("body", f'^<entry [^>]*{name}="([^"]*)"', 1)
     before = F.regexp_extract("body", r"(?s)^(.*?)(?:<pos>|<def>|$)", 1)
     spellings = F.regexp_extract_all(before, F.lit(r"<w[^>]*>([^<]*)</w>"), F.lit(1))
