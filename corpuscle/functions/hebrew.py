@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 POINTS = "[֑-ֽֿ-ׂׄ-ׇ͏]"
 CANTILLATION = "[֑-ֽ֯׀]"
 MAQAF, PASEQ, SOF_PASUQ = "־", "׀", "׃"
-LETTER = "[א-ת]"
+LETTERS = "א-ת"
+LETTER = f"[{LETTERS}]"
 #: Letters that a printed form may carry before its lemma.
 PROCLITICS = "ובכלמהש"
 MATRES = "וי"
@@ -90,15 +91,13 @@ def lemma_id(c: Column) -> Column:
 def split_by_letters(word: Column, counts: Column) -> Column:
     """Pieces of a word with so many letters each, marks with the letter before them; null if the counts don't add up.
 
-    One pass over the characters: each character's piece follows from the number of letters up to it.
+    One pattern cuts the word at its letters, and a piece is a slice of what it finds: linear in the word's length.
     """
-    chars = F.filter(F.split(word, ""), lambda ch: ch != "")
+    # a letter with the marks behind it; marks before the first letter belong to it too
+    units = F.regexp_extract_all(word, F.lit(f"(?s)(?:^[^{LETTERS}]+)?[{LETTERS}][^{LETTERS}]*"), F.lit(0))
     ends = F.aggregate(counts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    # marks before the first letter belong to the first piece
-    upto = F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.greatest(F.lit(1), F.size(F.filter(F.slice(chars, 1, i), is_letter))))
-    piece = lambda k: F.array_join(F.filter(F.transform(F.arrays_zip(chars.alias("c"), upto.alias("n")), lambda z: F.when((z["n"] > F.get(ends, k)) & (z["n"] <= F.get(ends, k + 1)), z["c"])), lambda x: x.isNotNull()), "")
-    total = F.size(F.filter(chars, is_letter))
-    return F.when((total == F.element_at(ends, -1)) & (total > 0), F.transform(F.sequence(F.lit(0), F.size(counts) - 1), piece))
+    cut = F.transform(F.arrays_zip(counts.alias("n"), F.slice(ends, 1, F.size(counts)).alias("at")), lambda z: F.array_join(F.slice(units, F.greatest(z["at"], F.lit(0)) + 1, F.greatest(z["n"], F.lit(0))), ""))
+    return F.when((F.size(units) == F.element_at(ends, -1)) & (F.size(units) > 0), cut)
 
 
 def numeral(n: Column) -> Column:

@@ -1,8 +1,12 @@
 """What larger tables bring: long numbers, large groups, joins that mustn't be broadcast, batches of bounded size."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from corpuscle.functions import hebrew
 from corpuscle.operators import ranges, spelling
 from corpuscle.sources import readers
 
@@ -36,3 +40,20 @@ def test_near_pairs_broadcast_no_keys(spark):
     words = spark.createDataFrame([("spell",), ("spelt",), ("spill",)], "w string")
     found = spelling.near_pairs(words, "w", 1)
     assert "Broadcast" not in planned(found) and found.count() == 2
+
+
+def test_outline_makes_a_sections_columns_once(spark, tmp_path):
+    (tmp_path / "o.xml").write_text('<section id="b0"><entry id="e1" type="root"><w>x</w><def>y</def></entry><entry id="e2"><w>z</w></entry></section>')
+    found = readers.outline(spark, str(tmp_path / "o.xml"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    made = re.search(r'regexp_extract\([a-z]+#\d+, id="', plan)
+    assert made and plan.index("Generate posexplode") < made.start()  # below: once a section, not once an entry
+    assert {(r.section, r.entry, r.is_root) for r in found.collect()} == {("b0", "e1", True), ("b0", "e2", False)}
+
+
+def test_long_words_are_cut_in_linear_time(spark):
+    word = "ַא" + "בָּ" * 4000
+    df = spark.createDataFrame([(word, [1, 4000]), (word, [1, 3]), ("־", [0]), ("אב", [0, 2]), (None, [1])], "w string, n array<int>")
+    begun = time.monotonic()
+    found = [r.p for r in df.select(hebrew.split_by_letters(F.col("w"), F.col("n")).alias("p")).collect()]
+    assert found == [[word[:2], word[2:]], None, None, ["", "אב"], None] and time.monotonic() - begun < 10
