@@ -44,17 +44,23 @@ def _lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _texts() -> dict[str, Column]:
+    """What grams are taken from. They are columns of their own: within substrings() a text would be made anew for each letter."""
+    he, gr = F.col("lang") == "he", F.col("lang") == "gr"
+    return {"_skeleton": F.when(he, hebrew.skeleton(F.col("lemma"))), "_folded": F.when(gr, greek.fold(F.col("lemma"))), "_gloss": F.lower("gloss"), "_word": _lower(F.col("gloss")), "_sound": F.lower("transliteration")}
+
+
 def _kinds() -> dict[str, Column]:
-    """For each route of the search the grams that a row is found by."""
+    """For each route of the search the grams that a row is found by, of columns as _texts has them."""
     he, gr = F.col("lang") == "he", F.col("lang") == "gr"
     none = F.array().cast("array<string>")
     number = F.when(he, F.array(F.concat(F.lit("H"), F.substring_index("id", " ", 1)))).otherwise(F.array("strong"))
     return {
-        "skeleton": F.when(he, substrings(hebrew.skeleton(F.col("lemma")))).otherwise(none),
-        "folded": F.when(gr, substrings(greek.fold(F.col("lemma")))).otherwise(none),
-        "word": word_prefixes(_lower(F.col("gloss"))),
-        "gloss": substrings(F.lower("gloss")),
-        "sound": prefixes(F.lower("transliteration")),
+        "skeleton": F.when(he, substrings(F.col("_skeleton"))).otherwise(none),
+        "folded": F.when(gr, substrings(F.col("_folded"))).otherwise(none),
+        "word": word_prefixes(F.col("_word")),
+        "gloss": substrings(F.col("_gloss")),
+        "sound": prefixes(F.col("_sound")),
         "number": number,
     }
 
@@ -80,7 +86,7 @@ class ContainmentIndex:
         rows.sortWithinPartitions("ordinal").write.parquet(f"{path}/rows")
         rows = spark.read.parquet(f"{path}/rows")
         grams = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in _kinds()]), F.array(*_kinds().values()))).alias("kind", "grams")
-        each = rows.select("ordinal", grams).select("kind", F.explode("grams").alias("gram"), "ordinal").where("gram is not null")
+        each = rows.withColumns(_texts()).select("ordinal", grams).select("kind", F.explode("grams").alias("gram"), "ordinal").where("gram is not null")
         by = ["kind", "gram", "ordinal"]
         each.repartitionByRange(*by).sortWithinPartitions(*by).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/postings")
         return cls(spark, path)
