@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from corpuscle.session import kept, shared_folder
 
 BLOCK = 128
+#: Blocks that are decoded at once: a batch's would be millions of positions.
+OPENED = 1024
 SCHEMA = "token string, n int, first_doc long, last_doc long, data binary"
 
 
@@ -117,9 +119,7 @@ def _cut(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(at, OPENED) for b in batches for at in range(0, b.num_rows, OPENED)):
         n, first = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])
         doc, place = _places(from_bytes(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)), starts, first)
