@@ -3,11 +3,12 @@
 import re
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from corpuscle.functions import hebrew
-from corpuscle.operators import ranges, spelling
+from corpuscle.functions import batches, hebrew
+from corpuscle.operators import alignment, compressed, ranges, spelling
 from corpuscle.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +58,42 @@ def test_long_words_are_cut_in_linear_time(spark):
     begun = time.monotonic()
     found = [r.p for r in df.select(hebrew.split_by_letters(F.col("w"), F.col("n")).alias("p")).collect()]
     assert found == [[word[:2], word[2:]], None, None, ["", "אב"], None] and time.monotonic() - begun < 10
+
+
+def test_a_batchs_values_are_not_all_python_objects_at_once():
+    alive, most = set(), 0
+
+    class Made(str):
+        def __del__(self):
+            alive.discard(id(self))
+
+    def f(x):
+        nonlocal most
+        made = Made(x)
+        alive.add(id(made))
+        most = max(most, len(alive))
+        return made
+
+    assert batches.by_slices(pa.array([str(i) for i in range(5000)]), f, pa.string()).to_pylist() == [str(i) for i in range(5000)]
+    assert most <= batches.SLICE + 1 and batches.by_slices(pa.array([], pa.string()), f, pa.string()).to_pylist() == []
+
+
+def test_blocks_are_opened_a_few_at_a_time():
+    n = 3 * compressed.OPENED + 1
+    rows = pa.table([pa.array(["w"] * n * 2), pa.array([i // 2 for i in range(2 * n)]), pa.array([i % 2 for i in range(2 * n)], pa.int32())], names=["token", "doc", "place"])
+    blocks = pa.RecordBatch.from_arrays([c.combine_chunks() for c in pa.Table.from_batches([b for at in range(0, 2 * n, 2) for b in compressed._cut(rows.slice(at, 2))]).columns], names=["token", "n", "first_doc", "last_doc", "data"])
+    assert blocks.num_rows == n
+    opened = list(compressed._open(iter([blocks.select(["token", "n", "first_doc", "data"])])))
+    assert max(b.num_rows for b in opened) <= 2 * compressed.OPENED and pa.Table.from_batches(opened).equals(rows)
+
+
+def test_rows_of_a_lattice_are_made_once_where_they_fit(monkeypatch):
+    made = []
+    above = alignment.Lattice.above
+    monkeypatch.setattr(alignment.Lattice, "above", lambda self, row, word: made.append(word) or above(self, row, word))
+    base = [f"w{i * i % 83}" for i in range(1500)]
+    other = [w for i, w in enumerate(base) if i % 5 != 4]
+    found = alignment.common_subsequence(base, other)
+    assert len(made) == len(base)
+    monkeypatch.setattr(alignment, "KEPT_BYTES", 0)
+    assert alignment.common_subsequence(base, other) == found and len(made) > 2 * len(base)
