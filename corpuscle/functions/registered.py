@@ -50,14 +50,20 @@ class AlignedWords:
     def __init__(self) -> None:
         self.sides: tuple[list[str], list[str]] = ([], [])
         self.unit: tuple = ()
+        self.last: Any = None
 
     def eval(self, row: Any) -> None:
-        values = row.asDict()
-        self.sides[1 if values["side"] else 0].append(values["word"])
-        self.unit = tuple(v for k, v in values.items() if k not in self.OWN)
+        if self.last is None:  # places of the columns, once a unit
+            names = list(row.__fields__)
+            self.at = names.index("side"), names.index("word")
+        self.last = row
+        side, word = self.at
+        self.sides[1 if row[side] else 0].append(row[word])
 
     def terminate(self) -> Iterator[tuple]:
         base, other = self.sides
+        if self.last is not None:
+            self.unit = tuple(v for k, v in zip(self.last.__fields__, self.last, strict=True) if k not in self.OWN)
         found = alignment.common_subsequence(base, other)
         alignment.fill_single_gaps(found, base, other)
         for place, partner in enumerate(found):
@@ -69,4 +75,4 @@ def register(spark: SparkSession) -> None:
     for name, (kind, body) in NATIVE.items():
         spark.sql(f"create or replace temporary function {name}(text string) returns {kind} return {body}")
     spark.udf.register("align", alignment._align)
-    spark.udtf.register("aligned_words", F.udtf(AlignedWords))
+    spark.udtf.register("aligned_words", F.udtf(AlignedWords, useArrow=True))
