@@ -190,12 +190,13 @@ def slot_counts(t):
 
 @query(ORACLES["vocab_fold"])
 def streamed_vocabulary(t):
-    """V1-V3, V6, V9: the events as a stream in parts, in their order; states are written, and only then told of."""
+    """V1-V3, V6, V9: the events as a stream in parts, in their order; states are written, and only then told of.
+    A part's files are all there before its stream begins, so they are one micro-batch, in which events are put in order."""
     source, sink, told = shared_folder(t.spark, "vocabulary-in"), shared_folder(t.spark, "vocabulary-out"), []
     events = _events(t)
     half = events.agg(F.percentile_approx("at", 0.5)).first()[0]
     for part, rows in enumerate((events.where(F.col("at") <= half), events.where(F.col("at") > half))):
-        rows.coalesce(1).write.parquet(f"{source}/part={part}")
+        rows.write.parquet(f"{source}/part={part}")
         stream = stream_vocabulary(t.spark.readStream.schema(events.schema).parquet(f"{source}/*"))
         run = write_then_notify(stream, lambda batch, p=part: batch.withColumn("part", F.lit(p)).write.mode("append").parquet(sink), told.append, f"{sink}-checkpoint")
         run.processAllAvailable()
