@@ -3,10 +3,12 @@
 Sets of sizes r <= s link when 100 * |R & S| >= percent * |R | S|, so they differ in at most
 H = (1 - t) / (1 + t) * (r + s) elements. Sizes are dealt into bands so narrow that linked sets lie in one band or in
 neighbours. In a band's universe (its own sets, and the larger ones of the next band) elements are hashed into H + 1
-segments: of two linked sets at least one segment is equal. Segments that say little (empty ones) are left out of a
-set's probe; for each of them one of the band's few chosen segments is probed with its one-deletion neighbourhood as
-well, which pays for it: a probe's allowances always add up to H + 1. Only if that isn't enough is an empty segment
-probed. Every set is indexed under all its segments, so nothing is lost.
+segments: of two linked sets at least one segment is equal. Segments that say little (of no element or one) are left out
+of a set's probe; for each of them one of the band's few chosen segments, the fullest first, is probed with its
+one-deletion neighbourhood as well, which pays for it: a probe's allowances always add up to H + 1. One that would have
+fewer than two elements more than what it pays for doesn't pay, for a neighbour that is empty itself is what a great part
+of a band has. Only if the payers aren't enough is such a segment probed. Every set is indexed under all its segments, so
+nothing is lost.
 
 1. One pass over the texts writes, per document, its set's size, a hash (its class: documents with equal sets), a parity
    sketch, and its segment keys. Texts and sets aren't shuffled.
@@ -38,11 +40,14 @@ from corpuscle.llm import common as C
 from corpuscle.llm.graphs import Forest, components, components_by_key, groups
 from corpuscle.llm.substring_dedup import _bucket, _packed, _unpacked
 
-#: Flags of a key: the set probes with it; it is a deletion neighbour; the set belongs to the universe's own band.
-PROBE, DELETION, OWN = 1, 2, 4
+#: Flags of a key: the set probes with it; it is a deletion neighbour; the set belongs to the universe's own band; the set
+#: probes its segment with one difference allowed, so that a segment and a deletion neighbour may meet.
+PROBE, DELETION, OWN, WIDE = 1, 2, 4, 8
+#: Segments of a universe in which payers for segments of one element are counted in: short sets have few to choose from.
+SHORT = 100
 #: Keys that a task holds at once; keys for each bucket; members and bytes of sets that are verified in one task; ids (and
 #: families beyond these bounds) that may be broadcast.
-FLUSH, PER_BUCKET, MOST_MEMBERS, MOST_BYTES, MOST_BROADCAST = 1 << 20, 3_000_000, 3000, 48 << 20, 2_000_000
+FLUSH, PER_BUCKET, MOST_MEMBERS, MOST_BYTES, MOST_BROADCAST = 1 << 20, 1_500_000, 3000, 48 << 20, 2_000_000
 
 
 @cache
@@ -62,8 +67,8 @@ def segments(percent: int, high: int) -> tuple[int, int]:
     most = high + 100 * high // percent  # r + s
     m = (100 - percent) * most // (100 + percent) + 1
     per_segment = max(1.0, high * percent / 100 / m)
-    empty = m * math.exp(-per_segment)
-    return m, min(m, math.ceil(empty + 4 * math.sqrt(empty) + 1))
+    idle = m * math.exp(-per_segment) * (1 + per_segment if m <= SHORT else 1)
+    return m, min(m, math.ceil(idle + 4 * math.sqrt(idle) + 1))
 
 
 def set_keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +89,17 @@ def set_keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
             place = C.U64(band << 32) + np.arange(m, dtype=C.U64) + C.U64(1)
             salted = C.mixed(place * C.GOLDEN)
             size = np.bincount(at, minlength=m)
-            empty = np.flatnonzero(size == 0)
-            pay = [j for j in np.argsort(size[:chosen], kind="stable") if size[j]][: len(empty)]
-            probed = np.where(size > 0, PROBE, 0)
-            probed[empty[len(pay) :]] = PROBE  # what nothing pays for
+            idle, pay = np.argsort(size, kind="stable")[:chosen], np.argsort(-size[:chosen], kind="stable")
+            paid = (size[idle] <= 1) & (size[pay] >= size[idle] + 2)
+            probed = np.full(m, PROBE)
+            probed[idle[paid]] = 0
+            probed[pay[paid]] = PROBE | WIDE
             keys.append(C.mixed(sums ^ salted))
             flags.append(probed | mine)
             near = np.flatnonzero(at < chosen)
             if len(near):
                 keys.append(C.mixed((sums[at[near]] - spread[near]) ^ salted[at[near]]))
-                flags.append(np.where(np.isin(at[near], pay), PROBE, 0) | DELETION | mine)
+                flags.append(np.where(probed[at[near]] & WIDE, PROBE | WIDE, 0) | DELETION | mine)
     return np.concatenate(keys) >> C.U64(20), np.concatenate(flags).astype(np.uint8)
 
 
@@ -171,14 +177,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     shared = dealt.repartitionById(n_buckets, F.col("bucket")).mapInArrow(_shared, "key long, row long, flags int")
     shared = C.written(shared, "jaccard-shared")
     kinds = shared.join(scanned.select("row", F.col("class").alias("node")), "row").groupBy("key", "node")
-    kinds = kinds.agg(F.bit_or(F.col("flags").bitwiseAND(PROBE)).alias("probe"), F.min(F.col("flags").bitwiseAND(DELETION)).alias("deletion"))
+    kinds = kinds.agg(F.bit_or(F.col("flags").bitwiseAND(PROBE | WIDE)).alias("probe"), F.min(F.col("flags").bitwiseAND(DELETION)).alias("deletion"))
     kinds = C.written(kinds.select("key", "node", (F.col("probe") + F.col("deletion")).alias("flags")), "jaccard-kinds")
     C.unwritten(shared)
     # copies are folded before they are shuffled, so the join meets each class once
     sketches = scanned.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     sketches = sketches.join(kinds.select(F.col("node").alias("class")).distinct(), "class", "left_semi")
     sketches = C.written(sketches, "jaccard-sketches")
-    families = components_by_key(kinds, sketches.withColumnRenamed("class", "node"), lambda pairs: _may_link(pairs, sketches, percent), _compared(percent))
+    families = components_by_key(kinds, sketches.withColumnRenamed("class", "node"), lambda pairs: _may_link(pairs, sketches, percent), _compared(percent), PROBE)
     families = C.written(families.withColumnRenamed("node", "class").withColumnRenamed("component", "family"), "jaccard-families")
 
     # one document of each class brings the set; equal ids with different texts are told apart by the class
@@ -205,14 +211,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
 
 def _compared(percent: int):
-    """Which members (flags, n, sketch) of a key sketches don't rule out: one of two probes, and not both are deletion neighbours."""
+    """Which members (flags, n, sketch) of a key sketches don't rule out: one of two probes, with a difference allowed if
+    one is a deletion neighbour, and not both are."""
 
     def compare(rows: list[tuple]):
         flags, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
         sketches = _folded([r[2] for r in rows])
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
-            may = ((flags[i] | flags[others]) & PROBE > 0) & (flags[i] & flags[others] & DELETION == 0)
+            either, both = flags[i] | flags[others], flags[i] & flags[others]
+            may = (np.where(either & DELETION, either & WIDE, either & PROBE) > 0) & (both & DELETION == 0)
             apart = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1, dtype=np.int64)
             return may & (apart <= _most_apart(n[others], n[i], percent))
 
@@ -360,19 +368,26 @@ def _unplain(blob: bytes) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's keys those with a probe, an own set and two rows."""
+    """Of a bucket's keys those with an own set and two rows that a probe lets meet, without neighbours that nothing may meet."""
     blobs = [b for batch in batches for b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
     if not blobs:
         return
     key = np.concatenate([_unpacked(a) for a, _, _ in blobs])
     row = np.concatenate([_unplain(b) for _, b, _ in blobs])
     flag = np.concatenate([np.frombuffer(c, np.uint8) for _, _, c in blobs])
+    del blobs
     order = np.argsort(key, kind="stable")
     key, row, flag = key[order], row[order], flag[order]
+    del order
     groups = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     reach = lambda f, x: f.reduceat(x, groups)
-    use = (reach(np.minimum, row) < reach(np.maximum, row)) & (reach(np.bitwise_or, flag) & (PROBE | OWN) == PROBE | OWN) & (reach(np.minimum, flag & DELETION) == 0)
-    hit = np.repeat(use, np.diff(np.append(groups, len(key))))
+    is_near = flag & DELETION > 0
+    whole, near = (reach(np.bitwise_or, np.where(x, flag, 0)) for x in (~is_near, is_near))
+    wholes, all_ = reach(np.add, (~is_near).astype(np.int32)), reach(np.bitwise_or, flag)
+    meet = (wholes > 1) & (whole & PROBE > 0) | (wholes > 0) & (near > 0) & (all_ & WIDE > 0)
+    use = meet & (all_ & OWN > 0) & (reach(np.minimum, row) < reach(np.maximum, row))
+    of = np.repeat(np.arange(len(groups), dtype=np.int32), np.diff(np.append(groups, len(key))))
+    hit = use[of] & (~is_near | (flag & WIDE > 0) | (whole & WIDE > 0)[of])
     key, row, flag = key[hit].astype(np.int64), row[hit], flag[hit].astype(np.int32)
     for lo in range(0, len(key), 1 << 16):
         s = slice(lo, lo + (1 << 16))

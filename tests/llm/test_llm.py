@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.llm import common as C
-from corpuscle.llm import decontaminate, edit_fingerprint, jaccard_join, language_id, licenses, line_dedup, pattern_packing, secrets, substring_dedup, token_shards, tokens
+from corpuscle.llm import decontaminate, edit_fingerprint, graphs, jaccard_join, language_id, licenses, line_dedup, pattern_packing, secrets, substring_dedup, token_shards, tokens
 from corpuscle.llm.graphs import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -204,6 +204,59 @@ def test_linked_sets_always_share_a_probe():
     assert links > 300
 
 
+def may_meet(f, g):
+    """Whether two sets that have a key with these flags are held against each other."""
+    either, need = f | g, jaccard_join.WIDE if (f | g) & jaccard_join.DELETION else jaccard_join.PROBE
+    return bool(either & need and either & jaccard_join.OWN and not f & g & jaccard_join.DELETION)
+
+
+def test_linked_sets_meet_where_a_difference_is_allowed():
+    rng, draw = np.random.default_rng(2), random.Random(6)
+    links = 0
+    for _ in range(1500):
+        percent = draw.choice((50, 80, 90))
+        a = np.unique(rng.integers(0, 2**63, draw.choice([1, 2, 3, 5, 8, 13, 20, 40, 80, 200, 600]), dtype=np.uint64))
+        most = (100 - percent) * len(a) // 100
+        b = np.unique(np.concatenate([rng.permutation(a)[draw.randint(0, most) :], rng.integers(0, 2**63, draw.randint(0, most), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        links += 1
+        of_a = defaultdict(list)
+        for x, f in zip(*jaccard_join.set_keys(a, percent), strict=True):
+            of_a[x].append(int(f))
+        assert any(may_meet(f, int(g)) for x, g in zip(*jaccard_join.set_keys(b, percent), strict=True) for f in of_a.get(x, ()))
+    assert links > 300
+
+
+def test_sets_that_share_nothing_seldom_meet():
+    """Half of a set's probes were of empty neighbours, which any other set of the band may have."""
+    rng = np.random.default_rng(3)
+    members = defaultdict(list)
+    for i in range(300):
+        for x, f in zip(*jaccard_join.set_keys(np.unique(rng.integers(0, 2**63, 250, dtype=np.uint64)), 80), strict=True):
+            members[x].append((i, int(f)))
+    met = sum(may_meet(f, g) for some in members.values() for k, (i, f) in enumerate(some) for j, g in some[:k] if i != j)
+    assert met < 300 * 299 // 2 // 100
+
+
+def test_jaccard_by_blocks_of_those_that_probe(spark, monkeypatch):
+    """Keys of several blocks, whose members that ask are strays or, if these are fewer, those that probe."""
+    monkeypatch.setattr(graphs, "BLOCK", 2)
+    draw = random.Random(9)
+    rows = []
+    for _ in range(12):
+        base = [f"w{draw.randrange(60)}" for _ in range(25)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(draw.randint(0, 4)):
+                w[draw.randrange(25)] = f"r{draw.randrange(90)}"
+            rows.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = by_id(jaccard_join.jaccard_components(df, 1, 80))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == components_by_hand(rows, 1, 80)
+
+
 def test_components(spark):
     edges = [(2, 1), (3, 2), (4, 3), (10, 11), (11, 10), (7, 7), *((i, i + 1) for i in range(20, 40))]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
