@@ -164,14 +164,14 @@ def checked_write(t):
     b as (select conv_id, turn, row_number() over (partition by conv_id, turn order by p) - 1 as i from g), k as (select *, i % 5 = 3 as gone, sum((i % 5 <> 3)::int) over (partition by conv_id, turn order by i) - 1 as j from b)
     select conv_id, turn, i::int as base_place, case when gone then -1 else j end::int as other_place, i::bigint as n_before from k""")
 def sql_functions(t):
-    """X-UDF: called from SQL, the table function by partitions and in order, the words by a native function."""
+    """X-UDF: called from SQL, the table function by partitions and in order, a side's words in one row, by a native function."""
     registered.register(t.spark)
     t.conversations.createOrReplaceTempView("corpuscle_conversations")
     return t.spark.sql("""
-        with words as (select conv_id, turn, posexplode(array_distinct(regexp_extract_all(lower(text), '[a-z]+', 0))) as (i, word) from corpuscle_conversations),
-        sides as (select conv_id, turn, 0 as side, i as place, word from words union all select conv_id, turn, 1, i, word from words where i % 5 <> 3)
+        with words as (select conv_id, turn, array_distinct(regexp_extract_all(lower(text), '[a-z]+', 0)) as word from corpuscle_conversations),
+        sides as (select conv_id, turn, 0 as side, word from words union all select conv_id, turn, 1, filter(word, (w, i) -> i % 5 <> 3) from words)
         select conv_id, turn, base_place, other_place, cast(size(hebrew_tokens(repeat('x ', base_place))) as long) as n_before
-        from aligned_words(table(sides) partition by (conv_id, turn) order by (side, place))""")
+        from aligned_words(table(sides) partition by (conv_id, turn) order by (side, word))""")
 
 
 # ---- senses

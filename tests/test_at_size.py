@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from corpuscle.functions import batches, hebrew
+from corpuscle.functions import batches, hebrew, registered
 from corpuscle.operators import compressed, ranges, spelling
 from corpuscle.sources import readers
 
@@ -85,3 +85,12 @@ def test_blocks_are_opened_a_few_at_a_time():
     assert blocks.num_rows == n
     opened = list(compressed._open(iter([blocks.select(["token", "n", "first_doc", "data"])])))
     assert max(b.num_rows for b in opened) <= 2 * compressed.OPENED and pa.Table.from_batches(opened).equals(rows)
+
+
+def test_table_function_takes_a_sides_words_in_one_row(spark):
+    registered.register(spark)
+    rows = [(1, 0, list("abcd")), (1, 1, list("abd")), (2, 0, list("xy")), (2, 1, None), (3, 0, []), (3, 1, ["x"]), (4, 0, ["a", None, "b"]), (4, 1, ["a", "b"])]
+    spark.createDataFrame(rows, "unit int, side int, word array<string>").createOrReplaceTempView("whole_sides")
+    found = spark.sql("select * from aligned_words(table(whole_sides) partition by unit order by side)").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 0), (1, 1, 1), (1, 2, -1), (1, 3, 2), (2, 0, -1), (2, 1, -1), (4, 0, 0), (4, 1, -1), (4, 2, 1)]
+    assert "explode" not in planned(__spark_entry__.queries()["sql_functions"](spark, SF))
