@@ -22,14 +22,15 @@ def align_documents(t):
     """J2 of whole documents, words repeated as they are: against the text without each fifth word all that is left is
     matched, whichever copies; against the text with a strange word after each third one, each word finds itself."""
     words = t.documents.select("doc_id", postings.ascii_tokens(F.col("text")).alias("base"))
-    thinned = words.withColumn("other", F.filter("base", lambda w, i: i % 5 != 4))
-    found = alignment.align_frame(thinned, "base", "other")
-    matched = F.filter(F.zip_with("base", "alignment", lambda w, j: F.when(j >= 0, w)), lambda w: w.isNotNull())
-    some = found.select("doc_id", F.size("base").cast("long").alias("n"), F.size(matched).cast("long").alias("n_matched"), F.md5(F.array_join(matched, " ")).alias("matched_words"))
-    marked = words.withColumn("other", F.flatten(F.transform("base", lambda w, i: F.when(i % 3 == 2, F.array(w, F.lit("1"))).otherwise(F.array(w)))))
-    pairs = F.transform("alignment", lambda j, i: (i + 1).cast("long") * (j + 1))
-    checks = alignment.align_frame(marked, "base", "other").select("doc_id", F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
-    return some.join(checks, "doc_id")
+    thinned = F.filter("base", lambda w, i: i % 5 != 4)
+    marked = F.flatten(F.transform("base", lambda w, i: F.when(i % 3 == 2, F.array(w, F.lit("1"))).otherwise(F.array(w))))
+    both = words.select("doc_id", "base", thinned.alias("thinned"), marked.alias("marked"))
+    found = alignment.align_frame(alignment.align_frame(both, "base", "thinned", "of_thinned"), "base", "marked", "of_marked")
+    matched = F.filter(F.zip_with("base", "of_thinned", lambda w, j: F.when(j >= 0, w)), lambda w: w.isNotNull())
+    checksum = F.aggregate(F.transform("of_marked", lambda j, i: (i + 1).cast("long") * (j + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    some = found.select("doc_id", F.size("base").cast("long").alias("n"), matched.alias("matched"), F.coalesce(checksum, F.lit(0).cast("long")).alias("checksum"))
+    matched_words = F.md5(F.coalesce(F.array_join("matched", " "), F.lit("")))
+    return some.select("doc_id", "n", F.size("matched").cast("long").alias("n_matched"), matched_words.alias("matched_words"), "checksum")
 
 
 # ---- a verse's markup

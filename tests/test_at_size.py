@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from corpuscle.functions import batches, hebrew, registered
-from corpuscle.operators import compressed, ranges, spelling
+from corpuscle.operators import alignment, compressed, ranges, spelling
 from corpuscle.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,20 @@ def test_table_function_takes_a_sides_words_in_one_row(spark):
     found = spark.sql("select * from aligned_words(table(whole_sides) partition by unit order by side)").collect()
     assert sorted(map(tuple, found)) == [(1, 0, 0), (1, 1, 1), (1, 2, -1), (1, 3, 2), (2, 0, -1), (2, 1, -1), (4, 0, 0), (4, 1, -1), (4, 2, 1)]
     assert "explode" not in planned(__spark_entry__.queries()["sql_functions"](spark, SF))
+
+
+def test_contained_texts_are_aligned_without_a_lattice(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "Lattice", None)
+    base = ["a", "b", "a", "c", "b", "a"] * 20_000
+    thinned = [w for i, w in enumerate(base) if i % 5 != 4]
+    assert [base[i] for i, j in enumerate(alignment.common_subsequence(base, thinned)) if j >= 0] == thinned
+    assert alignment.common_subsequence(["x", "a", "a"], ["a", "a"]) == [-1, 0, 1] and alignment.common_subsequence(list("ab"), list("axbb")) == [0, 2]
+    assert alignment.common_subsequence([], ["a"]) == [] and alignment.common_subsequence(["a"], []) == [-1]
+
+
+def test_documents_are_aligned_in_one_scan(spark, tmp_path):
+    rows = [(1, "one two one three"), (1, "one two one three"), (2, None), (3, ""), (None, "a b c d e f")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = __spark_entry__.queries()["align_documents"](spark, str(tmp_path))
+    assert planned(found).count("FileScan") == 1
+    assert sorted((r.doc_id or 0, r.n, r.n_matched, r.checksum) for r in found.collect() if r.doc_id != 2) == [(0, 6, 5, 106), (1, 4, 4, 34), (1, 4, 4, 34), (3, 0, 0, 0)]
