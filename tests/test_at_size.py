@@ -1,5 +1,6 @@
 """What larger tables bring: long numbers, large groups, joins that mustn't be broadcast, batches of bounded size."""
 
+import random
 import re
 import time
 
@@ -111,3 +112,16 @@ def test_documents_are_aligned_in_one_scan(spark, tmp_path):
     found = __spark_entry__.queries()["align_documents"](spark, str(tmp_path))
     assert planned(found).count("FileScan") == 1
     assert sorted((r.doc_id or 0, r.n, r.n_matched, r.checksum) for r in found.collect() if r.doc_id != 2) == [(0, 6, 5, 106), (1, 4, 4, 34), (1, 4, 4, 34), (3, 0, 0, 0)]
+
+
+def test_short_words_at_larger_distances_are_compared_by_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    words = {"s" + "".join(rng.choice("abcdeθא") for _ in range(rng.randint(0, 9))) for _ in range(900)} | {"s" + "ab" * 11 + "c" * k for k in range(5)} | {"s" + "ab" * 11 + "d" + "c" * k for k in range(5)}
+    monkeypatch.setattr(spelling, "BLOCK", 50)
+    monkeypatch.setattr(spelling, "AT_ONCE", 200)
+    df = spark.createDataFrame([(w,) for w in [*words, *words, "", None]], "w string")
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words if a < b and abs(len(a) - len(b)) <= 3], "a string, b string")
+    expected = {tuple(r) for r in pairs.withColumn("distance", F.levenshtein("a", "b", 3)).where("distance >= 0").collect()}
+    found = [tuple(r) for r in spelling.near_pairs(df, "w", 3).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert "MapInArrow" in planned(spelling.near_pairs(df, "w", 3)) and "MapInArrow" not in planned(spelling.near_pairs(df, "w", 2))
