@@ -1,6 +1,6 @@
 """Near spellings: all pairs of words with one initial within an edit distance.
 
-Distances up to NEIGHBOURHOOD, and words of LONG letters or more, go by keys, without comparing all words of an initial.
+Distances up to NEIGHBOURHOOD, and words that are long (``long_from``), go by keys, without comparing all words of an initial.
 A pair within distance d has a common subsequence d letters shorter than the longer word. So of words that are short
 enough, the longer one is indexed by what is left when d letters go, and the other by what is left when as many go as
 lead to the same length. Of longer words one of d + 1 segments stands unchanged in the other word, moved by d places at
